@@ -24,22 +24,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def running_sums(xs: Column, doublings: int = 24) -> Column:
-    """Inclusive prefix sums of an array of longs, by repeated doubling: n log n steps
-    and no growing copies, for arrays of up to 2 ** ``doublings`` elements."""
-
-    def step(a: Column, k: int) -> Column:
-        n = 1 << k
-        return F.when(
-            F.size(a) > n,
-            F.zip_with(
-                a,
-                F.concat(F.array_repeat(F.lit(0).cast("long"), n), F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))),
-                lambda x, y: x + y,
+def running_sums(xs: Column, block: int = 64) -> Column:
+    """Inclusive prefix sums of an array of longs.
+
+    Sums of whole blocks come first; an element then adds what precedes it in its own
+    block. That keeps the work near ``block`` steps an element and copies nothing that
+    grows, where a fold that appends would copy its result at every step.
+    """
+    zero = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, zero, lambda acc, x: acc + x)
+    div = lambda i: F.floor(i / block).cast("int")
+
+    def with_blocks(a: Column, sums: Column) -> Column:
+        return let(
+            F.transform(sums, lambda x, i: total(F.slice(sums, F.lit(1), i))),
+            lambda before: F.transform(
+                a, lambda x, i: F.get(before, div(i)) + total(F.slice(a, div(i) * block + 1, i - div(i) * block + 1))
             ),
-        ).otherwise(a)
+        )
 
-    def after(a: Column, k: int) -> Column:
-        return a if k == doublings else let(step(a, k), lambda b: after(b, k + 1))
+    def blocks(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), div(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
 
-    return F.when(F.size(xs) > 1, after(xs, 0)).otherwise(xs)
+    return F.when(F.size(xs) > 1, let(xs, lambda a: let(blocks(a), lambda sums: with_blocks(a, sums)))).otherwise(xs)
