@@ -151,6 +151,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     )
     listed = both.where("place is not null").select("chunk", "place", "pretoken")
     pieces = scratch.save(listed.select("pretoken").distinct().mapInArrow(_pieces(tokenizer_path), "pretoken string, pieces int"), "pieces")
-    counted = listed.join(pieces, "pretoken").select("chunk", "place", "pieces")
+    counted = listed.join(pieces, "pretoken").select(F.col("chunk").alias("of"), "place", "pieces")
     packed = both.where("packed is not null").select("chunk", "doc_id", "n_bytes", "packed")
-    return packed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    return packed.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
