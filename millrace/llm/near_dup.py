@@ -14,8 +14,9 @@
    while the pairs within a group are never listed.
 5. Components of all confirmed links are the result.
 
-With 64 coordinates and ``match`` 34, a pair at similarity 0.8 falls below the threshold
-with probability under 1e-6 (binomial tail), and more similar pairs far less.
+Of the 512 lanes of a signature, 64 are posted; a pair at similarity 0.8 agrees in fewer
+than 38 of these, or in fewer than 379 of all, with probability about 5e-5 (binomial
+tails), and more similar pairs far less often.
 """
 
 from __future__ import annotations
@@ -31,23 +32,37 @@ from millrace.llm._shingles import U64, mix, shingle_sets
 from millrace.operators.components import connected_components
 from millrace.plans.scratch import Scratch
 
-COORDINATES = 64
-MATCH = 34
+COORDINATES = 64  # posted lanes, of 32 bits
+LANES = 512  # all lanes; the others have 4 bits and only count
+MATCH = 38
+AGREE = 379
 SKETCH = 1 << 18
 BLOCK = 512
-SHORT_LIST = 48
+SIG_BYTES = 4 * COORDINATES + (LANES - COORDINATES) // 2
 
-_MULTIPLY = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x632BE59BD9B4E019)) | U64(1)
-_ADD = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9FB21C651E98DF25))
+_SEEDS = np.arange(1, LANES + 1, dtype=U64)
+_MULTIPLY = (mix(_SEEDS * U64(0x632BE59BD9B4E019)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+_ADD = (mix(_SEEDS * U64(0x9FB21C651E98DF25)) >> U64(32)).astype(np.uint32)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least of each coordinate's hashes, upper 32 bits."""
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=U64)
-    for a in range(0, len(shingles), 2048):
-        part = shingles[a : a + 2048]
-        out = np.minimum(out, ((part[None, :] ^ _ADD[:, None]) * _MULTIPLY[:, None]).min(axis=1))
-    return (out >> U64(32)).astype(np.uint32)
+def signature(shingles: np.ndarray) -> bytes:
+    """Least hash of each lane: whole for the posted lanes, its low four bits for the others."""
+    low = (shingles >> U64(32)).astype(np.uint32)
+    out = np.full(LANES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for a in range(0, len(low), 1024):
+        part = low[None, a : a + 1024] ^ _ADD[:, None]
+        part *= _MULTIPLY[:, None]
+        out = np.minimum(out, part.min(axis=1))
+    out ^= out >> np.uint32(15)  # the least values differ in their low bits, not in their high ones
+    bits = out[COORDINATES:].astype(np.uint8) & 15
+    return out[:COORDINATES].tobytes() + (bits[::2] << 4 | bits[1::2]).tobytes()
+
+
+def _sig_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(-1, SIG_BYTES)
+    cut = 4 * COORDINATES
+    pairs = raw[:, cut:]
+    return np.ascontiguousarray(raw[:, :cut]).view(np.uint32), np.concatenate([pairs >> 4, pairs & 15], axis=1)
 
 
 def _tokens(signatures: np.ndarray) -> np.ndarray:
@@ -55,8 +70,8 @@ def _tokens(signatures: np.ndarray) -> np.ndarray:
     return mix(signatures.astype(U64) + coord)
 
 
-def _sig_rows(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+def _agreement(posted: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (posted == x).sum(axis=1) + (other == y).sum(axis=1)
 
 
 def _sketch_nodes(k: int):
@@ -67,7 +82,7 @@ def _sketch_nodes(k: int):
                 n.append(len(s))
                 one.append(np.bitwise_xor.reduce(mix(s)) if len(s) else U64(0))
                 two.append(np.add.reduce(mix(s ^ U64(0xA0761D6478BD642F))) if len(s) else U64(0))
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s) if len(s) else None)
             signed = lambda x: pa.array(np.array(x, dtype=U64).view(np.int64))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), signed(one), signed(two), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
 
@@ -78,7 +93,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts = np.zeros(SKETCH, dtype=np.int64)
     for b in batches:
         if b.num_rows:
-            counts += np.bincount((_tokens(_sig_rows(b.column(0))).ravel() & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            counts += np.bincount((_tokens(_sig_rows(b.column(0))[0]).ravel() & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     some = np.flatnonzero(counts)
     yield pa.record_batch([pa.array(some), pa.array(counts[some])], ["bucket", "c"])
 
@@ -89,7 +104,7 @@ def _post(common, match: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = _tokens(_sig_rows(b.column(1)))
+            tokens = _tokens(_sig_rows(b.column(1))[0])
             seen = counts[(tokens & U64(SKETCH - 1)).astype(np.int64)]
             # one order for all nodes: by the sketch's count, then by the token itself
             order = np.lexsort((tokens, seen), axis=1)[:, : COORDINATES - match + 1]
@@ -100,36 +115,68 @@ def _post(common, match: int):
     return run
 
 
-def _agreeing(match: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                same = (_sig_rows(b.column(2)) == _sig_rows(b.column(3))).sum(axis=1) >= match
-                yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            same = _agreement(*_sig_rows(b.column(2)), *_sig_rows(b.column(3))) >= AGREE
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
-    return run
 
+def _merge_lists(common, inner: int, union: int):
+    """Candidate pairs across components, from rows sorted by posting list and cell.
 
-def _block_pairs(match: int):
-    """Candidate pairs of one block pair of a long list, across components."""
+    A cell holds at most two blocks of a list. A pair is reported in the list of the
+    first token, in the nodes' common order, that both have: that list is in both
+    prefixes if any is, so each pair comes once.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        x = table.combine_chunks()
-        cell = x.column("cell")[0].as_py()
-        left, right = cell >> 32, cell & 0xFFFFFFFF
-        block = x.column("block").to_numpy()
-        ids, comp = x.column("id").to_numpy(), x.column("comp").to_numpy()
-        sig = _sig_rows(x.column("sig"))
-        li, ri = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    def cell_pairs(counts, token, left, right, block, ids, comp, n, posted, other) -> tuple[list[int], list[int]]:
         a, b = [], []
+        li, ri = np.flatnonzero(block == left), np.flatnonzero(block == right)
         for i in li:
-            other = ri[comp[ri] != comp[i]]
-            other = other[ids[other] > ids[i]] if left == right else other
-            hit = other[(sig[other] == sig[i]).sum(axis=1) >= match]
-            a.append(np.full(len(hit), ids[i]))
-            b.append(ids[hit])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64))})
+            far = ri[(comp[ri] != comp[i]) & (union * np.minimum(n[ri], n[i]) >= inner * np.maximum(n[ri], n[i]))]
+            far = far[ids[far] > ids[i]] if left == right else far
+            if not len(far):
+                continue
+            far = far[_agreement(posted[far], other[far], posted[i], other[i]) >= AGREE]
+            if not len(far):
+                continue
+            own = _tokens(posted[i : i + 1])[0]
+            order = np.lexsort((own, counts[(own & U64(SKETCH - 1)).astype(np.int64)]))
+            first = order[(posted[far] == posted[i])[:, order].argmax(axis=1)]
+            far = far[own[first].view(np.int64) == token]
+            a += np.minimum(ids[far], ids[i]).tolist()
+            b += np.maximum(ids[far], ids[i]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rest = common.value, None
+
+        def pairs_of(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            token, cell = t.column("token").to_numpy(), t.column("cell").to_numpy()
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
+            ends = [*cuts.tolist(), *([len(token)] if last else [])]
+            stop = ends[-1] if ends else 0
+            block, ids, comp, n = (t.column(c).to_numpy() for c in ("block", "id", "comp", "n"))
+            posted, other = _sig_rows(t.column("sig").slice(0, stop)) if stop else (None, None)
+            a, b, at = [], [], 0
+            for end in ends:
+                if end - at > 1:
+                    c = int(cell[at])
+                    x, y = cell_pairs(counts, token[at], c >> 32, c & 0xFFFFFFFF, *(v[at:end] for v in (block, ids, comp, n, posted, other)))
+                    a += x
+                    b += y
+                at = end
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]), t.slice(stop)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            if t.num_rows:
+                out, rest = pairs_of(t, False)
+                yield out
+        if rest is not None and rest.num_rows:
+            yield pairs_of(rest, True)[0]
 
     return run
 
@@ -186,13 +233,7 @@ def near_duplicates(
     lists = scratch.save(posts.join(lists, "token"), "lists")
     scratch.drop("posts")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ends = [signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-        near = (
-            pairs.distinct().join(ends[0], "a").join(ends[1], "b")
-            .where(union * F.least("n_a", "n_b") >= inner * F.greatest("n_a", "n_b"))
-            .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(match), "a long, b long").distinct()
-        )
+    def confirmed(near: DataFrame, name: str) -> DataFrame:
         near = scratch.save(near, f"{name}-near")
         needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = own.join(needed, "id").mapInArrow(_full_sets(k), "id long, shingles binary").dropDuplicates(["id"])
@@ -206,7 +247,14 @@ def near_duplicates(
         scratch.drop(f"{name}-sets")
         return out
 
-    links = confirmed(lists.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), "first")
+    ends = [signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    stars = lists.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = (
+        stars.join(ends[0], "a").join(ends[1], "b")
+        .where(union * F.least("n_a", "n_b") >= inner * F.greatest("n_a", "n_b"))
+        .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long").distinct()
+    )
+    links = confirmed(stars, "first")
     first = scratch.save(connected_components(links), "first-components")
 
     placed = lists.join(first.select(F.col("node").alias("id"), F.col("component")), "id", "left").select(
@@ -214,21 +262,20 @@ def near_duplicates(
     )
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     mixed = scratch.save(placed.join(mixed, "token"), "mixed")
-    short = mixed.where(F.col("size") <= SHORT_LIST)
-    pairs = (
-        short.select("token", F.col("id").alias("a"), F.col("comp").alias("ca"))
-        .join(short.select("token", F.col("id").alias("b"), F.col("comp").alias("cb")), "token")
-        .where("a < b and ca <> cb").select("a", "b")
-    )
+    scratch.drop("lists")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    long_ = mixed.where(F.col("size") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    cells = long_.withColumn(
+    blocked = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    cells = blocked.withColumn(
         "cell",
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.shiftleft(F.least("block", j), 32) + F.greatest("block", j))),
     )
-    cells = cells.join(signed.select("id", "sig"), "id").select("token", "cell", "block", "id", "comp", "sig")
-    across = cells.groupBy("token", "cell").applyInArrow(_block_pairs(match), "a long, b long")
-    more = confirmed(pairs.unionByName(across), "second")
+    cells = cells.join(signed, "id").select("token", "cell", "block", "id", "comp", "n", "sig")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    across = (
+        cells.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell")
+        .mapInArrow(_merge_lists(common, inner, union), "a long, b long").distinct()
+    )
+    more = confirmed(across, "second")
 
     merged = scratch.save(connected_components(links.unionByName(more)), "components")
     reached = nodes.join(merged.withColumnRenamed("node", "id"), "id", "left").select(
