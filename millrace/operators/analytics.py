@@ -141,4 +141,4 @@ def elo(matches: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataFrame
             rating[a], rating[b] = x + k * (s - e), y - k * (s - e)
         return pd.DataFrame({"player": list(rating), "rating": list(rating.values())})
 
-    return matches.groupBy(F.lit(0)).applyInPandas(fold, "player string, rating double")
+    return matches.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "player string, rating double")

@@ -448,3 +448,73 @@ def event_sessions(spark, sf):
 @query("""SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1""")
 def json_paths(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+# --- without SQL ------------------------------------------------------------------------
+@query()
+def html_text(spark, sf):
+    from millrace.sources.web import html_text as extract
+
+    return table(spark, sf, "pages").select("page_id", extract("html").alias("text")).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query(r"""SELECT w AS pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, w LIMIT 50""")
+def word_counts_top(spark, sf):
+    d = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("pretoken"))
+    return d.groupBy("pretoken").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pretoken").limit(50)
+
+
+@query()
+def bpe_merges(spark, sf):
+    from millrace.operators.bpe import train_bpe
+
+    _, merges = train_bpe(table(spark, sf, "documents"), 320)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(merges)], "rank int, left_hex string, right_hex string")
+
+
+@query()
+def elo_ratings(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("at"), (F.col("user_id") % 20).alias("a"), ((F.col("user_id") + F.col("event_id")) % 20).alias("b"), (F.col("value") > 50).cast("double").alias("score"))
+    return A.elo(e.where("a <> b").withColumn("a", F.concat(F.lit("p"), "a")).withColumn("b", F.concat(F.lit("p"), "b"))).withColumn("rating", r6("rating"))
+
+
+@query()
+def importance_resample(spark, sf):
+    d = table(spark, sf, "documents")
+    aim = d.join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return A.importance_resample(A.log_ratio_weights(d, aim), 100).select("doc_id", r6("logw").alias("logw"))
+
+
+@query()
+def rule_rewards(spark, sf):
+    from millrace.functions.graders import reward_struct
+
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    text = F.concat(F.lit("x</think> <answer>"), (F.col("turn") * 2).cast("string"), F.lit("</answer>"))
+    return c.select("conv_id", "turn", reward_struct(text, (F.col("turn") + 2).cast("string")).alias("r")).select("conv_id", "turn", "r.*")
+
+
+def _drained(spark, name: str, stream: DataFrame, mode: str = "append") -> DataFrame:
+    from millrace.plans.scratch import Scratch
+    from millrace.streaming import events as E
+
+    return E.drain(stream, name, Scratch(spark, name).path("checkpoint"), mode)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf):
+    from millrace.streaming import events as E
+
+    out = _drained(spark, "stream_tumbling_out", E.tumbling(E.event_stream(spark, sf)), "complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS entity, {_STATES} AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+m AS (SELECT id, entity, state, 'new' AS before, i, state = 'queued' AS legal FROM e WHERE i = 1
+UNION ALL SELECT e.id, e.entity, e.state, CASE WHEN m.legal THEN m.state ELSE m.before END, e.i, CASE WHEN m.legal THEN m.state ELSE m.before END || '>' || e.state IN ('new>queued', 'queued>running', 'running>completed', 'running>failed') FROM m JOIN e ON e.entity = m.entity AND e.i = m.i + 1)
+SELECT id, entity, state, before, legal FROM m""")
+def stream_state_machine(spark, sf):
+    from millrace.streaming import events as E
+
+    e = E.event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), F.expr(_STATES).alias("state"))
+    return _drained(spark, "stream_states_out", E.state_machine(e))
