@@ -235,7 +235,7 @@ def near_duplicates(
 
     def confirmed(near: DataFrame, name: str) -> DataFrame:
         near = scratch.save(near, f"{name}-near")
-        needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = near.select(F.col("a").alias("id")).distinct().union(near.select("b").distinct()).distinct()
         sets = own.join(needed, "id").mapInArrow(_full_sets(k), "id long, shingles binary").dropDuplicates(["id"])
         sets = scratch.save(sets, f"{name}-sets")
         out = (
