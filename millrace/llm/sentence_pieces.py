@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 150_000  # in each of two generations
+BATCH_ROWS = 512
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 NORMAL, BYTE = 1, 6
 
@@ -64,6 +65,7 @@ class PieceTransducer:
             node[""] = i
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Segmentation by merging, best score first, then leftmost; defines the arcs' weights."""
@@ -124,23 +126,24 @@ class PieceTransducer:
         return iter(found[::-1])
 
     def unit_ids(self, unit: str) -> bytes:
-        known = self.known.get(unit)
-        if known is None:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
+        """Ids of a unit that the younger generation of remembered units lacks."""
+        ids = self.old.get(unit)
+        if ids is None:
             path = self.shortest_path(unit)
             if path is None:
                 raise ValueError("the lattice has no path of weight 0")
-            known = np.array(path, dtype=np.int32).tobytes()
-            if len(unit) <= 64:
-                self.known[unit] = known
-        return known
+            ids = np.array(path, dtype=np.int32).tobytes()
+        if len(unit) <= 64:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known, self.old = {}, self.known
+            self.known[unit] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers in native order."""
         if not text:
             return b""
-        known, solve = self.known, self.unit_ids
+        known, solve = self.known, self.unit_ids  # a text may fill the generation; the rest of it then looks there last
         return b"".join([known.get(u) or solve(u) for u in _UNITS.findall(self.prefix + text.replace(" ", SPACE))])
 
     def decode(self, ids) -> str:
@@ -157,6 +160,12 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text_col``, without begin or end ids.
 
@@ -168,7 +177,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_path)
-        for b in batches:
+        for b in _small(batches):
             rows, ends, size, nulls = [], [0], 0, []
             for t in b.column(at):
                 t = t.as_py()
@@ -191,7 +200,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_path)
-        for b in batches:
+        for b in _small(batches):
             texts = [None if not ids.is_valid else machine.decode(ids.values.to_numpy().tolist()) for ids in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
