@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_ENTRIES = 150_000  # in each of two generations
+CACHE_ENTRIES = 200_000  # in each of two generations
 BATCH_ROWS = 512
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 NORMAL, BYTE = 1, 6
@@ -190,7 +191,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(nulls))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out_col])
 
-    return own.mapInArrow(run, own.withColumn(out_col, F.array(F.lit(0))).schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -204,7 +205,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out_co
             texts = [None if not ids.is_valid else machine.decode(ids.values.to_numpy().tolist()) for ids in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
-    return own.mapInArrow(run, own.withColumn(out_col, F.lit("")).schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def piece_report(docs: DataFrame, model_path: str) -> DataFrame:
