@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from millrace.plans.scratch import Scratch
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
+HELD_COUNTS = 1_000_000
 # Fixed value: the byte-level tokenizer's pre-token pattern, with its \s written out as
 # the characters of Unicode's White_Space property.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -70,6 +71,21 @@ def unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
 
 
+def pack_frequencies(place: np.ndarray, often: np.ndarray) -> bytes:
+    """Rising places with their counts: twice the step to each place, plus 1 if a count
+    over 1 is in the list that follows."""
+    many = often > 1
+    return pack(np.concatenate([[len(place)], np.diff(place, prepend=0) * 2 + many, often[many]]))
+
+
+def unpack_frequencies(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    v = unpack(data)
+    steps, rest = v[1 : v[0] + 1], v[v[0] + 1 :]
+    often = np.ones(len(steps), dtype=np.int64)
+    often[steps & 1 == 1] = rest
+    return np.cumsum(steps >> 1), often
+
+
 def _frequencies(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, special = regex.compile(PATTERN), _specials(path)
@@ -101,10 +117,9 @@ def _frequencies(path: str):
                     counts = Counter(cut.findall(text))
                 place = np.fromiter((ids.setdefault(t, len(ids)) for t in counts), dtype=np.int64, count=len(counts))
                 order = np.argsort(place)
-                steps = np.diff(place[order], prepend=0)
                 often = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[order]
                 n_bytes = len(text.encode())
-                docs.append((doc_id, n_bytes, pack(np.stack([steps, often], axis=1).ravel())))
+                docs.append((doc_id, n_bytes, pack_frequencies(place[order], often)))
                 held += n_bytes
                 if held >= CHUNK_BYTES or len(docs) >= 20_000:
                     yield flush()
@@ -116,23 +131,48 @@ def _frequencies(path: str):
 
 
 def _pieces(path: str):
+    """Pieces of the pre-tokens of a partition, which holds all rows of each: a pre-token is
+    counted when it is first met. Results are packed by chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        known: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            chunk, place, pieces = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((place, chunk))
+            chunk, place, pieces = chunk[order], place[order], pieces[order]
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            parts = [pack_frequencies(place[a:b], pieces[a:b]) for a, b in zip(cuts, cuts[1:])]
+            return pa.record_batch([pa.array(chunk[cuts[:-1]]), pa.array(parts, pa.binary())], ["of", "pieces"])
+
+        size = 0
         for b in batches:
-            sizes = [len(e.ids) for e in tokenizer.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32())], ["pretoken", "pieces"])
+            tokens = b.column(2).to_pylist()
+            new = list({t for t in tokens if t not in known})
+            known.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False))))
+            pieces = np.fromiter((known[t] for t in tokens), dtype=np.int64, count=len(tokens))
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), pieces))
+            size += len(tokens)
+            if size >= HELD_COUNTS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
 
     return run
 
 
 def _sums(key: tuple, docs: pa.Table, counts: pa.Table) -> pa.Table:
-    place, pieces = counts.column("place").to_numpy(), counts.column("pieces").to_numpy()
-    by_place = np.zeros(int(place.max()) + 1 if len(place) else 0, dtype=np.int64)
-    by_place[place] = pieces
+    found = [unpack_frequencies(x) for x in counts.column("pieces").to_pylist()]
+    by_place = np.zeros(max((int(p[-1]) + 1 for p, _ in found if len(p)), default=0), dtype=np.int64)
+    for place, pieces in found:
+        by_place[place] = pieces
     total = []
     for packed in docs.column("packed").to_pylist():
-        v = unpack(packed).reshape(-1, 2)
-        total.append(int((by_place[np.cumsum(v[:, 0])] * v[:, 1]).sum()))
+        place, often = unpack_frequencies(packed)
+        total.append(int((by_place[place] * often).sum()))
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
 
 
@@ -150,7 +190,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         "frequencies",
     )
     listed = both.where("place is not null").select("chunk", "place", "pretoken")
-    pieces = scratch.save(listed.select("pretoken").distinct().mapInArrow(_pieces(tokenizer_path), "pretoken string, pieces int"), "pieces")
-    counted = listed.join(pieces, "pretoken").select(F.col("chunk").alias("of"), "place", "pieces")
+    counted = listed.repartition("pretoken").mapInArrow(_pieces(tokenizer_path), "of long, pieces binary")
     packed = both.where("packed is not null").select("chunk", "doc_id", "n_bytes", "packed")
     return packed.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
