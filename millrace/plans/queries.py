@@ -372,13 +372,13 @@ def middle_band(spark, sf):
     return d.crossJoin(F.broadcast(q)).where(F.col("n_chars").between(F.col("q")[0], F.col("q")[1])).select("doc_id")
 
 
-@query("""WITH v AS (SELECT vec_id, label % 10 AS i, row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id < 200), n AS (SELECT count(*) AS n FROM v),
-d AS (SELECT r.r AS round, ('0x' || substr(md5(r.r || '-' || i.i), 1, 12))::BIGINT % n AS k FROM n, range(50) r(r), range(200) i(i) WHERE i.i < n)
-SELECT round, round(avg(x), 6) AS mean FROM d JOIN v USING (k) GROUP BY 1""")
+@query("""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding[1]::DOUBLE AS x FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+d AS (SELECT r.r AS round, ('0x' || substr(md5(r.r || '-' || i.k), 1, 12))::BIGINT % n AS k FROM n, range(50) r(r), v i)
+SELECT round, round(avg(x), 6) + 0::DOUBLE AS mean FROM d JOIN v USING (k) GROUP BY 1""")
 def bootstrap_means(spark, sf):
-    v = table(spark, sf, "embeddings").where("vec_id < 200")  # the sample that is resampled
-    v = v.select(F.row_number().over(Window.orderBy("vec_id")).alias("k"), F.col("embedding")[0].cast("double").alias("x")).withColumn("k", (F.col("k") - 1).cast("long"))
-    return A.bootstrap_means(v, "x", "k", 50).select("round", r6("mean").alias("mean"))
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x")).withColumn("one", F.lit(1))
+    v = Q.offsets(v, "vec_id", "one").select(F.col("start").alias("k"), "x")
+    return A.bootstrap_means(v, "x", "k", 50).select("round", (r6("mean") + 0.0).alias("mean"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 4) AS cosine
@@ -518,3 +518,6 @@ def stream_state_machine(spark, sf):
 
     e = E.event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), F.expr(_STATES).alias("state"))
     return _drained(spark, "stream_states_out", E.state_machine(e))
+
+
+from millrace.plans import experiments  # noqa: E402, F401  registers its queries
