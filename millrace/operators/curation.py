@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from millrace.functions import text as T
 from millrace.operators.components import connected_components
+from millrace.plans.scratch import Scratch
 
 REASONS = ("gopher", "quality", "nsfw", "toxic", "kept")
 
@@ -120,14 +121,42 @@ def minhash_signatures(sh: DataFrame, hashes: int = 20, id_col: str = "doc_id")
     return sh.groupBy(id_col).agg(*maps)
 
 
-def lsh_candidates(signatures: DataFrame, hashes: int = 20, bands: int = 10) -> DataFrame:
-    """Pairs with an equal band: each member of a bucket with the bucket's least id, and each
-    with its neighbour in id order, so a bucket of any size gives two rows a member."""
+BUCKET_BLOCK = 512
+
+
+def lsh_buckets(signatures: DataFrame, hashes: int = 20, bands: int = 10) -> DataFrame:
+    """``(bucket, doc_id, hub, size)``: the members of each band bucket of two or more, with
+    the bucket's least id and its size."""
     rows = hashes // bands
     keys = F.array(*[F.concat_ws("-", F.lit(b), *[F.col(f"h{b * rows + j}") for j in range(rows)]) for b in range(bands)])
     banded = signatures.select("doc_id", F.explode(keys).alias("bucket"))
-    least = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return banded.join(least, "bucket").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return banded.join(banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "bucket")
+
+
+def star_candidates(buckets: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket with the bucket's least id: a row a member. Alone they
+    miss links between members that are not similar to that text."""
+    return buckets.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def cross_candidates(buckets: DataFrame, roots: DataFrame, sizes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """All pairs of a bucket that ``roots`` (node, component) does not join yet, without the
+    bucket's least id, which the stars have tried. Long buckets are crossed block by block.
+    Pairs whose set ``sizes`` (doc_id, n) rule the threshold out are left out; no other pair is."""
+    placed = (
+        buckets.where("hub < doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sizes, "doc_id")
+        .select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.ceil(F.col("size") / BUCKET_BLOCK).cast("long").alias("blocks"))
+    )
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    placed = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    side = lambda x, lo, hi: placed.select(
+        "bucket", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}"), F.col("block").alias("own"), F.explode(F.sequence(lo, hi)).alias("far")
+    )
+    left = side("x", F.col("block"), F.col("blocks") - 1).withColumnRenamed("own", "lo").withColumnRenamed("far", "hi")
+    right = side("y", F.lit(0).cast("long"), F.col("block")).withColumnRenamed("own", "hi").withColumnRenamed("far", "lo")
+    pairs = left.join(right, ["bucket", "lo", "hi"]).where((F.col("comp_x") != F.col("comp_y")) & ((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))))
+    pairs = pairs.where(F.least("n_x", "n_y") / F.greatest("n_x", "n_y") >= threshold)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard(pairs: DataFrame, sh: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -143,15 +172,23 @@ def jaccard(pairs: DataFrame, sh: DataFrame, threshold: float = 0.8) -> DataFram
 def minhash_dedup(docs: DataFrame, n: int = 5, hashes: int = 20, bands: int = 10, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, root, kept)``: fuzzy duplicates by LSH, true similarity and components.
 
+    A star round tries each bucket's members with its least id; then all pairs of a bucket
+    that lie in different components are tried, so every link of some bucket is followed.
     Texts with equal shingle sets are taken together first; texts without words all count
     as equal to each other."""
     sh = shingles(docs, n)
     whole = sh.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("shingle")), ",")).alias("set"))
     named = docs.select("doc_id").join(whole, "doc_id", "left").withColumn("set", F.coalesce("set", F.lit("")))
     same = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
-    reps = sh.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    links = jaccard(lsh_candidates(minhash_signatures(reps, hashes), hashes, bands), reps, threshold)
-    roots = connected_components(links).withColumnRenamed("node", "rep")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    reps = scratch.save(sh.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "shingles")
+    sizes = reps.groupBy("doc_id").agg(F.count("*").alias("n"))
+    buckets = scratch.save(lsh_buckets(minhash_signatures(reps, hashes), hashes, bands), "buckets")
+    stars = scratch.save(star_candidates(buckets), "stars")
+    links = scratch.save(jaccard(stars, reps, threshold), "links")
+    first = scratch.save(connected_components(links), "first")
+    more = jaccard(cross_candidates(buckets, first, sizes, threshold).join(stars, ["a", "b"], "left_anti"), reps, threshold)
+    roots = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
     out = named.join(same, "set").join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     return out.select("doc_id", "root", (F.col("doc_id") == F.col("root")).alias("kept"))
 

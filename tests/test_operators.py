@@ -66,6 +66,16 @@ def test_minhash_dedup(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 4}
 
 
+def test_minhash_links_away_from_the_least_id(spark):
+    # each own tail is 12 % of a text: passage sharers are at similarity 0.786, a text and its copy at 0.99
+    passage = [f"p{i}" for i in range(180)]
+    own = lambda i, n: [f"t{i}x{j}" for j in range(n)]
+    texts = [" ".join(passage + own(i, 24)) for i in range(60)]
+    d = docs(spark, texts + [x + " one more" for x in texts])
+    got = {r.doc_id: r.root for r in C.minhash_dedup(d).collect()}
+    assert got == {i: i % 60 for i in range(120)}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14))
 def test_components(spark, pairs):
