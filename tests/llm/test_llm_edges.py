@@ -90,6 +90,22 @@ def test_best_fit_order():
     assert best_fit([(5, None, 1), (5, None, 1)], 10) == [(0, 0), (1, 0)]
 
 
+def test_packing_sees_the_whole_table(spark):
+    # sources stored one after the other, over several windows
+    rows = [(i, "x" * (3000 + i % 997) + str(i), f"s{i // 2000}") for i in range(10_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pack_documents(d.coalesce(2)).toPandas()
+    other = pack_documents(d.repartition(5, "text")).toPandas()
+    whole = best_fit([(len(t), s, i) for i, t, s in rows], 8192)
+    by_id = lambda x: x.sort_values(["doc_id", "piece"]).reset_index(drop=True)
+    assert by_id(got).equals(by_id(other))
+    assert got["bin_id"].nunique() <= 1.02 * (max(b for b, _ in whole) + 1)
+    assert got.groupby("bin_id")["size"].sum().max() <= 8192
+    named = got.merge(d.select("doc_id", "source").toPandas(), on="doc_id").sort_values(["bin_id", "bin_offset"])
+    assert not named.duplicated(["bin_id", "source"]).any()
+    assert (named["bin_offset"] == named.groupby("bin_id")["size"].cumsum() - named["size"]).all()
+
+
 def test_packed_numbers():
     import numpy as np
 
