@@ -24,6 +24,10 @@ CHUNK_CHARS = 1 << 20
 CELLS = 1 << 22
 QUANTUM = 1 << 12
 UNKNOWN = "und"
+LENGTH_CLASSES = 16  # of texts with 2**k characters and more; the last is open
+LEARNED_ROWS = 50
+FLOOR_QUANTILE = 0.005
+NOISE_FROM, NOISE_FLOOR = 6, 4 / DIMENSION**0.5  # 64 characters; four standard deviations of an unrelated vector's cosine
 
 
 @cache
@@ -117,6 +121,17 @@ def _in_fit(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2
 
 
+def _learned_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> DataFrame:
+    """``(i, t, lang)`` of the rows that ``fit_profiles`` learns from."""
+    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(
+        F.col("lang").isNotNull() & F.col("i").isNotNull() & _in_fit("i")
+    )
+    sizes = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    return join_small(labelled, sizes, ["lang"], 10_000, "inner").where(
+        F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    )
+
+
 def fit_profiles(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 4000
 ) -> dict[str, np.ndarray]:
@@ -126,13 +141,7 @@ def fit_profiles(
     nor do rows whose id's CRC-32 is 2 modulo 4, which are held out. What comes to the
     driver is a vector for each language.
     """
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("i").isNotNull() & _in_fit("i")
-    )
-    sizes = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
-    chosen = join_small(labelled, sizes, ["lang"], 10_000, "inner").where(
-        F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    )
+    chosen = _learned_rows(docs, id_col, text_col, lang_col, rows_per_language)
     parts = chosen.select("lang", "t").mapInArrow(_bundle, "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("p", "x")).groupBy("lang", "p").agg(F.sum("x").alias("x")).toPandas()
     out = {}
@@ -174,6 +183,37 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col
     return own.mapInArrow(run, schema)
 
 
+def length_class(text: Column) -> Column:
+    """The length of a text as a power of two, rounded down."""
+    return F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double"))).cast("int"), F.lit(LENGTH_CLASSES - 1))
+
+
+def fit_floors(
+    docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 4000
+) -> dict[str, list[float]]:
+    """Least cosine of a text in each learned language, by ``length_class``.
+
+    It is the ``FLOOR_QUANTILE`` of the learned rows of that language and length. Fewer
+    than ``LEARNED_ROWS`` of them fit no bound, and that of the next shorter class holds,
+    which is lower, as short texts have lower cosines. From 64 characters on it is at
+    least what an unrelated vector reaches by chance.
+    """
+    learned = predict_languages(_learned_rows(docs, id_col, text_col, lang_col, rows_per_language), profiles, "t").where(F.col("lang") == F.col("lang_pred"))
+    fitted = (
+        learned.groupBy("lang", length_class(F.col("t")).alias("k")).agg(F.count("*").alias("n"), F.percentile("score", F.lit(FLOOR_QUANTILE)).alias("floor"))
+        .where(F.col("n") >= LEARNED_ROWS)
+    )
+    own = {(r.lang, r.k): r.floor for r in fitted.collect()}  # at most LENGTH_CLASSES a language
+    out = {}
+    for lang in profiles:
+        floors, last = [], 0.0
+        for k in range(LENGTH_CLASSES):
+            last = own.get((lang, k), last)
+            floors.append(max(last, NOISE_FLOOR) if k >= NOISE_FROM else last)
+        out[lang] = floors
+    return out
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score``."""
     profiles = fit_profiles(docs)

@@ -106,6 +106,20 @@ def test_packing_sees_the_whole_table(spark):
     assert (named["bin_offset"] == named.groupby("bin_id")["size"].cumsum() - named["size"]).all()
 
 
+def test_language_stage_rejects_and_relabels(spark):
+    words = {"en": "the house with many windows stands there and they would think about this", "de": "das schöne haus steht dort und wir werden nicht über diese straße gehen"}
+    turned = lambda ws, i: " ".join(ws[(i * j + i // 7) % len(ws)] for j in range(1, 15))
+    rows = [(i, turned(words[x].split(), i + 1), x) for x, at in (("en", 0), ("de", 1)) for i in range(at, 400, 2)]
+    foreign = ["Η γλώσσα αυτή είναι ελληνική και δεν έχει μαθευτεί ποτέ εδώ από κανέναν άνθρωπο", "日本語の文章はここで学習されていません。" * 4, "asdf qwer zxcv hjkl uiop tyui vbnm fghj " * 3]
+    rows += [(1000 + i, t, x) for i, (t, x) in enumerate([*((t, None) for t in foreign), (turned(words["de"].split(), 5), "en"), (turned(words["en"].split(), 5), None)])]
+    held = [(*r[:2], r[2], "a", len(r[1])) for r in rows]
+    d = spark.createDataFrame(held, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, d, "").collect()}
+    assert not {1000, 1001, 1002} & set(got)
+    assert got[1003] == "de" and got[1004] == "en"
+    assert sum(i < 1000 for i in got) >= 390 and all(got[i] == x for i, _, x in rows if i in got and i < 1000)
+
+
 def test_packed_numbers():
     import numpy as np
 
