@@ -3,8 +3,10 @@
 Strong secrets (assignments, access identifiers, long hex strings) are reported
 wherever they stand. Weak parts - bare key-like strings and endpoints - are only
 reported when complementary parts stand in the same scope: the parts of a text are
-joined with the intervals of its scopes, a line and its two neighbours. Everything is
-a row's own array expression: no shuffle, no Python, and linear work in the text.
+joined with the intervals of its scopes. In the report a scope is a line and its two
+neighbours, as its SQL has it; redaction links over a block of ``BLOCK_LINES`` lines either
+way, blank ones counted. Everything is a row's own array expression: no shuffle, no Python,
+and linear work in the text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ KEYLIKE = r"[A-Za-z0-9+/]+"
 ENDPOINT = r"https?://[A-Za-z0-9._~:/?#@!&=%+-]+"
 KINDS = ("assign", "access", "hex", "bare_key", "endpoint")
 BARE_KEY_LENGTH = 40
+BLOCK_LINES = 20
 
 
 def _spans(text: Column, pattern: str, least: Column | None = None, group: int = 0, rank: int = 0) -> Column:
@@ -88,17 +91,17 @@ def _line_parts(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), located)
 
 
-def linked_spans(parts: Column, line_ends: Column) -> Column:
+def linked_spans(parts: Column, line_ends: Column, scope_lines: int = 1) -> Column:
     """Spans of the weak kinds whose complements stand in the same scope.
 
-    A bare key counts where an access identifier or an endpoint stands in its line or a
-    neighbouring one; an endpoint counts where both an access identifier and a secret
-    (a bare key or an assignment) do.
+    A bare key counts where an access identifier or an endpoint stands at most
+    ``scope_lines`` lines away; an endpoint counts where both an access identifier and a
+    secret (a bare key or an assignment) do.
     """
 
     def near(i: Column, test) -> Column:
-        at = lambda j: F.coalesce(test(F.get(parts, j)), F.lit(False))
-        return F.when(i > 0, at(i - 1)).otherwise(False) | at(i) | at(i + 1)
+        begin = F.greatest(i - scope_lines, F.lit(0))
+        return F.exists(F.slice(parts, begin + 1, i + scope_lines + 1 - begin), test)
 
     def report(p: Column, i: Column) -> Column:
         begin = F.get(line_ends, i) - p["n"] - 1
@@ -125,19 +128,20 @@ def _written(spans: Column) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", scope_lines: int = 1) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``, arrays of (s, k, e) sorted by start, then kind.
 
-    Null and empty texts have no spans. Rows are judged alone, so repeated rows, null ids
-    and extra columns change nothing; an empty table gives an empty result. An existing
-    column of either name is replaced.
+    Parts are linked over ``scope_lines`` lines either way. Null and empty texts have no
+    spans. Rows are judged alone, so repeated rows, null ids and extra columns change
+    nothing; an empty table gives an empty result. An existing column of either name is
+    replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base_spans", base_spans(text))
     lines = F.when(_worth_linking(text, F.col("base_spans")), _line_parts(text))
     out = out.withColumn("_parts", lines)
     out = out.withColumn("_ends", running_sums(F.transform("_parts", lambda p: p["n"] + 1)))
-    weak = let(F.struct("_parts", "_ends"), lambda x: linked_spans(x["_parts"], x["_ends"]))
+    weak = let(F.struct("_parts", "_ends"), lambda x: linked_spans(x["_parts"], x["_ends"], scope_lines))
     out = out.withColumn("all_spans", F.coalesce(F.array_sort(F.concat("base_spans", weak)), F.col("base_spans")))
     return out.drop("_parts", "_ends")
 
@@ -152,9 +156,10 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each reported span of ``text_col`` replaced by ``mark``.
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope_lines: int = BLOCK_LINES) -> DataFrame:
+    """``docs`` with each secret span of ``text_col`` replaced by ``mark``.
 
+    Weak parts are linked over ``scope_lines`` lines either way, wider than in the report.
     Overlapping spans are replaced together, once. A null text stays null.
     """
 
@@ -172,7 +177,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         ends = F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), F.array_max(F.transform(F.slice(spans, F.lit(1), i + 1), lambda y: y["e"])).alias("e")))
         return F.when(F.size(spans) == 0, text).otherwise(let(ends, masked))
 
-    scanned = scan_secrets(docs, text_col)
+    scanned = scan_secrets(docs, text_col, scope_lines)
     return scanned.withColumn(text_col, cut(F.col(text_col), F.col("all_spans"))).drop("base_spans", "all_spans")
 
 

@@ -137,6 +137,19 @@ def test_secrets(spark):
     assert [r.text for r in redact_secrets(d).orderBy("doc_id").collect()][0] == "id [SECRET]\nkey [SECRET]"
 
 
+def test_redaction_links_over_a_block(spark):
+    key, access = "Abcdefghijklmnopqrstuvwxyz0123456789ABCD", f"AKIA{'A1' * 8}"
+    texts = [
+        f"[default]\naws_access_key_id = {access}\nregion = eu\noutput = json\n\naws_secret_access_key = {key}\nend",
+        f"{key}\n\n{access}", f"url https://a.example/x\n\n\n\nid {access}\n\n\npassword=abcdef1", f"{key}" + "\n" * 21 + access, f"a\n\n{key}",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in redact_secrets(d).orderBy("doc_id").collect()]
+    assert got[0] == "[default]\naws_access_key_id = [SECRET]\nregion = eu\noutput = json\n\naws_secret_access_key = [SECRET]\nend"
+    assert got[1] == "[SECRET]\n\n[SECRET]" and got[2] == "url [SECRET]\n\n\n\nid [SECRET]\n\n\n[SECRET]"
+    assert got[3] == key + "\n" * 21 + "[SECRET]" and got[4] == texts[4]
+
+
 def test_warc_checks(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 200), (2, None, "x" * 200), (3, "v", None), (4, "w", "short"), (5, "z", "short"), (None, "n\n", "x" * 200)], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc_zst.archive_report(pages).collect()}
