@@ -14,14 +14,15 @@
    while the pairs within a group are never listed.
 5. Components of all confirmed links are the result.
 
-Of the 512 lanes of a signature, 64 are posted; a pair at similarity 0.8 agrees in fewer
-than 38 of these, or in fewer than 379 of all, with probability about 5e-5 (binomial
-tails), and more similar pairs far less often.
+Of the 512 lanes of a signature, 64 are posted. ``match`` and the agreement over all lanes
+follow from the similarity asked for: a pair at exactly that similarity falls below either
+with probability ``MISS`` at most (binomial tails), a more similar one far less often.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,9 @@ from millrace.plans.scratch import Scratch
 
 COORDINATES = 64  # posted lanes, of 32 bits
 LANES = 512  # all lanes; the others have 4 bits and only count
-MATCH = 38
-AGREE = 379
+MISS = 5e-5
 SKETCH = 1 << 18
-BLOCK = 512
+BLOCK = 1024
 SIG_BYTES = 4 * COORDINATES + (LANES - COORDINATES) // 2
 
 _SEEDS = np.arange(1, LANES + 1, dtype=U64)
@@ -45,6 +45,20 @@ _MULTIPLY = (mix(_SEEDS * U64(0x632BE59BD9B4E019)) >> U64(32)).astype(np.uint32)
 _ADD = (mix(_SEEDS * U64(0x9FB21C651E98DF25)) >> U64(32)).astype(np.uint32)
 
 
+def _least_count(lanes: list[tuple[int, float]], miss: float) -> int:
+    """The largest count, at least 1, that so many agreeing lanes miss with probability ``miss`` at most."""
+    whole = np.ones(1)
+    for n, p in lanes:
+        whole = np.convolve(whole, [comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
+    return max(1, int(np.searchsorted(whole.cumsum(), miss, side="right")))
+
+
+def match_thresholds(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """Least agreement of the posted lanes, and of all lanes, at a similarity."""
+    posted = (COORDINATES, similarity)
+    return _least_count([posted], miss), _least_count([posted, (LANES - COORDINATES, similarity + (1 - similarity) / 16)], miss)
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """Least hash of each lane: whole for the posted lanes, its low four bits for the others."""
     low = (shingles >> U64(32)).astype(np.uint32)
@@ -70,25 +84,38 @@ def _tokens(signatures: np.ndarray) -> np.ndarray:
     return mix(signatures.astype(U64) + coord)
 
 
-def _agreement(posted: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (posted == x).sum(axis=1) + (other == y).sum(axis=1)
+def _agree(posted: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, match: int, agree: int) -> np.ndarray:
+    """Whether pairs collide under ``match`` coordinate-value pairs and in ``agree`` of all lanes."""
+    collisions = (posted == x).sum(axis=1)
+    return (collisions >= match) & (collisions + (other == y).sum(axis=1) >= agree)
 
 
 def _sketch_nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, one, two, sig = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
+            for s in shingle_sets(b.column(2), k):
+                x, y = _set_hashes(s)
                 n.append(len(s))
-                one.append(np.bitwise_xor.reduce(mix(s)) if len(s) else U64(0))
-                two.append(np.add.reduce(mix(s ^ U64(0xA0761D6478BD642F))) if len(s) else U64(0))
+                one.append(x)
+                two.append(y)
                 sig.append(signature(s) if len(s) else None)
-            signed = lambda x: pa.array(np.array(x, dtype=U64).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), signed(one), signed(two), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), _signed(one), _signed(two), pa.array(sig, pa.binary())]
+            yield pa.record_batch(cols, ["id", "t", "n", "h1", "h2", "sig"])
 
     return run
 
 
+def _set_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    if not len(s):
+        return U64(0), U64(0)
+    return np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ U64(0xA0761D6478BD642F)))
+
+
+def _signed(x: list) -> pa.Array:
+    return pa.array(np.array(x, dtype=U64).view(np.int64))
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, dtype=np.int64)
     for b in batches:
@@ -115,14 +142,17 @@ def _post(common, match: int):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            same = _agreement(*_sig_rows(b.column(2)), *_sig_rows(b.column(3))) >= AGREE
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
+def _agreeing(match: int, agree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = _agree(*_sig_rows(b.column(2)), *_sig_rows(b.column(3)), match, agree)
+                yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
+    return run
 
-def _merge_lists(common, inner: int, union: int):
+
+def _merge_lists(common, inner: int, union: int, match: int, agree: int):
     """Candidate pairs across components, from rows sorted by posting list and cell.
 
     A cell holds at most two blocks of a list. A pair is reported in the list of the
@@ -138,7 +168,7 @@ def _merge_lists(common, inner: int, union: int):
             far = far[ids[far] > ids[i]] if left == right else far
             if not len(far):
                 continue
-            far = far[_agreement(posted[far], other[far], posted[i], other[i]) >= AGREE]
+            far = far[_agree(posted[far], other[far], posted[i], other[i], match, agree)]
             if not len(far):
                 continue
             own = _tokens(posted[i : i + 1])[0]
@@ -181,15 +211,23 @@ def _merge_lists(common, inner: int, union: int):
     return run
 
 
-def _confirm(k: int, inner: int, union: int):
+def _confirm(inner: int, union: int):
+    """Links among pairs that stand behind the first end's set, which comes as the row without a second end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = np.frombuffer(s, U64), np.frombuffer(t, U64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(union * both >= inner * (len(s) + len(t) - both))
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        own = np.zeros(0, U64)
+        for batch in batches:
+            x, y = [], []
+            for a, b, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = np.frombuffer(shingles.as_buffer(), U64)
+                if b is None:
+                    own = s.copy()
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if union * both >= inner * (len(own) + len(s) - both):
+                    x.append(a)
+                    y.append(b)
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return run
 
@@ -197,31 +235,31 @@ def _confirm(k: int, inner: int, union: int):
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["id", "shingles"])
+            one, two, sets = [], [], []
+            for s in shingle_sets(b.column(0), k):
+                x, y = _set_hashes(s)
+                one.append(x)
+                two.append(y)
+                sets.append(s.tobytes())
+            yield pa.record_batch([_signed(one), _signed(two), pa.array(sets, pa.binary())], ["h1", "h2", "shingles"])
 
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, inner: int = 80, union: int = 100, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
-
-    Texts are linked where ``union * |A and B| >= inner * |A or B|`` for their sets of
-    ``k``-word shingles; ``component_id`` is the least id that links lead to, ``kept`` is
-    true for that id. Texts without words, null or empty, are linked with nothing. Rows
-    that repeat an id are rows of one node; a row with a null id keeps a null component
-    and is kept. Other columns are ignored, and an empty table gives an empty result.
-    """
+def _grouped_rows(docs: DataFrame, k: int, inner: int, union: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """``(id, t, n, comp, component_id)`` for each row: the hash of its text, the size of its set,
+    a number of its group (null for rows that take no part) and the least id of the group."""
+    match, agree = match_thresholds(inner / union, miss)
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.save(own.mapInArrow(_sketch_nodes(k), "id long, n long, h1 long, h2 long, sig binary"), "rows")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = own.mapInArrow(_sketch_nodes(k), "id long, t long, n long, h1 long, h2 long, sig binary")
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     full = rows.where("n > 0 and id is not null")
-    nodes = full.groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    nodes = scratch.save(nodes, "nodes")
-    signed = full.join(nodes.withColumnRenamed("id", "rep"), ["h1", "h2"]).where("id = rep").select("id", "n", "sig").dropDuplicates(["id", "n"])
-    signed = scratch.save(signed, "signed")
+    # a node is a distinct set, numbered by one of its rows; ids may repeat
+    nodes = scratch.save(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
+    signed = scratch.save(full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "sig"), "signed")
 
     counted = signed.select("sig").mapInArrow(_count_tokens, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()
     sketch = np.zeros(SKETCH, dtype=np.int64)
@@ -235,16 +273,17 @@ def near_duplicates(
 
     def confirmed(near: DataFrame, name: str) -> DataFrame:
         near = scratch.save(near, f"{name}-near")
-        needed = near.select(F.col("a").alias("id")).distinct().union(near.select("b").distinct()).distinct()
-        sets = own.join(needed, "id").mapInArrow(_full_sets(k), "id long, shingles binary").dropDuplicates(["id"])
-        sets = scratch.save(sets, f"{name}-sets")
-        out = (
-            near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(_confirm(k, inner, union), "a long, b long")
-        )
-        out = scratch.save(out, f"{name}-links")
-        scratch.drop(f"{name}-sets")
+        needed = near.select(F.col("a").alias("node")).distinct().union(near.select("b").distinct()).distinct()
+        needed = scratch.save(nodes.join(needed, "node"), f"{name}-needed")
+        sets = own.join(needed.select(F.col("least").alias("id")).distinct(), "id").select("text").mapInArrow(_full_sets(k), "h1 long, h2 long, shingles binary")
+        sets = scratch.save(sets.join(needed.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), f"{name}-sets")
+        # a first end's set goes once to each part of its pairs, not along with each pair
+        dealt = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
+        first = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+        second = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
+        met = first.unionByName(second).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        out = scratch.save(met.select("a", "b", "shingles").mapInArrow(_confirm(inner, union), "a long, b long"), f"{name}-links")
+        scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-near")
         return out
 
     ends = [signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
@@ -252,7 +291,7 @@ def near_duplicates(
     stars = (
         stars.join(ends[0], "a").join(ends[1], "b")
         .where(union * F.least("n_a", "n_b") >= inner * F.greatest("n_a", "n_b"))
-        .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long").distinct()
+        .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(match, agree), "a long, b long").distinct()
     )
     links = confirmed(stars, "first")
     first = scratch.save(connected_components(links), "first-components")
@@ -262,7 +301,7 @@ def near_duplicates(
     )
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     mixed = scratch.save(placed.join(mixed, "token"), "mixed")
-    scratch.drop("lists")
+    scratch.drop("lists", "first-components")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     blocked = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     cells = blocked.withColumn(
@@ -270,31 +309,61 @@ def near_duplicates(
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.shiftleft(F.least("block", j), 32) + F.greatest("block", j))),
     )
     cells = cells.join(signed, "id").select("token", "cell", "block", "id", "comp", "n", "sig")
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     across = (
         cells.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell")
-        .mapInArrow(_merge_lists(common, inner, union), "a long, b long").distinct()
+        .mapInArrow(_merge_lists(common, inner, union, match, agree), "a long, b long").distinct()
     )
     more = confirmed(across, "second")
+    scratch.drop("mixed", "signed")
 
     merged = scratch.save(connected_components(links.unionByName(more)), "components")
-    reached = nodes.join(merged.withColumnRenamed("node", "id"), "id", "left").select(
-        "h1", "h2", F.coalesce("component", "id").alias("component_id")
+    scratch.drop("first-links", "second-links")
+    least = merged.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = nodes.join(merged.join(least, "component"), "node", "left").select(
+        "h1", "h2", F.coalesce("component", "node").alias("comp"), F.coalesce("component_id", "least").alias("component_id")
     )
     return (
-        rows.withColumn("filled", (F.col("n") > 0) & F.col("id").isNotNull())
+        rows.select("id", "t", "n", "h1", "h2", ((F.col("n") > 0) & F.col("id").isNotNull()).alias("filled"))
         .join(reached.withColumn("filled", F.lit(True)), ["h1", "h2", "filled"], "left")
-        .withColumn("component_id", F.coalesce("component_id", "id"))
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        .select("id", "t", "n", "comp", F.coalesce("component_id", "id").alias("component_id"))
     )
 
 
+def near_duplicates(
+    docs: DataFrame, k: int = 5, inner: int = 80, union: int = 100, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
+
+    Texts are linked where ``union * |A and B| >= inner * |A or B|`` for their sets of
+    ``k``-word shingles; ``component_id`` is the least id that links lead to, ``kept`` is
+    true for that id. Texts without words, null or empty, are linked with nothing. Rows
+    that repeat an id are grouped by their own texts; a row with a null id keeps a null
+    component and is kept. Other columns are ignored, and an empty table gives an empty
+    result. A pair at exactly the threshold is missed with probability ``miss`` at each of
+    two tests; the lower it is, and the lower the threshold, the more pairs are compared.
+    """
+    found = _grouped_rows(docs, k, inner, union, miss, id_col, text_col)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the least id."""
-    found = near_duplicates(docs, k, id_col=id_col, text_col=text_col)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """``docs`` with one row of each group of near duplicates: one with the least id.
+
+    Rows without words and rows with a null id all stay. Rows that repeat an id are rows of
+    their own: they stay unless their texts are near duplicates. Columns of any name pass.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = _grouped_rows(docs, k, 80, 100, MISS, id_col, text_col).where("comp is not null and id = component_id")
+    heads = found.groupBy("comp", "id", "t").agg(F.count("*").alias("m")).groupBy("comp").agg(F.min(F.struct("id", "t", "m")).alias("x"))
+    heads = scratch.save(heads.select("x.*"), "heads")
+    loose = F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), loose.alias("_loose"))
+    named = named.join(heads, ["id", "t"], "left").where("_loose or m is not null")
+    if heads.where("m > 1").isEmpty():
+        return named.select("_row.*")
+    alone = F.col("_loose") | (F.col("m") == 1)
+    return named.where(alone).select("_row.*").unionByName(named.where(~alone).dropDuplicates(["id", "t"]).select("_row.*"))
 
 
 ORACLE_SQL = r"""

@@ -4,7 +4,7 @@
    sources and sizes whatever the stored order, and is packed best-fit.
 2. Bins left open are dealt anew, by a hash that differs each round, and packed best-fit as
    items themselves. Rounds end when one window holds all open bins that can still take
-   something, when a round joins none, or after ``ROUNDS``.
+   something, or when a round joins none.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._expr import let
 from millrace.plans.scratch import Scratch
 
 WINDOW_ITEMS = 4096
-ROUNDS = 6
 
 
 def best_fit(items: list[tuple[int, str | None, int | None]], capacity: int) -> list[tuple[int, int]]:
@@ -107,7 +108,7 @@ def _join_open_bins(placed: DataFrame, capacity: int, scratch: Scratch) -> DataF
             arrays += [pa.array([first[b] for b, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())]
             yield pa.record_batch(arrays, ["bin_id", "fill", "sources", "clusters", "into", "shift"])
 
-    for k in range(1, ROUNDS + 1):
+    for k in count(1):
         least = now.agg(F.min("fill")).first()[0]
         able = now.where(F.col("fill") + F.lit(least) <= capacity) if least is not None else now
         n = able.count()
@@ -119,6 +120,7 @@ def _join_open_bins(placed: DataFrame, capacity: int, scratch: Scratch) -> DataF
             run, "bin_id long, fill long, sources array<string>, clusters array<long>, into long, shift long"
         )
         joined = scratch.save(joined, f"round-{k}")
+        scratch.drop(f"open-{k - 1}")
         step = joined.where("bin_id <> into").select("bin_id", "into", "shift")
         if step.isEmpty():
             break
@@ -136,14 +138,25 @@ def _join_open_bins(placed: DataFrame, capacity: int, scratch: Scratch) -> DataF
     return moved
 
 
+def piece_starts(raw: Column, n: Column, capacity: int) -> Column:
+    """Byte places where the pieces of a UTF-8 text of ``n > capacity`` bytes begin.
+
+    A grid three bytes finer than the capacity, each place moved back to the code point that
+    it falls into: no piece is longer than the capacity, none begins inside a code point."""
+    inner = lambda at: F.hex(F.substring(raw, at + 1, F.lit(1))).between("80", "BF")
+    back = lambda at: F.when(~inner(at), at).when(~inner(at - 1), at - 1).when(~inner(at - 2), at - 2).otherwise(at - 3)
+    step = capacity - 3
+    return F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda i: F.when(i == 0, F.lit(0)).otherwise(back((i * step).cast("int"))))
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """``(doc_id, piece, start, size, bin_id, bin_offset)``: a row for each piece of each document.
 
-    Sizes are UTF-8 bytes. A text longer than ``capacity`` fills bins of its own with
-    whole pieces, and its rest is packed like any other text; ``start`` is the piece's
-    place in the text. A bin never holds two texts of one source, nor two equal texts.
+    Sizes are UTF-8 bytes; ``capacity`` is at least 8. A text longer than ``capacity`` is cut
+    between code points: all its pieces but the last have bins of their own, and the last is
+    packed like any other text; ``start`` is the piece's byte in the text. A bin never holds two texts of one source, nor two equal texts.
     A null or empty text is one piece of size 0. Rows meet in windows of about
     ``WINDOW_ITEMS``, dealt by a hash of the row, and open bins in further rounds: memory
     is bounded by the window, neither a hot source nor a hot group of copies meets in one
@@ -151,11 +164,14 @@ def pack_documents(
     the table. Repeated rows and null ids are packed as they come, other columns are
     ignored, an empty table gives an empty result.
     """
+    if capacity < 8:
+        raise ValueError("capacity is below 8 bytes")
     scratch = Scratch(docs.sparkSession, "packing")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n"), F.col(source_col).cast("string").alias("source"),
         F.when(F.length(text) > 0, F.xxhash64(text)).alias("cluster"),
+        F.when(F.octet_length(text) > capacity, let(text.cast("binary"), lambda raw: piece_starts(raw, F.octet_length(text), capacity))).alias("starts"),
     )
     kind = sized.schema["doc_id"].dataType.simpleString()
     sized = scratch.save(sized.withColumn("mix", F.xxhash64("doc_id", "n", "source", "cluster")), "sized")
@@ -172,16 +188,16 @@ def pack_documents(
 
         for window, cut, rows in _windows(typed()):
             next_bin = next_bin if cut else window << 32
-            rest = [(n % capacity if n % capacity or not n else capacity, s, c) for _, n, s, c in rows]
+            rest = [(n - starts[-1] if starts else n, s, c) for _, n, s, c, starts in rows]
             at = best_fit(rest, capacity)
             base, next_bin = next_bin, next_bin + max(b for b, _ in at) + 1
             out: list[tuple] = []
-            for (doc, n, source, cluster), (size, _, _), (bin_, offset) in zip(rows, rest, at):
-                whole = (n - size) // capacity
-                for i in range(whole):
-                    out.append((doc, i, i * capacity, capacity, next_bin, 0, source, cluster))
+            for (doc, _, source, cluster, starts), (size, _, _), (bin_, offset) in zip(rows, rest, at):
+                starts = starts or [0]
+                for i, (start, end) in enumerate(zip(starts, starts[1:])):
+                    out.append((doc, i, start, end - start, next_bin, 0, source, cluster))
                     next_bin += 1
-                out.append((doc, whole, whole * capacity, size, base + bin_, offset, source, cluster))
+                out.append((doc, len(starts) - 1, starts[-1], size, base + bin_, offset, source, cluster))
             types = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             names = ["doc_id", "piece", "start", "size", "bin_id", "bin_offset", "source", "cluster"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)

@@ -3,6 +3,8 @@
 Each text becomes a vector of transformed statistics. Per language and source, a
 minimum-covariance-determinant estimate gives a centre and a covariance that a minority
 of bad rows cannot move, and rows far from it by Mahalanobis distance are rejected.
+A group's estimate is drawn towards its language's, and that towards the whole table's,
+with the weight of ``prior_rows`` rows: a group of any size is judged by one formula.
 All of it is DataFrame functions; only counts reach the driver.
 """
 
@@ -54,7 +56,8 @@ def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
 
-    A null text has none of anything. Windows are compared by 64-bit hashes.
+    A null text has none of anything. Windows are compared by 64-bit hashes. Existing
+    columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_word = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -73,7 +76,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             repeated_window_words(ws).alias("repeat"),
         ),
     )
-    return docs.withColumn("_w", per_word).withColumn("_s", out).select(*docs.columns, "_s.*")
+    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+    return docs.withColumn("_w", per_word).withColumn("_s", out).select(*[c for c in docs.columns if c not in new], "_s.*")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -92,111 +96,148 @@ def _vector() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per group the mean and the Cholesky factor of the covariance with floors."""
-    p = len(DIMS)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = rows.groupBy("grp").agg(
-        F.count("*").alias("n"),
-        *[F.sum(d).alias(f"s_{i}") for i, d in enumerate(DIMS)],
-        *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q_{i}{j}") for i, j in pairs],
-    )
-    out = sums.select(
-        "grp", "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)],
-        *[((F.col(f"q_{i}{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-           + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}{j}") for i, j in pairs],
-    )
-    for j in range(p):
-        under = sum((F.col(f"l_{j}{k}") * F.col(f"l_{j}{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l_{j}{j}", F.sqrt(F.greatest(F.col(f"c_{j}{j}") - under, F.lit(1e-9))))
-        for i in range(j + 1, p):
-            under = sum((F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l_{i}{j}", (F.col(f"c_{i}{j}") - under) / F.col(f"l_{j}{j}"))
-    return out.select("grp", *[f"m_{i}" for i in range(p)], *[f"l_{i}{j}" for i, j in pairs])
-
-
-def _distance() -> Column:
+P = len(DIMS)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+STARTS = ("sum", "largest", "wrapped")
+# Fixed value: makes the covariance of the nearest three quarters of normal rows that of all
+# rows in four dimensions, 0.75 / P(chi2 with 6 degrees <= 0.75 quantile of chi2 with 4).
+SUPPORT, CONSISTENCY = 0.75, 1.4864156
+
+
+def _moments(rows: DataFrame, starts: tuple[str, ...]) -> DataFrame:
+    """Per group and start the size, mean and covariance of the rows within the start's edge."""
+    aggs = []
+    for s in starts:
+        own = lambda x, s=s: F.when(F.col(f"d_{s}") <= F.col(f"edge_{s}"), x)
+        aggs += [F.count(own(F.lit(1))).alias(f"n_{s}"), *[F.sum(own(F.col(d))).alias(f"s_{s}_{i}") for i, d in enumerate(DIMS)]]
+        aggs += [F.sum(own(F.col(DIMS[i]) * F.col(DIMS[j]))).alias(f"q_{s}_{i}{j}") for i, j in PAIRS]
+    out = ["grp", "above"]
+    for s in starts:
+        n = F.col(f"n_{s}")
+        out += [(F.col(f"s_{s}_{i}") / n).alias(f"m_{s}_{i}") for i in range(P)]
+        for i, j in PAIRS:
+            spread = (F.col(f"q_{s}_{i}{j}") - F.col(f"s_{s}_{i}") * F.col(f"s_{s}_{j}") / n) / F.greatest(n - 1, F.lit(1))
+            out.append((CONSISTENCY * (F.greatest(spread, F.lit(0.0)) if i == j else spread)).alias(f"c_{s}_{i}{j}"))
+    return rows.groupBy("grp", "above").agg(*aggs).select(*out)
+
+
+def _floored(c: str) -> dict[tuple[int, int], Column]:
+    return {(i, j): F.greatest(F.col(f"{c}_{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"{c}_{i}{j}") for i, j in PAIRS}
+
+
+def _with_factor(shapes: DataFrame, c: str, to: str) -> DataFrame:
+    """``shapes`` with the Cholesky factor ``to`` of covariance ``c``, whose variances have floors."""
+    out, cov = shapes, _floored(c)
+    for j in range(P):
+        under = sum((F.col(f"{to}_{j}{k}") * F.col(f"{to}_{j}{k}") for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"{to}_{j}{j}", F.sqrt(F.greatest(cov[j, j] - under, F.lit(1e-9))))
+        for i in range(j + 1, P):
+            under = sum((F.col(f"{to}_{i}{k}") * F.col(f"{to}_{j}{k}") for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"{to}_{i}{j}", (cov[i, j] - under) / F.col(f"{to}_{j}{j}"))
+    return out
+
+
+def _distance(m: str, factor: str) -> Column:
     """Squared Mahalanobis distance by forward substitution."""
-    p = len(DIMS)
     y: list[Column] = []
-    for i in range(p):
-        under = sum((F.col(f"l_{i}{k}") * y[k] for k in range(i)), F.lit(0.0))
-        y.append((F.col(DIMS[i]) - F.col(f"m_{i}") - under) / F.col(f"l_{i}{i}"))
+    for i in range(P):
+        under = sum((F.col(f"{factor}_{i}{k}") * y[k] for k in range(i)), F.lit(0.0))
+        y.append((F.col(DIMS[i]) - F.col(f"{m}_{i}") - under) / F.col(f"{factor}_{i}{i}"))
     return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
-def mcd_shapes(
-    rows: DataFrame, scratch: Scratch, support: float = 0.75, steps: int = 3, max_broadcast_groups: int = 20_000
-) -> DataFrame:
-    """Per ``grp`` of ``rows`` the robust centre and the Cholesky factor of the covariance.
+def _first_distances(z: list[Column]) -> dict[str, Column]:
+    """Three rankings of rows by their robust scores, one for each start."""
+    return {
+        "sum": sum((x * x for x in z[1:]), z[0] * z[0]),
+        "largest": F.greatest(*[F.abs(x) for x in z]),
+        "wrapped": sum((F.tanh(F.abs(x)) for x in z[1:]), F.tanh(F.abs(z[0]))),
+    }
+
 
-    The start is the coordinatewise median and interquartile range; each concentration
-    step takes the ``support`` share of a group's rows that are nearest and estimates
-    mean and covariance from them, which never raises the determinant. Order statistics
-    are mergeable sketches, moments are partial sums: a group of any size is spread over
-    all tasks.
+def mcd_shapes(rows: DataFrame, scratch: Scratch, steps: int = 4, max_broadcast_groups: int = 20_000) -> DataFrame:
+    """Per ``grp`` of ``rows`` (with ``above``, which ``grp`` decides) its number of rows ``n`` and
+    the centre ``m_i`` and covariance ``c_ij`` of least determinant.
+
+    Each of ``STARTS`` ranks a group's rows by their scores against the coordinatewise median
+    and interquartile range. Concentration steps then take the ``SUPPORT`` share of the rows
+    that are nearest and estimate mean and covariance from them; with exact order statistics
+    no step raises the determinant. Of the starts' ends the one of least determinant counts.
+    Order statistics are mergeable sketches (exact below 10,000 rows a group), moments are
+    partial sums: a group of any size is spread over all tasks.
     """
     q = F.percentile_approx
-    quart = rows.groupBy("grp").agg(*[q(d, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, d in enumerate(DIMS)])
+    quart = rows.groupBy("grp").agg(F.count("*").alias("n"), *[q(d, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, d in enumerate(DIMS)])
     quart = scratch.save(quart, "quartiles")
-    first = join_small(rows, quart, ["grp"], max_broadcast_groups, "inner")
-    near = sum(
-        (F.pow((F.col(d) - F.col(f"q{i}")[1]) / F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.35, F.lit(FLOORS[i])), 2)
-         for i, d in enumerate(DIMS)),
-        F.lit(0.0),
-    )
-    now = first.select("grp", *DIMS, near.alias("d2"))
+    first = join_small(rows, quart.drop("n"), ["grp"], max_broadcast_groups, "inner")
+    z = [(F.col(d) - F.col(f"q{i}")[1]) / F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i, d in enumerate(DIMS)]
+    now = first.select("grp", "above", *DIMS, *[x.alias(f"d_{s}") for s, x in _first_distances(z).items()])
     for k in range(steps + 1):
-        edge = scratch.save(now.groupBy("grp").agg(q("d2", support, 2000).alias("edge")), f"edge-{k}")
-        core = join_small(now, edge, ["grp"], max_broadcast_groups, "inner").where("d2 <= edge")
-        shape = scratch.save(_moments(core), f"shape-{k}")
-        now = join_small(rows, shape, ["grp"], max_broadcast_groups, "inner").select("grp", *DIMS, _distance().alias("d2"))
-    return shape
+        edge = scratch.save(now.groupBy("grp").agg(*[q(f"d_{s}", SUPPORT, 10_000).alias(f"edge_{s}") for s in STARTS]), f"edge-{k}")
+        core = join_small(now, edge, ["grp"], max_broadcast_groups, "inner")
+        shape = _moments(core, STARTS)
+        for s in STARTS:
+            shape = _with_factor(shape, f"c_{s}", f"l_{s}")
+        shape = scratch.save(shape, f"shape-{k}")
+        if k < steps:
+            joined = join_small(rows, shape.drop("above"), ["grp"], max_broadcast_groups, "inner")
+            now = joined.select("grp", "above", *DIMS, *[_distance(f"m_{s}", f"l_{s}").alias(f"d_{s}") for s in STARTS])
+    det = {s: sum((F.log(F.col(f"l_{s}_{i}{i}")) for i in range(P)), F.lit(0.0)) for s in STARTS}
+    least = F.least(*det.values())
+
+    def best(name: str) -> Column:
+        out = F.col(name.format(STARTS[-1]))
+        for s in STARTS[-2::-1]:
+            out = F.when(det[s] == least, F.col(name.format(s))).otherwise(out)
+        return out
+
+    found = shape.join(quart.select("grp", "n"), "grp")
+    return found.select(
+        "grp", "above", "n", *[best(f"m_{{}}_{i}").alias(f"m_{i}") for i in range(P)], *[best(f"c_{{}}_{i}{j}").alias(f"c_{i}{j}") for i, j in PAIRS]
+    )
+
+
+def _drawn(shapes: DataFrame, above: DataFrame, prior_rows: float) -> DataFrame:
+    """``shapes`` drawn towards those of the group ``above``, whose weight is ``prior_rows`` rows."""
+    names = [*[f"m_{i}" for i in range(P)], *[f"c_{i}{j}" for i, j in PAIRS]]
+    up = above.select(F.col("grp").alias("above"), *[F.col(x).alias(f"up_{x}") for x in names])
+    own = F.col("n") / (F.col("n") + F.lit(float(prior_rows)))
+    return shapes.join(up, "above").select("grp", "above", "n", *[(own * F.col(x) + (1 - own) * F.col(f"up_{x}")).alias(x) for x in names])
 
 
 def quality_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_group: int = 200, cutoff: float = 33.4, keep: tuple[str, ...] = (),
+    prior_rows: float = 50.0, cutoff: float = 33.4, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Statistics, base verdict and final verdict of each row of ``docs``.
 
     A row fails the base rules with fewer than 20 words, or with over 30 % of its words
     in repeated windows. Of the rest, a row is rejected if its vector's squared robust
     distance within its language and source exceeds ``cutoff`` (the 1 - 1e-6 quantile of
-    chi-squared with 4 degrees; far, so that ordinary long or short texts stay). Groups
-    under ``min_group`` rows pool by language, and languages under it pool together.
-    Null tags form groups of their own. Repeated rows and null ids are judged as they
-    come; an empty table gives an empty result. ``keep`` names columns to carry along.
+    chi-squared with 4 degrees; far, so that ordinary long or short texts stay). Centre and
+    covariance of a group of n rows count n / (n + ``prior_rows``), the rest is its
+    language's, which is drawn towards the table's alike. Null tags form groups of their
+    own, apart from empty ones. Repeated rows and null ids are judged as they come; an empty
+    table gives an empty result. ``keep`` names columns to carry along.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    carried = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.coalesce(F.col(lang_col), F.lit("")).alias("_l"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("_o"), *[F.col(c) for c in keep if c != id_col],
-    )
+    lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
+    groups = F.array(F.lit("[]"), F.to_json(F.array(lang)), F.to_json(F.array(lang, source)))
+    carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), groups.alias("_g"), *[F.col(c) for c in keep if c != id_col])
     base = text_statistics(carried, "_t").drop("_t").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     base = scratch.save(base.select("*", *[x.alias(d) for x, d in zip(_vector(), DIMS)]), "statistics")
-    sizes = base.where("not base_failed").groupBy("_l", "_o").agg(F.count("*").alias("n"))
-    langs = sizes.groupBy("_l").agg(F.sum(F.when(F.col("n") < min_group, F.col("n")).otherwise(0)).alias("rest"))
-    groups = sizes.join(langs, "_l").select(
-        "_l", "_o",
-        F.when(F.col("n") >= min_group, F.to_json(F.array("_l", "_o")))
-        .when(F.col("rest") >= min_group, F.to_json(F.array("_l")))
-        .otherwise(F.lit("[]")).alias("grp"),
-    )
-    groups = scratch.save(groups, "groups")
-    fit = scratch.save(
-        join_small(base.where("not base_failed"), groups, ["_l", "_o"], 20_000, "inner").select("grp", *DIMS), "vectors"
-    )
-    if fit.isEmpty():
-        scored = base.withColumn("d2", F.lit(None).cast("double"))
-    else:
-        shape = mcd_shapes(fit, scratch)
-        named = join_small(base, groups, ["_l", "_o"], 20_000)
-        scored = join_small(named, shape, ["grp"], 20_000).withColumn("d2", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    # a row counts in its own group, in its language and in the table
+    levels = F.array(*[F.struct(F.get("_g", k).alias("grp"), F.get("_g", max(k - 1, 0)).alias("above")) for k in range(3)])
+    fit = base.where("not base_failed").select(F.explode(levels).alias("x"), *DIMS).select("x.*", *DIMS)
+    shapes = scratch.save(mcd_shapes(fit, scratch), "shapes")
+    whole = shapes.where("grp = '[]'")
+    by_lang = _drawn(shapes.where("above = '[]' and grp <> '[]'"), whole, prior_rows)
+    own = _drawn(shapes.where("above <> '[]'"), by_lang, prior_rows)
+    own = scratch.save(_with_factor(own, "c", "l").drop("n", "above").withColumnRenamed("grp", "_own"), "drawn")
+    scored = join_small(base.withColumn("_own", F.get("_g", 2)), own, ["_own"], 20_000).withColumn("_d2", _distance("m", "l"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(True))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
-        F.when(~F.col("base_failed"), F.col("d2")).alias("distance"), *[c for c in keep if c != id_col],
+        F.when(~F.col("base_failed"), F.col("_d2")).alias("distance"), *[c for c in keep if c != id_col],
     )
-

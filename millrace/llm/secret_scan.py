@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._expr import let, running_sums
+from millrace.llm._expr import let, running_max, running_sums
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -138,12 +138,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope_lines: int = 1)
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base_spans", base_spans(text))
+
+    def weak(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda p: p["n"] + 1))
+        return let(ends, lambda line_ends: linked_spans(parts, line_ends, scope_lines))
+
     lines = F.when(_worth_linking(text, F.col("base_spans")), _line_parts(text))
-    out = out.withColumn("_parts", lines)
-    out = out.withColumn("_ends", running_sums(F.transform("_parts", lambda p: p["n"] + 1)))
-    weak = let(F.struct("_parts", "_ends"), lambda x: linked_spans(x["_parts"], x["_ends"], scope_lines))
-    out = out.withColumn("all_spans", F.coalesce(F.array_sort(F.concat("base_spans", weak)), F.col("base_spans")))
-    return out.drop("_parts", "_ends")
+    return out.withColumn("all_spans", F.coalesce(F.array_sort(F.concat("base_spans", let(lines, weak))), F.col("base_spans")))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +175,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
             tail = F.substring(text, (F.get(xs, F.size(xs) - 1)["e"] + 1).cast("int"), F.length(text))
             return F.concat(F.array_join(F.transform(xs, part), ""), tail)
 
-        ends = F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), F.array_max(F.transform(F.slice(spans, F.lit(1), i + 1), lambda y: y["e"])).alias("e")))
+        ends = F.zip_with(spans, running_max(F.transform(spans, lambda x: x["e"])), lambda x, e: F.struct(x["s"].alias("s"), e.alias("e")))
         return F.when(F.size(spans) == 0, text).otherwise(let(ends, masked))
 
     scanned = scan_secrets(docs, text_col, scope_lines)

@@ -158,8 +158,8 @@ def shard_documents(
     Law: ``bytes``. A row weighs the UTF-8 bytes of its text (null: none) plus 16. The
     dimensions are the log of that size and a hash of each tag (null: a value of its
     own); rows with equal texts are one unit with the least of their tags, so they share
-    a shard. Only a unit heavier than a whole shard's share is dealt in pieces, by a hash
-    of the id. ``slot`` numbers a shard's rows from 0 without gaps. Rows may repeat, ids
+    a shard. Only a unit heavier than a whole shard's share, which no shard could hold under
+    the law, is dealt in pieces, by a hash of the id and the stored row. ``slot`` numbers a shard's rows from 0 without gaps. Rows may repeat, ids
     may be null, an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -170,7 +170,7 @@ def shard_documents(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("text_hash"),
+            F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"),
             *[F.crc32(F.coalesce(F.col(t).cast("string"), F.lit("\0"))).alias(f"tag{i}") for i, t in enumerate(tags)],
         ),
         "rows",
@@ -195,11 +195,11 @@ def shard_documents(
     key = ["text_crc32", "text_hash", "size"]
     lone = placed.where("pieces = 1").select(*key, "shard")
     split = placed.where("pieces > 1").select(*key, "pieces", "piece", F.col("shard").alias("piece_shard"))
-    dealt = rows.select("doc_id", *key).join(lone, key, "left")
+    dealt = rows.select("doc_id", "row", *key).join(lone, key, "left")
     # units in pieces number fewer than the shards; the pieces fewer than sixteen times that
     held = split.select(*key, "pieces").distinct()
     dealt = dealt.join(F.broadcast(held), key, "left").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("pieces")).cast("int")
+        "piece", F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces")).cast("int")
     )
     dealt = dealt.join(F.broadcast(split.drop("pieces")), [*key, "piece"], "left")
     parts = max(16, -(-whole["n"] // (shards * slot_rows)))

@@ -131,8 +131,9 @@ def _frequencies(path: str):
 
 
 def _pieces(path: str):
-    """Pieces of the pre-tokens of a partition, which holds all rows of each: a pre-token is
-    counted when it is first met. Results are packed by chunk."""
+    """Pieces of the pre-tokens of a partition, which holds all rows of each in one run: a
+    pre-token is counted once, and only the last one is remembered from batch to batch.
+    Results are packed by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -150,10 +151,11 @@ def _pieces(path: str):
         size = 0
         for b in batches:
             tokens = b.column(2).to_pylist()
-            new = list({t for t in tokens if t not in known})
-            known.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False))))
+            new = [t for t in dict.fromkeys(tokens) if t not in known]
+            known |= zip(new, (len(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)))
             pieces = np.fromiter((known[t] for t in tokens), dtype=np.int64, count=len(tokens))
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), pieces))
+            known = {tokens[-1]: known[tokens[-1]]} if tokens else known
             size += len(tokens)
             if size >= HELD_COUNTS:
                 yield packed()
@@ -190,6 +192,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         "frequencies",
     )
     listed = both.where("place is not null").select("chunk", "place", "pretoken")
-    counted = listed.repartition("pretoken").mapInArrow(_pieces(tokenizer_path), "of long, pieces binary")
+    counted = listed.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_pieces(tokenizer_path), "of long, pieces binary")
     packed = both.where("packed is not null").select("chunk", "doc_id", "n_bytes", "packed")
     return packed.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")

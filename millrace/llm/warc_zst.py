@@ -58,10 +58,14 @@ def _header_value(x: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", x)
 
 
-def record_bytes(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+
+
+def record_bytes(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     block = HTTP_HEAD + (payload if kind == "response" else b"")
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, url, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response",
     ]
     if url is not None:
@@ -69,7 +73,9 @@ def record_bytes(kind: str, page_id: int | None, url: str | None, digest: str, p
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, refers_url, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_header_value(refers_url)}")
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -97,7 +103,7 @@ def _frame_end(data: memoryview, at: int) -> int:
 
 
 def read_frames(data: bytes) -> Iterator[bytes]:
-    """The decoded records of an archive."""
+    """The decoded records of an archive, none of an empty one; a ``WarcError`` where a frame breaks off."""
     view, at, words = memoryview(data), 0, None
     while at < len(view):
         if at + 8 > len(view):
@@ -170,8 +176,8 @@ def _write(root: str, words: bytes):
             return pa.record_batch([pa.array([name]), pa.array([len(frames)], pa.int64())], ["name", "records"])
 
         for b in batches:
-            for page_id, url, payload, digest, kind, refers in zip(*[c.to_pylist() for c in b.columns]):
-                frames.append(press.compress(record_bytes(kind, page_id, url, digest, payload or b"", refers)))
+            for page_id, url, payload, digest, kind, refers, refers_url in zip(*[c.to_pylist() for c in b.columns]):
+                frames.append(press.compress(record_bytes(kind, page_id, url, digest, payload or b"", refers, refers_url)))
                 size += len(frames[-1])
                 if size >= ARCHIVE_BYTES:
                     yield store()
@@ -183,18 +189,20 @@ def _write(root: str, words: bytes):
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write rows ``(page_id, url, payload, payload_digest, record_type, refers_to)`` as archives
-    below ``folder``, which driver and executors share; the manifest ``(name, records)``.
+    """Write rows ``(page_id, url, payload, payload_digest, record_type, refers_to, refers_url)`` as
+    archives below ``folder``, which driver and executors share; the manifest ``(name, records)``.
 
-    The dictionary is trained on the payloads of about ``DICTIONARY_SAMPLE`` rows.
+    The dictionary is trained on the first 64 KiB of ``DICTIONARY_SAMPLE`` payloads at most.
+    Null urls, ids and payloads give records without these; rows that repeat give records
+    that repeat; an empty table gives an empty manifest.
     """
     spark = records.sparkSession
-    sample = records.where(F.length("payload") > 0).select("payload").limit(DICTIONARY_SAMPLE)
-    words = make_dictionary([bytes(r[0])[: 1 << 16] for r in sample.collect()])
+    sample = records.where(F.length("payload") > 0).select(F.substring("payload", 1, 1 << 16)).limit(DICTIONARY_SAMPLE)
+    words = make_dictionary([bytes(r[0]) for r in sample.collect()])
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     uri = re.sub(r"^file:/+", "file:///", uri)
-    own = records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
+    own = records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_url")
     return own.mapInArrow(_write(uri, words), "name string, records long")
 
 
@@ -228,7 +236,7 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     if names is not None:
-        files = files.join(F.broadcast(names.select("name").distinct()), "name", "left_semi")
+        files = join_small(files, names.select("name").distinct(), ["name"], 1_000_000, "left_semi")
     return files.mapInArrow(_parse, READ_SCHEMA)
 
 
@@ -247,13 +255,14 @@ def archive_report(pages: DataFrame, least_revisit: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     same = (
         rows.where((F.octet_length("payload") >= least_revisit) & F.col("page_id").isNotNull())
-        .groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
+        .groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "url")).alias("least")).where("n > 1")
+        .select("payload_digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
     )
     same = scratch.save(same, "same")
     revisits = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
     records = join_small(rows, same, ["payload_digest"], 100_000).select(
         "page_id", "url", "payload", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisits, F.col("first")).alias("refers_to"),
+        F.when(revisits, F.col("first")).alias("refers_to"), F.when(revisits, F.col("first_url")).alias("refers_url"),
     )
     folder = scratch.path("archives")
     manifest = scratch.save(write_archives(records, folder), "manifest")
