@@ -18,10 +18,16 @@ _local_root: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only if it is unset."""
+    """``spark.checkpoint.dir`` of the session, or the folder its context checkpoints to; a
+    local folder only if both are unset and all work is in this process."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="millrace-"))
     return f"file://{_local_root[0]}"
