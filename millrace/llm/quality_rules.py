@@ -106,44 +106,47 @@ SUPPORT, CONSISTENCY = 0.75, 1.4864156
 
 def _moments(rows: DataFrame, starts: tuple[str, ...]) -> DataFrame:
     """Per group and start the size, mean and covariance of the rows within the start's edge."""
-    aggs = []
+    aggs, out = [], ["grp", "above"]
     for s in starts:
-        own = lambda x, s=s: F.when(F.col(f"d_{s}") <= F.col(f"edge_{s}"), x)
-        aggs += [F.count(own(F.lit(1))).alias(f"n_{s}"), *[F.sum(own(F.col(d))).alias(f"s_{s}_{i}") for i, d in enumerate(DIMS)]]
-        aggs += [F.sum(own(F.col(DIMS[i]) * F.col(DIMS[j]))).alias(f"q_{s}_{i}{j}") for i, j in PAIRS]
-    out = ["grp", "above"]
-    for s in starts:
-        n = F.col(f"n_{s}")
-        out += [(F.col(f"s_{s}_{i}") / n).alias(f"m_{s}_{i}") for i in range(P)]
+        within = lambda x, s=s: f"if(d_{s} <= edge_{s}, {x}, null)"
+        aggs += [f"count({within(1)}) as n_{s}", *[f"sum({within(d)}) as s_{s}_{i}" for i, d in enumerate(DIMS)]]
+        aggs += [f"sum({within(f'{DIMS[i]} * {DIMS[j]}')}) as q_{s}_{i}{j}" for i, j in PAIRS]
+        out += [f"s_{s}_{i} / n_{s} as m_{s}_{i}" for i in range(P)]
         for i, j in PAIRS:
-            spread = (F.col(f"q_{s}_{i}{j}") - F.col(f"s_{s}_{i}") * F.col(f"s_{s}_{j}") / n) / F.greatest(n - 1, F.lit(1))
-            out.append((CONSISTENCY * (F.greatest(spread, F.lit(0.0)) if i == j else spread)).alias(f"c_{s}_{i}{j}"))
-    return rows.groupBy("grp", "above").agg(*aggs).select(*out)
-
-
-def _floored(c: str) -> dict[tuple[int, int], Column]:
-    return {(i, j): F.greatest(F.col(f"{c}_{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"{c}_{i}{j}") for i, j in PAIRS}
-
-
-def _with_factor(shapes: DataFrame, c: str, to: str) -> DataFrame:
-    """``shapes`` with the Cholesky factor ``to`` of covariance ``c``, whose variances have floors."""
-    out, cov = shapes, _floored(c)
-    for j in range(P):
-        under = sum((F.col(f"{to}_{j}{k}") * F.col(f"{to}_{j}{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"{to}_{j}{j}", F.sqrt(F.greatest(cov[j, j] - under, F.lit(1e-9))))
-        for i in range(j + 1, P):
-            under = sum((F.col(f"{to}_{i}{k}") * F.col(f"{to}_{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"{to}_{i}{j}", (cov[i, j] - under) / F.col(f"{to}_{j}{j}"))
-    return out
+            spread = f"(q_{s}_{i}{j} - s_{s}_{i} * s_{s}_{j} / n_{s}) / greatest(n_{s} - 1, 1)"
+            out.append(f"{CONSISTENCY}D * {f'greatest({spread}, 0D)' if i == j else spread} as c_{s}_{i}{j}")
+    return rows.groupBy("grp", "above").agg(*map(F.expr, aggs)).selectExpr(*out)
+
+
+def _with_factors(shapes: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """``shapes`` with the inverse Cholesky factors ``pairs[c]`` of the covariances ``c``, whose
+    variances have floors, and ``logdet_c``, the logs of their determinants."""
+
+    def steps(c: str, to: str) -> list[dict[str, str]]:
+        """Columns by the round in which all they need is there."""
+        low, out = f"_low_{c}", []
+        dot = lambda a, i, b, j, ks: " + ".join(["0D", *[f"{a}_{i}{k} * {b}_{j(k)}" for k in ks]])
+        cov = lambda i, j: f"greatest({c}_{i}{i}, {FLOORS[i] ** 2}D)" if i == j else f"{c}_{i}{j}"
+        for j in range(P):
+            under = lambda i, j=j: dot(low, i, low, lambda k: f"{j}{k}", range(j))
+            out.append({f"{low}_{j}{j}": f"sqrt(greatest({cov(j, j)} - ({under(j)}), 1e-9D))"})
+            out.append({f"{low}_{i}{j}": f"({cov(i, j)} - ({under(i)})) / {low}_{j}{j}" for i in range(j + 1, P)})
+        for i in range(P):
+            row = {f"{to}_{i}{j}": f"-({dot(low, i, to, lambda k, j=j: f'{k}{j}', range(j, i))}) / {low}_{i}{i}" for j in range(i)}
+            out.append(row | {f"{to}_{i}{i}": f"1 / {low}_{i}{i}"})
+        return [*out, {f"logdet_{c}": " + ".join(f"2 * ln({low}_{i}{i})" for i in range(P))}]
+
+    out = shapes
+    for together in zip(*[steps(c, to) for c, to in pairs.items()]):
+        new = {name: F.expr(x) for own in together for name, x in own.items()}
+        out = out.withColumns(new) if new else out
+    return out.drop(*[f"_low_{c}_{i}{j}" for c in pairs for i, j in PAIRS])
 
 
 def _distance(m: str, factor: str) -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    y: list[Column] = []
-    for i in range(P):
-        under = sum((F.col(f"{factor}_{i}{k}") * y[k] for k in range(i)), F.lit(0.0))
-        y.append((F.col(DIMS[i]) - F.col(f"{m}_{i}") - under) / F.col(f"{factor}_{i}{i}"))
-    return sum((x * x for x in y[1:]), y[0] * y[0])
+    """Squared Mahalanobis distance: that of the vector times the inverse factor."""
+    y = [" + ".join(f"{factor}_{i}{k} * ({DIMS[k]} - {m}_{k})" for k in range(i + 1)) for i in range(P)]
+    return F.expr(" + ".join(f"pow({x}, 2)" for x in y))
 
 
 def _first_distances(z: list[Column]) -> dict[str, Column]:
@@ -155,7 +158,7 @@ def _first_distances(z: list[Column]) -> dict[str, Column]:
     }
 
 
-def mcd_shapes(rows: DataFrame, scratch: Scratch, steps: int = 4, max_broadcast_groups: int = 20_000) -> DataFrame:
+def mcd_shapes(rows: DataFrame, scratch: Scratch, steps: int = 3, max_broadcast_groups: int = 20_000) -> DataFrame:
     """Per ``grp`` of ``rows`` (with ``above``, which ``grp`` decides) its number of rows ``n`` and
     the centre ``m_i`` and covariance ``c_ij`` of least determinant.
 
@@ -175,34 +178,22 @@ def mcd_shapes(rows: DataFrame, scratch: Scratch, steps: int = 4, max_broadcast_
     for k in range(steps + 1):
         edge = scratch.save(now.groupBy("grp").agg(*[q(f"d_{s}", SUPPORT, 10_000).alias(f"edge_{s}") for s in STARTS]), f"edge-{k}")
         core = join_small(now, edge, ["grp"], max_broadcast_groups, "inner")
-        shape = _moments(core, STARTS)
-        for s in STARTS:
-            shape = _with_factor(shape, f"c_{s}", f"l_{s}")
-        shape = scratch.save(shape, f"shape-{k}")
+        shape = scratch.save(_with_factors(_moments(core, STARTS), {f"c_{s}": f"l_{s}" for s in STARTS}), f"shape-{k}")
         if k < steps:
             joined = join_small(rows, shape.drop("above"), ["grp"], max_broadcast_groups, "inner")
             now = joined.select("grp", "above", *DIMS, *[_distance(f"m_{s}", f"l_{s}").alias(f"d_{s}") for s in STARTS])
-    det = {s: sum((F.log(F.col(f"l_{s}_{i}{i}")) for i in range(P)), F.lit(0.0)) for s in STARTS}
-    least = F.least(*det.values())
-
-    def best(name: str) -> Column:
-        out = F.col(name.format(STARTS[-1]))
-        for s in STARTS[-2::-1]:
-            out = F.when(det[s] == least, F.col(name.format(s))).otherwise(out)
-        return out
-
-    found = shape.join(quart.select("grp", "n"), "grp")
-    return found.select(
-        "grp", "above", "n", *[best(f"m_{{}}_{i}").alias(f"m_{i}") for i in range(P)], *[best(f"c_{{}}_{i}{j}").alias(f"c_{i}{j}") for i, j in PAIRS]
-    )
+    names = [*[f"m{{}}_{i}" for i in range(P)], *[f"c{{}}_{i}{j}" for i, j in PAIRS]]
+    least = f"least({', '.join(f'logdet_c_{s}' for s in STARTS)})"
+    best = lambda x: " ".join(["case", *[f"when logdet_c_{s} = {least} then {x.format(f'_{s}')}" for s in STARTS], "end as", x.format("")])
+    return shape.join(quart.select("grp", "n"), "grp").selectExpr("grp", "above", "n", *map(best, names))
 
 
 def _drawn(shapes: DataFrame, above: DataFrame, prior_rows: float) -> DataFrame:
     """``shapes`` drawn towards those of the group ``above``, whose weight is ``prior_rows`` rows."""
     names = [*[f"m_{i}" for i in range(P)], *[f"c_{i}{j}" for i, j in PAIRS]]
-    up = above.select(F.col("grp").alias("above"), *[F.col(x).alias(f"up_{x}") for x in names])
-    own = F.col("n") / (F.col("n") + F.lit(float(prior_rows)))
-    return shapes.join(up, "above").select("grp", "above", "n", *[(own * F.col(x) + (1 - own) * F.col(f"up_{x}")).alias(x) for x in names])
+    up = above.selectExpr("grp as above", *[f"{x} as up_{x}" for x in names])
+    own = f"(n / (n + {float(prior_rows)}D))"
+    return shapes.join(up, "above").selectExpr("grp", "above", "n", *[f"{own} * {x} + (1 - {own}) * up_{x} as {x}" for x in names])
 
 
 def quality_verdicts(
@@ -234,7 +225,7 @@ def quality_verdicts(
     whole = shapes.where("grp = '[]'")
     by_lang = _drawn(shapes.where("above = '[]' and grp <> '[]'"), whole, prior_rows)
     own = _drawn(shapes.where("above <> '[]'"), by_lang, prior_rows)
-    own = scratch.save(_with_factor(own, "c", "l").drop("n", "above").withColumnRenamed("grp", "_own"), "drawn")
+    own = scratch.save(_with_factors(own, {"c": "l"}).drop("n", "above", "logdet_c").withColumnRenamed("grp", "_own"), "drawn")
     scored = join_small(base.withColumn("_own", F.get("_g", 2)), own, ["_own"], 20_000).withColumn("_d2", _distance("m", "l"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(True))
     return scored.select(

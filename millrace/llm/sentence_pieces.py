@@ -1,21 +1,24 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The model compiles to three machines: a normaliser (dummy prefix, space to U+2581), an
-acceptor of the vocabulary's pieces as a trie, and byte fallback for characters without
-a piece. Composed with an input they give a lattice of pieces. In a byte-pair model a
+A model compiles to three machines: a normaliser (the model's character map, white space,
+dummy prefix), an acceptor of the vocabulary's pieces as a trie, and arcs for characters
+without a piece (byte fallback, or the unknown piece). Composed with an input they give a
+lattice of pieces, whose shortest path in the tropical semiring is the encoding.
+
+In a unigram model an arc weighs its piece's negative score. In a byte-pair model a
 segmentation is the model's own exactly if every two neighbouring pieces are: merging
-their joined text alone gives the two again. So an arc's weight, in the tropical
-semiring, is 0 if the piece may follow the one before it and infinite if not, and the
-encoding is the path of least weight. As no path weighs less than 0, a best-first search
-that prefers long pieces may stop at the first path it completes.
+their joined text alone gives the two again. So there an arc weighs 0 if the piece may
+follow the one before it and is infinite if not; as no path weighs less than 0, a
+best-first search that prefers long pieces may stop at the first path it completes.
 
-No piece spans a line feed, nor a U+2581 after another character, so the lattice falls
+If no piece spans a line feed, nor a U+2581 after another character, the lattice falls
 apart at these places and the parts are solved, and remembered, alone.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,33 +32,99 @@ SPACE = "▁"
 CACHE_ENTRIES = 200_000  # in each of two generations
 BATCH_ROWS = 512
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-NORMAL, BYTE = 1, 6
-
+# Fixed values of the model format
+UNIGRAM, BYTE_PAIR = 1, 2
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
+UNKNOWN_PENALTY = 10.0
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rewrites of a compiled character map: a double-array trie, whose leaves point to
+    the texts that follow it."""
+    if not blob:
+        return {}
+    (size,) = struct.unpack_from("<I", blob)
+    units = np.frombuffer(blob, "<u4", size // 4, 4)
+    texts = blob[4 + size :]
+    labels = units & np.uint32(0x800000FF)
+    every = np.arange(1, 256, dtype=np.int64)
+    out, todo = {}, [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        unit = int(units[at])
+        base = at ^ (unit >> 10 << ((unit & 0x200) >> 6))
+        if unit & 0x100:
+            begin = int(units[base]) & 0x7FFFFFFF
+            out[key.decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+        to = base ^ every
+        inside = np.minimum(to, len(units) - 1)
+        for i in np.flatnonzero((labels[inside] == every) & (to == inside)):
+            todo.append((int(to[i]), key + bytes([int(every[i])])))
+    return out
+
+
+class Normaliser:
+    """The machine that rewrites an input before pieces are looked for."""
+
+    def __init__(self, spec):
+        if not spec.escape_whitespaces:
+            raise ValueError("models that keep blanks are not compiled")
+        self.map = character_map(spec.precompiled_charsmap)
+        lengths: dict[str, set[int]] = {}
+        for key in self.map:
+            lengths.setdefault(key[0], set()).add(len(key))
+        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+        self.starts = re.compile("[" + "".join(map(re.escape, lengths)) + "]") if lengths else None
+        self.squeeze = spec.remove_extra_whitespaces
+        self.prefix = SPACE if spec.add_dummy_prefix else ""
 
-class PieceTransducer:
-    """The compiled machines of one model file of the byte-pair kind."""
+    def rewrite(self, text: str) -> str:
+        """The longest match of the map at each place is replaced, from the left."""
+        out, at = [], 0
+        for m in self.starts.finditer(text) if self.starts else ():
+            i = m.start()
+            for n in self.lengths[text[i]] if i >= at else ():
+                new = self.map.get(text[i : i + n])
+                if new is not None:
+                    out += [text[at:i], new]
+                    at = i + n
+                    break
+        return "".join([*out, text[at:]]) if out else text
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        text = self.rewrite(text)
+        if not self.squeeze:
+            return self.prefix + text.replace(" ", SPACE)
+        text = re.sub(" +", " ", text.strip(" "))
+        return (self.prefix + text.replace(" ", SPACE)).rstrip(SPACE)
 
-    def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2 as pb
 
-        model = pb.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        spec = model.normalizer_spec
-        if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only byte-pair models with the identity normaliser are compiled")
-        self.prefix = SPACE if spec.add_dummy_prefix else ""
+class PieceTransducer:
+    """The compiled machines of one model file of the byte-pair or the unigram kind."""
+
+    def __init__(self, model):
+        self.kind = model.trainer_spec.model_type
+        if self.kind not in (UNIGRAM, BYTE_PAIR) or any(p.type == USER_DEFINED for p in model.pieces):
+            raise ValueError("only byte-pair and unigram models without user-defined symbols are compiled")
+        if model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models with white space at the end of pieces are not compiled")
+        self.normalise = Normaliser(model.normalizer_spec)
         self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.rank = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        if len(bytes_) != 256:
-            raise ValueError("the model has no byte fallback")
-        self.bytes = [bytes_[b] for b in range(256)]
-        self.byte_ids = frozenset(self.bytes)
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
-            raise ValueError("a piece spans a place where inputs are cut")
-        self.spelled = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        self.fallback = len(bytes_) == 256
+        self.bytes = [bytes_[b] for b in range(256)] if self.fallback else []
+        self.no_piece = frozenset([*self.bytes, self.unknown])
+        self.cost = [-p.score for p in model.pieces]
+        self.unknown_cost = UNKNOWN_PENALTY - min(self.rank.values(), default=0.0)
+        self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)  # inputs cannot be cut then
+        surface = model.trainer_spec.unk_surface
+        named = {UNKNOWN: surface, CONTROL: ""}
+        self.spelled = [named.get(p.type, p.piece.replace(SPACE, " ")).encode() for p in model.pieces]
         for b, i in bytes_.items():
             self.spelled[i] = bytes([b])
         self.trie: dict = {}
@@ -68,6 +137,15 @@ class PieceTransducer:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @classmethod
+    def load(cls, path: str) -> PieceTransducer:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        model = pb.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        return cls(model)
+
     def merged(self, text: str) -> list[str]:
         """Segmentation by merging, best score first, then leftmost; defines the arcs' weights."""
         parts = list(text)
@@ -91,10 +169,29 @@ class PieceTransducer:
         return known
 
     def shortest_path(self, unit: str) -> list[int] | None:
-        """Ids on the path of weight 0 through the lattice of one unit; None if there is none."""
+        """Ids on the path of least weight through the lattice of one unit; None if all are infinite."""
+        return self._least_sum(unit) if self.kind == UNIGRAM else self._weightless(unit)
+
+    def _least_sum(self, unit: str) -> list[int]:
+        """Places in order are a topological order of the lattice; of equal sums the longer last piece wins."""
+        n = len(unit)
+        least: list[float] = [0.0, *[float("inf")] * n]
+        last: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        for at in range(n):
+            for end, ids in self._arcs(unit, at):
+                weight = least[at] + (self.unknown_cost if ids[0] in self.no_piece else self.cost[ids[0]])
+                if weight < least[end]:
+                    least[end], last[end] = weight, (at, ids)
+        path: list[tuple[int, ...]] = []
+        while n:
+            n, ids = last[n]
+            path.append(ids)
+        return [i for ids in reversed(path) for i in ids]
+
+    def _weightless(self, unit: str) -> list[int] | None:
         n = len(unit)
         dead: set[tuple[int, int]] = set()
-        # an entry: position, piece before (-1: none or bytes), arcs still to try
+        # an entry: position, piece before (-1: none, bytes or unknown), arcs still to try
         stack = [(0, -1, self._arcs(unit, 0))]
         out: list[tuple[int, ...]] = []
         while stack:
@@ -102,7 +199,7 @@ class PieceTransducer:
             if at == n:
                 return [i for step in out for i in step]
             for end, ids in arcs:
-                after = -1 if ids[0] in self.byte_ids else ids[0]
+                after = -1 if ids[0] in self.no_piece else ids[0]
                 if (end, after) in dead or (before >= 0 and after >= 0 and not self._may_follow(before, after)):
                     continue
                 stack.append((end, after, self._arcs(unit, end)))
@@ -123,7 +220,7 @@ class PieceTransducer:
             if "" in node:
                 found.append((i, (node[""],)))
         if at < len(unit) and unit[at] not in self.ids:
-            found.insert(0, (at + 1, tuple(self.bytes[b] for b in unit[at].encode("utf-8", "replace"))))
+            found.insert(0, (at + 1, tuple(self.bytes[b] for b in unit[at].encode("utf-8", "replace")) if self.fallback else (self.unknown,)))
         return iter(found[::-1])
 
     def unit_ids(self, unit: str) -> bytes:
@@ -142,23 +239,41 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers in native order."""
+        text = self.normalise(text)
         if not text:
             return b""
         known, solve = self.known, self.unit_ids  # a text may fill the generation; the rest of it then looks there last
-        return b"".join([known.get(u) or solve(u) for u in _UNITS.findall(self.prefix + text.replace(" ", SPACE))])
+        ids = b"".join([known.get(u) or solve(u) for u in ([text] if self.whole else _UNITS.findall(text))])
+        return ids if self.fallback else self._one_unknown(ids)
+
+    def _one_unknown(self, ids: bytes) -> bytes:
+        """Neighbouring unknown characters are one unknown piece."""
+        x = np.frombuffer(ids, np.int32)
+        keep = np.ones(len(x), dtype=bool)
+        keep[1:] = (x[1:] != self.unknown) | (x[:-1] != self.unknown)
+        return x[keep].tobytes()
 
     def decode(self, ids) -> str:
-        """Text of some ids: spelled pieces, invalid bytes replaced, without the dummy prefix."""
-        spelled = self.spelled
-        raw = b"".join([spelled[i] for i in ids])
-        if self.prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        """Text of some ids: spelled pieces, invalid bytes replaced, without the blanks that normalising puts or drops in front."""
+        spelled, at, lead = self.spelled, 0, b""
+        while at < len(ids) and (self.normalise.squeeze or self.normalise.prefix):
+            if ids[at] == self.unknown:
+                break
+            lead = spelled[ids[at]]
+            at += 1
+            if self.normalise.squeeze:
+                lead = lead.lstrip(b" ")
+            elif lead[:1] == b" ":
+                lead = lead[1:]
+                break
+            if lead:
+                break
+        return b"".join([lead, *[spelled[i] for i in ids[at:]]]).decode("utf-8", "replace")
 
 
 @cache
 def transducer(path: str) -> PieceTransducer:
-    return PieceTransducer(path)
+    return PieceTransducer.load(path)
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +310,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of ``ids_col``; null gives null."""
+    """``docs`` with the text of ``ids_col``; null gives null, no ids an empty text; an existing
+    ``out_col`` is replaced; an empty table gives an empty result."""
     own = docs.drop(out_col)
     at = own.columns.index(ids_col)
 
@@ -209,8 +325,14 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out_co
 
 
 def piece_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, ids, n_pieces, round_trip)`` for each row of ``docs``."""
+    """``(doc_id, ids, n_pieces, round_trip)`` for each row of ``docs``.
+
+    ``round_trip`` tells whether decoding gives the text back; U+2581, which encodes like a
+    blank, counts as one. A null text has null ids, no pieces, and comes back as empty;
+    repeated rows and null ids are answered as they come; an empty table gives an empty result.
+    """
     coded = encode_pieces(docs.select("doc_id", "text"), model_path)
     back = decode_pieces(coded, model_path)
     same = F.coalesce(F.col("decoded"), F.lit("")) == F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("round_trip"))
+    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long")
+    return back.select("doc_id", "ids", n.alias("n_pieces"), same.alias("round_trip"))
