@@ -108,3 +108,14 @@ def common_prefix_repetition(text: str) -> float:
             k += 1
         total += k
     return 2 * total / (n * (n + 1))
+
+
+@F.pandas_udf(T.DoubleType())
+def repetition(text: pd.Series) -> pd.Series:
+    """``common_prefix_repetition`` of each text; null stays null."""
+    return text.map(lambda t: None if t is None else common_prefix_repetition(t))
+
+
+def is_repetitive(text, limit: float = 0.2):
+    """Whether a text's neighbouring suffixes share more than ``limit`` of their characters."""
+    return repetition(text) > limit

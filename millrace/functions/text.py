@@ -122,6 +122,14 @@ def gopher_pass(features: Column) -> Column:
     return a & b & c & d
 
 
+def gopher_reason(features: Column) -> Column:
+    """The first rule that fails, in the rules' order; null if none does."""
+    out = F.lit(None).cast("string")
+    for name, ok in reversed(gopher_rules(features).items()):
+        out = F.when(~ok, name).otherwise(out)
+    return out
+
+
 def quality_features(text: Column) -> Column:
     """Struct of the six features of the prose heuristic."""
     stripped = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -182,10 +190,21 @@ def quality_label(logit: Column) -> Column:
     return F.struct(F.when(logit >= 0, "wiki").otherwise("cc").alias("label"), (1 / (1 + F.exp(-F.abs(logit)))).alias("score"))
 
 
+# Case folds that lower() does not make, of letters that fold to a-z.
+FOLDS = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def case_folded(text: Column) -> Column:
+    """The text in lower case, with ``FOLDS``."""
+    out = F.lower(text)
+    for old, new in FOLDS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
 def canonical_words(text: Column) -> Column:
-    """Lower-case a-z runs; a star between word characters vanishes. Folds that lower()
-    does not make are spelled out."""
-    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
+    """Lower-case a-z runs; a star between word characters vanishes."""
+    folded = case_folded(text)
     starless = F.regexp_replace(folded, r"(?U)(?<=\w)[*](?=\w)", "")
     return F.regexp_extract_all(starless, F.lit("[a-z]+"), F.lit(0))
 
@@ -198,7 +217,7 @@ def safety_labels(text: Column) -> Column:
     """Struct nsfw, toxic (booleans): one sexual and one profane term; two toxic terms.
 
     Texts without any letter sequence of the lists are passed over without cutting words."""
-    maybe = F.lower(text).rlike("cck|cock|cum|dick|nude|porn|pussy|sex|blowjob|ass.?hole|cunt|f.?ck|f.?u.?c.?k|bastard|bitch|idiot|moron|retard|twat|[*]")
+    maybe = case_folded(text).rlike("cck|cock|cum|dick|nude|porn|pussy|sex|blowjob|ass.?hole|cunt|f.?ck|f.?u.?c.?k|bastard|bitch|idiot|moron|retard|twat|[*]")
     judged = let(
         canonical_words(text),
         lambda ws: F.struct(((_hits(ws, SEXUAL) > 0) & (_hits(ws, PROFANE) > 0)).alias("nsfw"), (_hits(ws, TOXIC) >= 2).alias("toxic")),
@@ -224,6 +243,11 @@ def letter_language(text: Column) -> Column:
     )
 
 
+def is_english(language: Column, least: float = 0.7) -> Column:
+    """Whether a struct label, score names English with enough confidence."""
+    return (language["label"] == "en") & (language["score"] >= least)
+
+
 def url_host(url: Column) -> Column:
     """Lower-case network location with user and port; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))

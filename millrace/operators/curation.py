@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from millrace.functions import text as T
 from millrace.operators.components import connected_components
-from millrace.plans.scratch import Scratch
+from millrace.plans.scratch import Scratch, join_small
 
 REASONS = ("gopher", "quality", "nsfw", "toxic", "kept")
 
@@ -91,7 +91,7 @@ def exact_line_dedup(docs: DataFrame) -> DataFrame:
     once = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
     kept = keyed.join(once, "key", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return docs.select("doc_id").join(kept, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.size("ls"), F.lit(0)).alias("n_kept"),
+        "doc_id", F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).alias("n_kept"),
         F.coalesce(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("")).alias("text"),
     )
 
@@ -198,11 +198,43 @@ def decontaminate(benchmark: DataFrame, docs: DataFrame, n: int = 13) -> DataFra
     that are in some document. Corpus grams are joined as keys, and only those that the
     benchmark has leave the map side's filter."""
     grams = lambda d, i: shingles(d, n, i)
-    asked = grams(benchmark, "item_id")
-    hit = grams(docs, "doc_id").select("shingle").join(F.broadcast(asked.select("shingle").distinct()) if benchmark.count() <= 100_000 else asked.select("shingle").distinct(), "shingle", "left_semi").distinct()
+    scratch = Scratch(docs.sparkSession, "contamination")
+    asked = scratch.save(grams(benchmark, "item_id"), "asked")
+    keys = scratch.save(asked.select("shingle").distinct(), "keys")
+    hit = join_small(grams(docs, "doc_id").select("shingle"), keys, ["shingle"], 2_000_000, "left_semi").distinct()
     return asked.join(hit.withColumn("hit", F.lit(1)), "shingle", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_hits"))
 
 
+def semantic_pairs(vectors: DataFrame, id_col: str, cluster_col: str, vector_col: str, threshold: float, block: int = 512) -> DataFrame:
+    """``(a, b, cosine)`` of pairs of one cluster above the threshold, a < b; null vectors take no part.
+
+    A cluster is cut into blocks by a hash of the id, and each pair of blocks is one matrix
+    product; a hot cluster is spread over as many tasks as it has pairs of blocks. Its
+    work is the square of its size: cluster first where clusters are large."""
+    own = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    sizes = own.groupBy(cluster_col).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = own.join(sizes, cluster_col).withColumn("block", F.pmod(F.xxhash64(id_col), "blocks"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+    cells = dealt.select(F.col(cluster_col).alias("cluster"), F.explode(each).alias("cell"), "block", F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        lo, hi = pdf["cell"].iloc[0]["lo"], pdf["cell"].iloc[0]["hi"]
+        m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        ids, where = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        left, right = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
+        cos = m[left] @ m[right].T
+        i, j = np.nonzero(cos > threshold)
+        a, b, c = ids[left[i]], ids[right[j]], cos[i, j]
+        once = a < b if lo == hi else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "cosine": c[once]})
+
+    return cells.groupBy("cluster", "cell").applyInPandas(run, "a long, b long, cosine double")
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Upsert: the last row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

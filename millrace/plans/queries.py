@@ -52,7 +52,7 @@ g2 AS (SELECT *, len(ws) AS n_words, list_sum(list_transform(ws, lambda w: lengt
     len(list_filter(ls, lambda x: rtrim(x, E' \t\r') LIKE '%...'))::DOUBLE / nullif(len(ls), 0) AS dots,
     len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}')))::DOUBLE / nullif(len(ws), 0) AS alpha FROM g1),
 g3 AS (SELECT *, n_words BETWEEN 50 AND 100000 AND coalesce(mean_length BETWEEN 3 AND 10, false) AND coalesce(dots, 0) <= 0.3 AND coalesce(alpha >= 0.8, false) AS gopher FROM g2)"""
-_BOILER = "|".join(T.BOILERPLATE)
+_BOILER = "all rights reserved|contact us|cookie policy|copyright|forum index|log in|memberlist|powered by|privacy policy|register|search|sign in|sign up|terms of service|usergroups"
 _QUALITY = rf"""
 q1 AS (SELECT *, list_filter(list_transform(ls, lambda x: trim(x, E' \t\r\x0b\x0c')), lambda x: x <> '') AS sl0 FROM g3),
 q2 AS (SELECT *, CASE WHEN len(sl0) > 0 THEN sl0 ELSE [trim(masked)] END AS sl FROM q1),
@@ -66,11 +66,10 @@ q4 AS (SELECT *, list_sum(lw)::DOUBLE / len(sl) AS wpl,
 q5 AS (SELECT *, -1.0::DOUBLE + 1.4::DOUBLE * greatest(0, least(1, log10(greatest(n_words, 1) / 75.0::DOUBLE) / 2)) + greatest(0, least(1, (wpl - 8) / 32))
     + 0.8::DOUBLE * prose - 1.8::DOUBLE * boiler - 0.8::DOUBLE * heading - 2.0::DOUBLE * twice AS logit FROM q4),
 q6 AS (SELECT *, logit >= 0 AS wiki, 1 / (1 + exp(-abs(logit))) AS qscore FROM q5)"""
-_list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _SAFETY = rf"""
 s1 AS (SELECT *, regexp_extract_all(regexp_replace(replace(replace(lower(masked), 'ß', 'ss'), 'ſ', 's'), '([\p{{L}}\p{{N}}_])\*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '[a-z]+') AS cw FROM q6),
-s2 AS (SELECT *, len(list_filter(cw, lambda w: w IN ({_list(T.SEXUAL)}))) > 0 AND len(list_filter(cw, lambda w: w IN ({_list(T.PROFANE)}))) > 0 AS nsfw,
-    len(list_filter(cw, lambda w: w IN ({_list(T.TOXIC)}))) >= 2 AS toxic FROM s1)"""
+s2 AS (SELECT *, len(list_filter(cw, lambda w: w IN ('blowjob', 'cck', 'cock', 'cum', 'dick', 'nude', 'nudes', 'porn', 'pussy', 'sex'))) > 0 AND len(list_filter(cw, lambda w: w IN ('asshole', 'assholes', 'cunt', 'cunts', 'fck', 'fcking', 'fuck', 'fucking'))) > 0 AS nsfw,
+    len(list_filter(cw, lambda w: w IN ('asshole', 'assholes', 'bastard', 'bitch', 'cunt', 'cunts', 'fuckers', 'idiot', 'moron', 'retard', 'retarded', 'twat'))) >= 2 AS toxic FROM s1)"""
 _ALL = f"WITH {_MASKED}, {_GOPHER}, {_QUALITY}, {_SAFETY}"
 _REASON = "CASE WHEN NOT gopher THEN 'gopher' WHEN NOT wiki AND qscore >= 0.5 THEN 'quality' WHEN nsfw THEN 'nsfw' WHEN toxic THEN 'toxic' ELSE 'kept' END"
 
@@ -381,13 +380,14 @@ def bootstrap_means(spark, sf):
     return A.bootstrap_means(v, "x", "k", 50).select("round", (r6("mean") + 0.0).alias("mean"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 4) AS cosine
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) > 0.5""")
+_COSINE = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT a, b, round(c, 4) AS cosine FROM p WHERE c > 0.35""")
 def semantic_dups(spark, sf):
-    e = table(spark, sf, "embeddings")
-    side = lambda x: e.select("label", F.col("vec_id").alias(x), F.transform("embedding", lambda v: v.cast("double")).alias(f"v{x}"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return side("a").join(side("b"), "label").where("a < b").withColumn("cosine", dot).where("cosine > 0.5").select("a", "b", F.round("cosine", 4).alias("cosine"))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return C.semantic_pairs(e, "vec_id", "label", "embedding", 0.35).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 # --- sequences ------------------------------------------------------------------------
@@ -498,7 +498,8 @@ def _drained(spark, name: str, stream: DataFrame, mode: str = "append") -> DataF
     from millrace.plans.scratch import Scratch
     from millrace.streaming import events as E
 
-    return E.drain(stream, name, Scratch(spark, name).path("checkpoint"), mode)
+    scratch = Scratch(spark, name)
+    return E.drain(stream, scratch.path("rows"), scratch.path("checkpoint"), mode)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -520,4 +521,4 @@ def stream_state_machine(spark, sf):
     return _drained(spark, "stream_states_out", E.state_machine(e))
 
 
-from millrace.plans import experiments  # noqa: E402, F401  registers its queries
+from millrace.plans import experiments, reporting  # noqa: E402, F401  register their queries

@@ -16,40 +16,72 @@ from pyspark.sql import types as T
 RECORD_SCHEMA = "path string, rec_type string, headers map<string,string>, payload binary"
 
 
-def iter_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """Records of a WARC file, plain or gzip, as (type, headers, payload)."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while True:
-        line = f.readline()
-        if not line:
-            return
+BATCH_BYTES = 16 << 20
+
+
+def raw_records(data: bytes) -> Iterator[tuple[str, bytes, bytes]]:
+    """``(type, whole record, payload)`` of a WARC file, plain or gzip, decompressed as it is read."""
+    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
-        heads: dict[str, str] = {}
-        while (line := f.readline().strip()):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            heads[name.strip().lower()] = value.strip()
-        yield heads.get("warc-type", ""), heads, f.read(int(heads.get("content-length") or 0))
+        head, kind, length = [line], "", 0
+        while (line := f.readline()).strip():
+            head.append(line)
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"warc-type":
+                kind = value.strip().decode("utf-8", "replace")
+            elif name.strip().lower() == b"content-length":
+                length = int(value)
+        payload = f.read(length)
+        yield kind, b"".join(head) + b"\r\n" + payload + b"\r\n\r\n", payload
 
 
-def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Records of all archives below ``path``: a row each, one task a file at most."""
+def iter_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """Records of a WARC file as (type, headers, payload)."""
+    for kind, raw, payload in raw_records(data):
+        lines = raw[: len(raw) - len(payload) - 4].decode("utf-8", "replace").split("\n")[1:]
+        heads = {n.strip().lower(): v.strip() for n, c, v in (x.partition(":") for x in lines) if c}
+        yield kind, heads, payload
+
+
+def _record_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "rec_type", "headers", "payload"]
+    for part in parts:
+        for name, content in zip(part["path"], part["content"]):
+            rows, size = [], 0
+            for kind, heads, payload in iter_records(bytes(content)):
+                rows.append((name, kind, heads, payload))
+                size += len(payload)
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["path"], part["content"]):
-                rows = [(name, k, h, p) for k, h, p in iter_records(bytes(content))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "rec_type", "headers", "payload"])
+def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Records of all archives below ``path``: a row each, one task a file at most.
 
+    A task holds one archive as it is stored and about ``BATCH_BYTES`` of its records."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInPandas(run, RECORD_SCHEMA)
+    return files.mapInPandas(_record_rows, RECORD_SCHEMA)
+
+
+def stream_wet(spark: SparkSession, path: str, glob: str = "*.wet.gz") -> DataFrame:
+    """Texts of conversion records of the archives that arrive below ``path``, as a stream: url and text."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path).select("path", "content")
+    return _conversions(files.mapInPandas(_record_rows, RECORD_SCHEMA))
+
+
+def _conversions(records: DataFrame) -> DataFrame:
+    return records.where("rec_type = 'conversion'").select(F.col("headers")["warc-target-uri"].alias("url"), decode_utf8(F.col("payload")).alias("text"))
 
 
 def read_wet(spark: SparkSession, path: str, glob: str = "*.wet.gz") -> DataFrame:
     """Texts of conversion records: url and text, invalid UTF-8 replaced."""
-    rows = read_warc(spark, path, glob).where("rec_type = 'conversion'")
-    return rows.select(F.col("headers")["warc-target-uri"].alias("url"), decode_utf8(F.col("payload")).alias("text"))
+    return _conversions(read_warc(spark, path, glob))
 
 
 @F.pandas_udf(T.StringType())
@@ -61,12 +93,13 @@ class _Text(HTMLParser):
     """Visible text: blocks on lines of their own, list items with a bullet."""
 
     HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object"}
+    IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}  # any other element ends an open head
     BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6",
               "blockquote", "pre", "form", "figure", "body", "li", "dl", "dt", "dd"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.blocks, self.now, self.mark = 0, [], [], ""
+        self.hidden, self.blocks, self.now, self.mark, self.head = 0, [], [], "", False
 
     def close_block(self) -> None:
         text = " ".join("".join(self.now).split())
@@ -75,6 +108,11 @@ class _Text(HTMLParser):
         self.now, self.mark = [], ""
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.hidden, self.head = self.hidden + (not self.head), True
+            return
+        if self.head and self.hidden == 1 and tag not in self.IN_HEAD:
+            self.hidden, self.head = 0, False
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag == "br":
@@ -84,7 +122,9 @@ class _Text(HTMLParser):
             self.mark = "• " if tag == "li" else ""
 
     def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
+        if tag == "head":
+            self.hidden, self.head = (max(0, self.hidden - 1), False) if self.head else (self.hidden, False)
+        elif tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in self.BLOCKS:
             self.close_block()

@@ -50,8 +50,14 @@ def state_machine(events: DataFrame) -> DataFrame:
     return events.groupBy("entity").applyInPandasWithState(run, "id long, entity long, state string, before string, legal boolean", "state string", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and give the result as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is into Parquet files and give these as a table.
+
+    In append mode rows go to the file sink; in complete mode each batch replaces the table."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
