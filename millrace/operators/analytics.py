@@ -102,7 +102,8 @@ def bootstrap_means(df: DataFrame, value: str, index: str, rounds: int) -> DataF
     """``(round, mean)`` of ``rounds`` resamples with replacement.
 
     ``index`` numbers the rows from 0 without gaps; draws are a digest of round and place,
-    so that any engine repeats them. Each draw is an equi-join with the row it names."""
+    so that any engine repeats them. Each draw is an equi-join with the row it names, which
+    makes rounds times rows of them: for small tables (``sampling.bootstrap`` takes one scan)."""
     n = df.count()
     draws = df.sparkSession.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.col("id") % n).alias("i"))
     digest = F.conv(F.substring(F.md5(F.concat_ws("-", "round", "i")), 1, 12), 16, 10).cast("long")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.reports import special_split
+
 # Fixed value: the byte-level pre-token pattern, in Java's syntax.
 PRETOKEN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -102,21 +104,36 @@ def encode_word(word: bytes, rank: dict[tuple[bytes, bytes], int]) -> list[bytes
     return list(parts)
 
 
-def encode(docs: DataFrame, vocab: dict[int, bytes], merges: list[tuple[bytes, bytes]], text_col: str = "text", eos: int | None = None) -> DataFrame:
-    """``docs`` with ``ids``: lowest-rank merges first; words are remembered a worker."""
+WORDS_KEPT = 500_000
+
+
+def encode(
+    docs: DataFrame, vocab: dict[int, bytes], merges: list[tuple[bytes, bytes]], text_col: str = "text", eos: int | None = None, specials: tuple[str, ...] = ()
+) -> DataFrame:
+    """``docs`` with ``ids``: lowest-rank merges first; ``specials`` in a text are one id each, the
+    longest first. A worker remembers at most ``WORDS_KEPT`` words. A null text counts as empty."""
     ids = {v: k for k, v in vocab.items()}
     rank = {p: i for i, p in enumerate(merges)}
-    cut = docs.withColumn("_w", F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(PRETOKEN), F.lit(0)))
+    cut = lambda t: F.regexp_extract_all(t, F.lit(PRETOKEN), F.lit(0))
+    text = F.coalesce(text_col, F.lit(""))
+    if specials:
+        words = F.flatten(F.transform(special_split(text, specials), lambda p: F.when(p.isin(*specials), F.array(p)).otherwise(cut(p))))
+    else:
+        words = cut(text)
+    whole = {s: [ids[s.encode()]] for s in specials}
 
     @F.pandas_udf("array<int>")
     def coded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = dict(whole)
 
         def one(ws) -> list[int]:
             out: list[int] = []
             for w in ws:
                 got = known.get(w)
                 if got is None:
+                    if len(known) >= WORDS_KEPT:
+                        known.clear()
+                        known.update(whole)
                     got = known[w] = [ids[p] for p in encode_word(w.encode(), rank)]
                 out += got
             return out + ([eos] if eos is not None else [])
@@ -124,7 +141,7 @@ def encode(docs: DataFrame, vocab: dict[int, bytes], merges: list[tuple[bytes, b
         for s in parts:
             yield s.map(one)
 
-    return cut.withColumn("ids", coded("_w")).drop("_w")
+    return docs.withColumn("ids", coded(words))
 
 
 def decode(ids, vocab: dict[int, bytes]) -> str:

@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from millrace.plans.scratch import Scratch
 
-def offsets(df: DataFrame, id_col: str, size: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``start``, the sum of ``size`` before it in id order.
 
-    Rows are ranged into ``parts`` buckets by id quantiles; a bucket's own sums and the
-    few buckets' totals replace one sort of everything in a single task."""
-    cuts = df.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col(id_col) > c).cast("int")
-    ranged = df.withColumn("_b", bucket)
+def offsets(df: DataFrame, id_col: str, size: str) -> DataFrame:
+    """``df`` with ``start``, the sum of ``size`` before it in the order of id, then size.
+
+    Rows are ranged by id into the session's shuffle partitions; a range's own sums and the
+    ranges' totals, a row each, replace one sort of everything in a single task."""
+    scratch = Scratch(df.sparkSession, "offsets")
+    ranged = scratch.save(df.repartitionByRange(id_col).withColumn("_b", F.spark_partition_id()), "ranged")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_b").agg(F.sum(size).alias("t")).withColumn("_s", F.coalesce(F.sum("t").over(before), F.lit(0))).select("_b", "_s")
-    own = Window.partitionBy("_b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_b").orderBy(id_col, size).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.join(F.broadcast(totals), "_b").withColumn("start", (F.col("_s") + F.coalesce(F.sum(size).over(own), F.lit(0))).cast("long")).drop("_b", "_s")
 
 

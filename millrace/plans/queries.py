@@ -13,6 +13,7 @@ from millrace.operators import analytics as A
 from millrace.operators import curation as C
 from millrace.operators import sequences as Q
 from millrace.operators import service as S
+from millrace.plans.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,8 +29,7 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def r6(c):
@@ -160,11 +160,31 @@ def minhash_signature(spark, sf):
     return C.minhash_signatures(C.shingles(table(spark, sf, "documents"), 5), 8)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_sql_shingles('documents', 'doc_id', 5)}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+w AS (SELECT d.doc_id, coalesce(string_agg(shingle::VARCHAR, ',' ORDER BY shingle), '') AS w FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY 1),
+same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(w)) AS rep FROM w), r AS (SELECT sh.doc_id, shingle FROM sh JOIN same USING (doc_id) WHERE doc_id = rep),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM r x JOIN r y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c / (na.n + nb.n - c)::DOUBLE >= 0.8),
+e AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT doc_id, rep FROM same WHERE doc_id <> rep UNION SELECT rep, doc_id FROM same WHERE doc_id <> rep),
+reach AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.v AND reach.c < e.b)
+SELECT v AS doc_id, min(c) AS root, v = min(c) AS kept FROM reach GROUP BY v""")
 def minhash_dedup(spark, sf):
     return C.minhash_dedup(table(spark, sf, "documents"))
 
 
+_SIG8 = f"WITH {_sql_shingles('documents', 'doc_id', 5)}, sig AS (SELECT doc_id, " + ", ".join(f"min((shingle % {C.PRIME} * {(2 * i + 1) * 48271} + {(i + 1) * 69621}) % {C.PRIME}) AS h{i}" for i in range(8)) + " FROM sh GROUP BY 1)"
+
+
+@query(_SIG8 + """, d AS (SELECT DISTINCT b.doc_id FROM sig a JOIN sig b ON a.doc_id < b.doc_id AND (a.h0 = b.h0 AND a.h1 = b.h1 OR a.h2 = b.h2 AND a.h3 = b.h3 OR a.h4 = b.h4 AND a.h5 = b.h5 OR a.h6 = b.h6 AND a.h7 = b.h7)
+WHERE """ + " + ".join(f"(a.h{i} = b.h{i})::INT" for i in range(8)) + """ >= 6) SELECT (SELECT count(*) FROM d) AS n_duplicates, count(*) AS n, round((SELECT count(*) FROM d) / count(*)::DOUBLE, 6) AS rate FROM documents""")
+def near_dup_rate(spark, sf):
+    from millrace.operators.reports import agreement_duplicates
+
+    d = table(spark, sf, "documents")
+    found = agreement_duplicates(C.minhash_signatures(C.shingles(d, 5), 8), 8, 4, 0.75).agg(F.count("*").alias("n_duplicates"))
+    return found.crossJoin(d.agg(F.count("*").alias("n"))).select("n_duplicates", "n", r6(F.col("n_duplicates") / F.col("n")).alias("rate"))
+
+
 @query(f"""WITH {_sql_shingles('documents', 'doc_id', 13, 'd')}, {_sql_shingles('benchmark', 'item_id', 13, 'b')}
 SELECT item_id, count(*) AS n_grams, count(*) FILTER (shingle IN (SELECT shingle FROM d)) AS n_hits FROM b GROUP BY 1""")
 def decontaminate_13gram(spark, sf):
