@@ -15,14 +15,11 @@ from millrace.llm.secret_scan import secret_report
 from millrace.llm.sentence_pieces import piece_report
 from millrace.llm.sharding import shard_documents
 from millrace.llm.token_counts import count_tokens
+from millrace.plans.tables import read_table
 
 TOKEN_LIMIT = 512
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -30,44 +27,44 @@ def _tokenizer_file(name: str) -> str:
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), capacity=8192)
+    return pack_documents(read_table(spark, sf_dir, "documents"), capacity=8192)
 
 
 def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_search.search_report(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return exact_search.search_report(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = count_tokens(_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", counted["n_tokens"] > TOKEN_LIMIT)
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, inner=80, union=100)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, inner=80, union=100)
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_report(_table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"))
+    return piece_report(read_table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(_table(spark, sf_dir, "documents"))
+    return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_report(_table(spark, sf_dir, "documents"))
+    return secret_report(read_table(spark, sf_dir, "documents"))
 
 
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_zst.archive_report(_table(spark, sf_dir, "pages"))
+    return warc_zst.archive_report(read_table(spark, sf_dir, "pages"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_report(_table(spark, sf_dir, "documents"))
+    return language_report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
