@@ -11,7 +11,9 @@
    full shingle sets and joined to components.
 4. A second round counts collisions of all pairs of a list whose ends are in different
    components - in blocks, for long lists - so that no link between components is lost,
-   while the pairs within a group are never listed.
+   while the pairs within a group are never listed. Where a block has many pairs a node, as
+   among texts just below the similarity, its nodes are passed on instead, a row each, and
+   compared on full sets in place; of their links a spanning forest is kept.
 5. Components of all confirmed links are the result.
 
 Of the 512 lanes of a signature, 64 are posted. ``match`` and the agreement over all lanes
@@ -38,6 +40,9 @@ LANES = 512  # all lanes; the others have 4 bits and only count
 MISS = 5e-5
 SKETCH = 1 << 18
 BLOCK = 1024
+DENSE = 4  # candidate pairs a node from which a block's nodes are passed on
+DENSE_SHINGLES = 1 << 24  # of a block whose sets are held at once; beyond, its pairs are listed
+COLUMNS = 4096
 SIG_BYTES = 4 * COORDINATES + (LANES - COORDINATES) // 2
 
 _SEEDS = np.arange(1, LANES + 1, dtype=U64)
@@ -153,12 +158,14 @@ def _agreeing(match: int, agree: int):
 
 
 def _merge_lists(common, inner: int, union: int, match: int, agree: int):
-    """Candidate pairs across components, from rows sorted by posting list and cell.
+    """Candidate pairs across components, from rows sorted by posting list and cell; for a dense
+    cell its nodes, with the cell and without a second end.
 
     A cell holds at most two blocks of a list. A pair is reported in the list of the
     first token, in the nodes' common order, that both have: that list is in both
     prefixes if any is, so each pair comes once.
     """
+    names = ["a", "b", "token", "cell"]
 
     def cell_pairs(counts, token, left, right, block, ids, comp, n, posted, other) -> tuple[list[int], list[int]]:
         a, b = [], []
@@ -189,15 +196,20 @@ def _merge_lists(common, inner: int, union: int, match: int, agree: int):
             stop = ends[-1] if ends else 0
             block, ids, comp, n = (t.column(c).to_numpy() for c in ("block", "id", "comp", "n"))
             posted, other = _sig_rows(t.column("sig").slice(0, stop)) if stop else (None, None)
-            a, b, at = [], [], 0
+            out: list[tuple] = []
+            at = 0
             for end in ends:
                 if end - at > 1:
                     c = int(cell[at])
                     x, y = cell_pairs(counts, token[at], c >> 32, c & 0xFFFFFFFF, *(v[at:end] for v in (block, ids, comp, n, posted, other)))
-                    a += x
-                    b += y
+                    met = sorted({*x, *y})
+                    if len(x) > DENSE * len(met) and n[at:end][np.isin(ids[at:end], met)].sum() <= DENSE_SHINGLES:
+                        out += [(i, None, int(token[at]), c) for i in met]
+                    else:
+                        out += [(i, j, None, None) for i, j in zip(x, y)]
                 at = end
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]), t.slice(stop)
+            cols = [pa.array(v, pa.int64()) for v in (zip(*out) if out else [[]] * 4)]
+            return pa.record_batch(cols, names), t.slice(stop)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -232,6 +244,60 @@ def _confirm(inner: int, union: int):
     return run
 
 
+def spanning_links(ids: np.ndarray, sets: list[np.ndarray], inner: int, union: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets, each of distinct shingles."""
+    n, size = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    owner = np.repeat(np.arange(n), size.astype(np.int64))
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((n, n), dtype=np.float32)  # counts below 2**24 are exact
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS), dtype=np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    linked = (union + inner) * both.astype(np.float64) >= inner * (size[:, None] + size[None, :])
+    fresh, out = np.ones(n, dtype=bool), []
+    for root in range(n):
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(linked[i] & fresh)
+            fresh[new] = False
+            out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in new]
+            todo += new.tolist()
+    return out
+
+
+def _link_cells(inner: int, union: int):
+    """Links of the cells that rows (a, token, cell, shingles), sorted by cell, hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            links = spanning_links(np.array(ids), sets, inner, union)
+            return pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*links) if links else [[]] * 2)], ["a", "b"])
+
+        for batch in batches:
+            for i, token, cell, shingles in zip(*[batch.column(c).to_pylist() for c in range(3)], batch.column(3)):
+                if (token, cell) != now and ids:
+                    yield found()
+                    ids, sets = [], []
+                now = token, cell
+                ids.append(i)
+                sets.append(np.frombuffer(shingles.as_buffer(), U64).copy())
+        if ids:
+            yield found()
+
+    return run
+
+
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,19 +337,23 @@ def _grouped_rows(docs: DataFrame, k: int, inner: int, union: int, miss: float,
     lists = scratch.save(posts.join(lists, "token"), "lists")
     scratch.drop("posts")
 
-    def confirmed(near: DataFrame, name: str) -> DataFrame:
-        near = scratch.save(near, f"{name}-near")
-        needed = near.select(F.col("a").alias("node")).distinct().union(near.select("b").distinct()).distinct()
-        needed = scratch.save(nodes.join(needed, "node"), f"{name}-needed")
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        needed = scratch.save(nodes.join(ids, "node"), f"{name}-needed")
         sets = own.join(needed.select(F.col("least").alias("id")).distinct(), "id").select("text").mapInArrow(_full_sets(k), "h1 long, h2 long, shingles binary")
         sets = scratch.save(sets.join(needed.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), f"{name}-sets")
+        scratch.drop(f"{name}-needed")
+        return sets
+
+    def confirmed(near: DataFrame, name: str) -> DataFrame:
+        near = scratch.save(near, f"{name}-near")
+        sets = sets_of(near.select(F.col("a").alias("node")).distinct().union(near.select("b").distinct()).distinct(), name)
         # a first end's set goes once to each part of its pairs, not along with each pair
         dealt = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
         first = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
         second = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
         met = first.unionByName(second).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         out = scratch.save(met.select("a", "b", "shingles").mapInArrow(_confirm(inner, union), "a long, b long"), f"{name}-links")
-        scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-near")
+        scratch.drop(f"{name}-sets", f"{name}-near")
         return out
 
     ends = [signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
@@ -311,13 +381,21 @@ def _grouped_rows(docs: DataFrame, k: int, inner: int, union: int, miss: float,
     cells = cells.join(signed, "id").select("token", "cell", "block", "id", "comp", "n", "sig")
     across = (
         cells.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell")
-        .mapInArrow(_merge_lists(common, inner, union, match, agree), "a long, b long").distinct()
+        .mapInArrow(_merge_lists(common, inner, union, match, agree), "a long, b long, token long, cell long")
     )
-    more = confirmed(across, "second")
-    scratch.drop("mixed", "signed")
+    across = scratch.save(across, "across")
+    more = confirmed(across.where("b is not null").select("a", "b").distinct(), "second")
+    dense = across.where("b is null").select("a", "token", "cell")
+    if not dense.isEmpty():
+        sets = sets_of(dense.select(F.col("a").alias("node")).distinct(), "dense")
+        held = dense.join(sets.withColumnRenamed("node", "a"), "a").select("a", "token", "cell", "shingles")
+        held = held.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "a")
+        more = more.unionByName(scratch.save(held.mapInArrow(_link_cells(inner, union), "a long, b long"), "dense-links"))
+        scratch.drop("dense-sets")
+    scratch.drop("mixed", "signed", "across")
 
     merged = scratch.save(connected_components(links.unionByName(more)), "components")
-    scratch.drop("first-links", "second-links")
+    scratch.drop("first-links", "second-links", "dense-links")
     least = merged.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     reached = nodes.join(merged.join(least, "component"), "node", "left").select(
         "h1", "h2", F.coalesce("component", "node").alias("comp"), F.coalesce("component_id", "least").alias("component_id")

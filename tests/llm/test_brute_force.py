@@ -12,7 +12,7 @@ import corpus_pipeline
 from millrace.llm import exact_search
 from millrace.llm.exact_search import exact_top_k
 from millrace.llm.language_id import DIMENSION, _symbol_vectors, fit_profiles, predict_languages
-from millrace.llm.near_dup import drop_near_duplicates, match_thresholds, near_duplicates
+from millrace.llm.near_dup import drop_near_duplicates, match_thresholds, near_duplicates, spanning_links
 from millrace.llm.packing import best_fit, pack_documents
 from millrace.llm.quality_rules import CONSISTENCY, FLOORS, SUPPORT, quality_verdicts
 from millrace.llm.secret_scan import redact_secrets, scan_secrets
@@ -183,6 +183,38 @@ def test_links_equal_plain_sets(spark, inner):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_dense_lists_of_unlinked_texts(spark):
+    """Variants of one text whose similarity is around the threshold, a few of them copies."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(400), 5):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[10 * i + 9][1] + " tail") for i in range(16)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 84, 100).collect()}
+    want = {}
+    for own in groups(rows, 4, 84, 100):
+        want |= {rows[i][0]: min(rows[j][0] for j in own) for i in own}
+    assert got == want and 16 <= len(rows) - len(set(want.values()))
+
+
+@pytest.mark.parametrize("inner", [80, 60])
+def test_spanning_links(inner):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice([f"a{j}", f"a{j}", f"b{j}"]) for j in range(40))) for i in range(60)] + [(60, "q w e r t"), (61, "Q w e r t")]
+    ids = {w: i for i, w in enumerate({s for _, t in rows for s in shingles(t, 2)})}
+    sets = [np.array(sorted(ids[s] for s in shingles(t, 2)), dtype=np.uint64) for _, t in rows]
+    root = {i: i for i, _ in rows}
+    for a, b in spanning_links(np.arange(62), sets, inner, 100):
+        assert root[a] != root[b]
+        root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+    got = sorted(sorted(i for i in root if root[i] == r) for r in set(root.values()))
+    assert got == sorted(map(sorted, groups(rows, 2, inner, 100)))
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = near_rows()
     got = [tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()]
