@@ -41,10 +41,10 @@ def test_json_and_csv(spark, tmp_path):
     assert sorted(r.a for r in files.read_json(spark, lines, "a int").collect()) == [1, 2]
     assert sorted(r.a for r in files.read_json(spark, array, "a int", array=True).collect()) == [3, 4]
     assert files.read_csv(spark, put(tmp_path, "n.csv", "a,b\n1,x\n"), "a int, b string").collect() == [(1, "x")]
-    good = put(tmp_path, "users.csv", "sunet_id,api_key\n ann , k1\nbob,k2 \n")
-    assert sorted(map(tuple, files.read_strict_csv(spark, good, ["sunet_id", "api_key"]).collect())) == [("ann", "k1"), ("bob", "k2")]
+    good = put(tmp_path, "users.csv", "user_id,api_key\n ann , k1\nbob,k2 \n")
+    assert sorted(map(tuple, files.read_strict_csv(spark, good, ["user_id", "api_key"]).collect())) == [("ann", "k1"), ("bob", "k2")]
     with pytest.raises(ValueError):
-        files.read_strict_csv(spark, put(tmp_path, "bad.csv", "api_key,sunet_id\na,b\n"), ["sunet_id", "api_key"])
+        files.read_strict_csv(spark, put(tmp_path, "bad.csv", "api_key,user_id\na,b\n"), ["user_id", "api_key"])
     listed = put(tmp_path, "paths.gz", gzip.compress("\n".join(f"p/{i}.wet.gz" for i in range(50)).encode()))
     one, two = ([r.path for r in files.read_path_list(spark, listed, 5, seed).collect()] for seed in (1, 2))
     assert len(set(one)) == 5 and one != two and one == [r.path for r in files.read_path_list(spark, listed, 5, 1).collect()]
