@@ -18,6 +18,7 @@ IP_SHAPE = r"(?U)(?<![\w\d])((?:\d{1,3}\.){3}\d{1,3})(?![\w\d])"
 OCTET = r"0*(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
 IP_VALID = "\x01" + rf"(?:{OCTET}\.){{3}}{OCTET}" + "\x02"
 WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
+PHONE_SIGN, IP_SIGN = r"(?U)\d{3}[\s.-]?\d{4}", r"(?U)\d\.\d"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SENTENCE_END = r"[.!?][\"'”’)\]]*$"
 MIN_WORDS, MAX_WORDS = 50, 100_000
@@ -44,13 +45,18 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+def _where(text: Column, sign: Column, masked: Column, n: Column) -> tuple[Column, Column]:
+    """``masked`` and ``n`` of texts with a cheap ``sign`` that each match must hold; others stay, with none."""
+    return F.when(sign, masked).otherwise(text), F.when(sign, n).when(text.isNotNull(), 0)
+
+
 def mask_emails(text: Column) -> tuple[Column, Column]:
     """The text with e-mail addresses replaced, and their number."""
-    return F.regexp_replace(text, EMAIL, EMAIL_MARK), count_matches(text, EMAIL)
+    return _where(text, text.contains("@"), F.regexp_replace(text, EMAIL, EMAIL_MARK), count_matches(text, EMAIL))
 
 
 def mask_phones(text: Column) -> tuple[Column, Column]:
-    return F.regexp_replace(text, PHONE, PHONE_MARK), count_matches(text, PHONE)
+    return _where(text, text.rlike(PHONE_SIGN), F.regexp_replace(text, PHONE, PHONE_MARK), count_matches(text, PHONE))
 
 
 def mask_ips(text: Column) -> tuple[Column, Column]:
@@ -58,7 +64,9 @@ def mask_ips(text: Column) -> tuple[Column, Column]:
     whole: shapes are fenced first, and only valid ones within fences are replaced."""
     fenced = F.regexp_replace(text, IP_SHAPE, "\x01$1\x02")
     masked = F.regexp_replace(F.regexp_replace(fenced, IP_VALID, IP_MARK), "[\x01\x02]", "")
-    return F.when(text.rlike(IP_SHAPE), masked).otherwise(text), F.when(text.rlike(IP_SHAPE), count_matches(fenced, IP_VALID)).otherwise(0)
+    sign = text.rlike(IP_SIGN) & text.rlike(IP_SHAPE)
+    masked, n = _where(text, sign, masked, count_matches(fenced, IP_VALID))
+    return masked, F.coalesce(n, F.lit(0))
 
 
 def with_masks(docs: DataFrame, text_col: str = "text") -> DataFrame:
