@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.reports import special_split
+from millrace.plans.scratch import Scratch
 
 # Fixed value: the byte-level pre-token pattern, in Java's syntax.
 PRETOKEN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,14 +83,93 @@ def learn_merges(counts: dict[str, int], n_merges: int) -> list[tuple[bytes, byt
     return merges
 
 
+def _independent(top: list[tuple[int, bytes, bytes]], floor: int, made: set[bytes]) -> list[tuple[bytes, bytes]]:
+    """The leading pairs of ``top`` that one pass may merge with the result of single merges.
+
+    A pair joins while no earlier one touches its occurrences and its count exceeds that of
+    every neighbour pair of the earlier ones, which bounds the pairs their merges make.
+    ``floor`` bounds the counts of pairs not in ``top``; a merge that makes a symbol which
+    exists already ends the batch, as it may raise counts. ``made`` is extended."""
+    ending, starting = defaultdict(int), defaultdict(int)
+    for n, a, b in top:
+        ending[b] = max(ending[b], n)
+        starting[a] = max(starting[a], n)
+    out, firsts, seconds, bound = [], set(), set(), floor
+    for n, a, b in top:
+        if out and (n <= bound or b in firsts or a in seconds):
+            break
+        out.append((a, b))
+        firsts.add(a)
+        seconds.add(b)
+        bound = max(bound, ending[a], starting[b])
+        known = a + b in made
+        made.add(a + b)
+        if known:
+            break
+    return out
+
+
+def learn_merges_distributed(counted: DataFrame, n_merges: int, scratch: Scratch, candidates: int = 4096) -> list[tuple[bytes, bytes]]:
+    """The merges of ``learn_merges`` for a table ``(pretoken, n)`` of any size.
+
+    Each round counts pairs with partial sums, brings the ``candidates`` most frequent to the
+    driver and merges those of them that do not touch each other, in stored tables. An empty
+    table gives no merges."""
+
+    def apply(words: DataFrame, batch: list[tuple[bytes, bytes]]) -> DataFrame:
+        chosen = frozenset(batch)
+
+        @F.pandas_udf("array<binary>")
+        def merged(parts: pd.Series) -> pd.Series:
+            def one(ps) -> list[bytes]:
+                out, i = [], 0
+                while i < len(ps):
+                    if i + 1 < len(ps) and (ps[i], ps[i + 1]) in chosen:
+                        out.append(ps[i] + ps[i + 1])
+                        i += 2
+                    else:
+                        out.append(ps[i])
+                        i += 1
+                return out
+
+            return parts.map(one)
+
+        return words.withColumn("parts", merged("parts")).where(F.size("parts") > 1)
+
+    raw = F.encode("pretoken", "UTF-8")
+    single = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+    words = scratch.save(counted.where(F.length(raw) > 1).select(single.alias("parts"), "n"), "words-0")
+    merges: list[tuple[bytes, bytes]] = []
+    made = {bytes([b]) for b in range(256)}
+    pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.get("parts", i - 1).alias("a"), F.get("parts", i).alias("b")))
+    k = 0
+    while len(merges) < n_merges:
+        weight = words.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+        rows = weight.orderBy(F.desc("n"), F.desc("p.a"), F.desc("p.b")).limit(candidates).collect()
+        if not rows:
+            break
+        top = [(r.n, bytes(r.p.a), bytes(r.p.b)) for r in rows]
+        batch = _independent(top, top[-1][0] if len(top) == candidates else 0, made)[: n_merges - len(merges)]
+        merges += batch
+        words = scratch.save(apply(words, batch), f"words-{k + 1}")
+        scratch.drop(f"words-{k}")
+        k += 1
+    scratch.drop(f"words-{k}")
+    return merges
+
+
 def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), min_count: int = 1, text_col: str = "text", max_pretokens: int = 2_000_000):
-    """Vocabulary and merges. Pre-tokens are counted in Spark; the merge loop needs their
-    distinct counts on the driver, of which at most ``max_pretokens`` may come."""
-    counted = pretoken_counts(docs, text_col).where(F.col("n") >= min_count)
-    rows = counted.limit(max_pretokens + 1).toPandas()
-    if len(rows) > max_pretokens:
-        raise ValueError("too many distinct pre-tokens for the driver; raise min_count")
-    merges = learn_merges(dict(zip(rows["pretoken"], rows["n"])), max(0, vocab_size - 256 - len(specials)))
+    """Vocabulary and merges. Pre-tokens are counted in Spark; up to ``max_pretokens`` distinct
+    ones are merged on the driver, more in distributed rounds, with the same result."""
+    scratch = Scratch(docs.sparkSession, "bpe")
+    counted = scratch.save(pretoken_counts(docs, text_col).where(F.col("n") >= min_count), "counts")
+    n_merges = max(0, vocab_size - 256 - len(specials))
+    if counted.count() <= max_pretokens:
+        rows = counted.toPandas()
+        merges = learn_merges(dict(zip(rows["pretoken"], rows["n"])), n_merges)
+    else:
+        merges = learn_merges_distributed(counted, n_merges, scratch)
+    scratch.drop("counts")
     vocab = [bytes([b]) for b in range(256)] + [a + b for a, b in merges] + [s.encode() for s in dict.fromkeys(specials)]
     return dict(enumerate(vocab)), merges
 

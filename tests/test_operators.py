@@ -1,5 +1,6 @@
 import gzip
 import math
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from millrace.operators import curation as C
 from millrace.operators import sequences as Q
 from millrace.operators import service as S
 from millrace.operators.components import connected_components
+from millrace.plans.scratch import Scratch
 from millrace.sources import web
 
 
@@ -132,6 +134,42 @@ def test_bpe(spark):
     assert bpe._merge((b"a", b"a", b"a"), (b"a", b"a")) == (b"aa", b"a")
 
 
+def test_bpe_rounds_equal_single_merges(spark, sf_dir):
+    """Distributed rounds against the driver's loop: real texts, ties, runs of a byte, other scripts."""
+    small = docs(spark, ["aaaa aaa aa abab baba aabb bbaa cccccc", "xyz xyz yzx zxy xyzxyz", "\u00e9t\u00e9 \u00e9t\u00e9 \u65e5\u672c\u8a9e", "", None])
+    for d, size in ((small, 256 + 60), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 256 + 40), (small.limit(0), 300)):
+        assert bpe.train_bpe(d, size, max_pretokens=0) == bpe.train_bpe(d, size)
+    words = {"abc": 5, "bcab": 4, "abbc": 4, "aab": 3, "cabc": 3}
+    scratch = Scratch(spark, "bpe-test")
+    counted = spark.createDataFrame(list(words.items()), "pretoken string, n long")
+    for candidates in (1, 2, 3, 4096):
+        assert bpe.learn_merges_distributed(counted, 20, scratch, candidates) == bpe.learn_merges(words, 20)
+
+
+def test_bpe_batches_on_random_words():
+    """The batch rule alone, over many small random tables, against one merge at a time."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(300):
+        words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(rng.randint(1, 12))}
+        want, got, made = bpe.learn_merges(words, 40), [], {bytes([b]) for b in range(256)}
+        held, keep = [([bytes([c]) for c in w.encode()], n) for w, n in words.items()], rng.choice((1, 2, 3, 5, 1000))
+        while True:
+            weight = Counter()
+            for parts, n in held:
+                for p in zip(parts, parts[1:]):
+                    weight[p] += n
+            top = sorted(((n, a, b) for (a, b), n in weight.items()), reverse=True)[:keep]
+            if not top:
+                break
+            batch = bpe._independent(top, top[-1][0] if len(top) == keep else 0, made)
+            got += batch
+            for pair in batch:
+                held = [(list(bpe._merge(tuple(parts), pair)), n) for parts, n in held]
+        assert got[:40] == want
+
+
 @pytest.mark.parametrize("a, b, same", [("\\frac{1}{2}", "1/2", True), ("0.5", "1/2", True), ("$1,000$", "1000", True), ("3", "4", False), ("x=5", "5", True), ("", "1", False)])
 def test_answers(a, b, same):
     assert G.answers_equal(a, b) is same
