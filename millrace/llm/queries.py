@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_search, near_dup, secret_scan, warc_zst
+from millrace.llm import conversations, exact_search, near_dup, secret_scan, spelling, warc_zst
+from millrace.llm.fingerprints import fingerprint_report
 from millrace.llm.language_id import language_report
 from millrace.llm.near_dup import near_duplicates
 from millrace.llm.packing import pack_documents
@@ -67,11 +68,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_kd_sharding, op2_best_fit_packing, op3_exact_search, op4_token_counts, op5_minhash_near_dup,
         op6_sentence_pieces, op7_quality_rules, op8_secret_scan, op9_warc_zstd, op10_language_id,
+        op11_spelling_variants, op12_fingerprints, op13_conversation_repair,
     )
 }
 
@@ -80,4 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dup": near_dup.ORACLE_SQL,
     "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_warc_zstd": warc_zst.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
 }
