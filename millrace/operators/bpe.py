@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ def _merge(parts: tuple[bytes, ...], pair: tuple[bytes, bytes]) -> tuple[bytes,
 
 
 def learn_merges(counts: dict[str, int], n_merges: int) -> list[tuple[bytes, bytes]]:
-    """Merges in order: the most frequent adjacent pair, ties to the greatest pair of bytes.
+    """Merges in order: the most frequent adjacent pair, ties to the greatest pair of bytes; one loop over a small table.
 
     Counts are kept by pair with the words that hold it; a stale heap entry is dropped when met."""
     words = [(tuple(bytes([b]) for b in w.encode()), n) for w, n in sorted(counts.items())]
@@ -83,92 +87,200 @@ def learn_merges(counts: dict[str, int], n_merges: int) -> list[tuple[bytes, byt
     return merges
 
 
-def _independent(top: list[tuple[int, bytes, bytes]], floor: int, made: set[bytes]) -> list[tuple[bytes, bytes]]:
-    """The leading pairs of ``top`` that one pass may merge with the result of single merges.
-
-    A pair joins while no earlier one touches its occurrences and its count exceeds that of
-    every neighbour pair of the earlier ones, which bounds the pairs their merges make.
-    ``floor`` bounds the counts of pairs not in ``top``; a merge that makes a symbol which
-    exists already ends the batch, as it may raise counts. ``made`` is extended."""
-    ending, starting = defaultdict(int), defaultdict(int)
-    for n, a, b in top:
-        ending[b] = max(ending[b], n)
-        starting[a] = max(starting[a], n)
-    out, firsts, seconds, bound = [], set(), set(), floor
-    for n, a, b in top:
-        if out and (n <= bound or b in firsts or a in seconds):
-            break
-        out.append((a, b))
-        firsts.add(a)
-        seconds.add(b)
-        bound = max(bound, ending[a], starting[b])
-        known = a + b in made
-        made.add(a + b)
-        if known:
-            break
-    return out
-
-
-def learn_merges_distributed(counted: DataFrame, n_merges: int, scratch: Scratch, candidates: int = 4096) -> list[tuple[bytes, bytes]]:
-    """The merges of ``learn_merges`` for a table ``(pretoken, n)`` of any size.
-
-    Each round counts pairs with partial sums, brings the ``candidates`` most frequent to the
-    driver and merges those of them that do not touch each other, in stored tables. An empty
-    table gives no merges."""
-
-    def apply(words: DataFrame, batch: list[tuple[bytes, bytes]]) -> DataFrame:
-        chosen = frozenset(batch)
-
-        @F.pandas_udf("array<binary>")
-        def merged(parts: pd.Series) -> pd.Series:
-            def one(ps) -> list[bytes]:
-                out, i = [], 0
-                while i < len(ps):
-                    if i + 1 < len(ps) and (ps[i], ps[i + 1]) in chosen:
-                        out.append(ps[i] + ps[i + 1])
-                        i += 2
-                    else:
-                        out.append(ps[i])
-                        i += 1
-                return out
-
-            return parts.map(one)
-
-        return words.withColumn("parts", merged("parts")).where(F.size("parts") > 1)
-
-    raw = F.encode("pretoken", "UTF-8")
-    single = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
-    words = scratch.save(counted.where(F.length(raw) > 1).select(single.alias("parts"), "n"), "words-0")
+class _Symbols:
+    """Symbols numbered alike in all tasks; a pair is the two numbers in one."""
+
+    def __init__(self):
+        self.text: list[bytes] = []
+        self.order: list[tuple[int, ...]] = []  # smallest first for the greatest bytes
+        self.number: dict[bytes, int] = {}
+        for b in range(256):
+            self.add(bytes([b]))
+
+    def add(self, text: bytes) -> int:
+        if text not in self.number:
+            self.number[text] = len(self.text)
+            self.text.append(text)
+            self.order.append((*(255 - x for x in text), 256))
+        return self.number[text]
+
+    def cut(self, size: int) -> None:
+        for text in self.text[size:]:
+            del self.number[text]
+        del self.text[size:], self.order[size:]
+
+    def pair(self, key: int) -> tuple[bytes, bytes]:
+        return self.text[key >> 32], self.text[key & 0xFFFFFFFF]
+
+
+class _Totals:
+    """Counts of all pairs over all tasks, and the order in which they would be merged."""
+
+    def __init__(self, symbols: _Symbols):
+        self.symbols, self.count, self.heap = symbols, {}, []
+
+    def _entry(self, key: int) -> tuple:
+        return -self.count[key], self.symbols.order[key >> 32], self.symbols.order[key & 0xFFFFFFFF], key
+
+    def add(self, keys: list[int], changes: list[int]) -> None:
+        for key, d in zip(keys, changes):
+            n = self.count.get(key, 0) + d
+            if n > 0:
+                self.count[key] = n
+                heapq.heappush(self.heap, self._entry(key))
+            else:
+                self.count.pop(key, None)
+
+    def leading(self, most: int) -> list[int]:
+        """The pairs that would be merged next if no merge changed a count."""
+        out, seen = [], set()
+        while self.heap and len(out) < most:
+            top = heapq.heappop(self.heap)
+            if self.count.get(top[3], 0) == -top[0] and top[3] not in seen:
+                out.append(top)
+                seen.add(top[3])
+        for top in out:
+            heapq.heappush(self.heap, top)
+        return [top[3] for top in out]
+
+
+class _Shard:
+    """One task's words, as lists of symbol numbers, with the words of each pair."""
+
+    def __init__(self, symbols: _Symbols, words: Iterator[tuple[list[bytes], int]]):
+        self.symbols, self.words, self.n = symbols, [], []
+        self.where: dict[int, list[int]] = defaultdict(list)
+        for parts, n in words:
+            own = [symbols.add(x) for x in parts]
+            for a, b in zip(own, own[1:]):
+                self.where[a << 32 | b].append(len(self.words))
+            self.words.append(own)
+            self.n.append(n)
+
+    def counts(self) -> dict[int, int]:
+        out: dict[int, int] = defaultdict(int)
+        for own, n in zip(self.words, self.n):
+            for a, b in zip(own, own[1:]):
+                out[a << 32 | b] += n
+        return out
+
+    def merge(self, key: int) -> tuple[dict[int, int], tuple]:
+        """Merge a pair in the words that hold it: what that changes in the counts, and what undoes it."""
+        size = len(self.symbols.text)
+        a, b = key >> 32, key & 0xFFFFFFFF
+        made = self.symbols.add(self.symbols.text[a] + self.symbols.text[b])
+        changes: dict[int, int] = defaultdict(int)
+        held, before = self.where.pop(key, []), []
+        for at in set(held):
+            own, n, out, i = self.words[at], self.n[at], [], 0
+            end = len(own) - 1
+            while i <= end:
+                if i < end and own[i] == a and own[i + 1] == b:
+                    out.append(made)
+                    i += 2
+                else:
+                    out.append(own[i])
+                    i += 1
+            if len(out) == len(own):
+                continue  # an entry left by a merge that was undone or that took the pair apart
+            for x, y in zip(own, own[1:]):
+                changes[x << 32 | y] -= n
+            for x, y in zip(out, out[1:]):
+                changes[x << 32 | y] += n
+                if x == made or y == made:
+                    self.where[x << 32 | y].append(at)
+            before.append((at, own))
+            self.words[at] = out
+        return {k: d for k, d in changes.items() if d}, (key, held, before, size)
+
+    def undo(self, steps: list[tuple]) -> None:
+        for key, held, before, size in reversed(steps):
+            for at, own in before:
+                self.words[at] = own
+            self.where[key] = held + self.where.get(key, [])
+            self.symbols.cut(size)
+
+
+def _gathered(ctx, steps: list[dict[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """For each step the changes of all tasks, summed."""
+    own = np.array([(i, k, d) for i, step in enumerate(steps) for k, d in step.items()], dtype=np.int64).reshape(-1, 3)
+    told = ctx.allGather(base64.b64encode(own.tobytes()).decode())
+    every = np.concatenate([np.frombuffer(base64.b64decode(x), dtype=np.int64).reshape(-1, 3) for x in told])
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(every[:, 2], first) if len(first) else first
+    cuts = np.searchsorted(every[first, 0], np.arange(len(steps) + 1))
+    return [(every[first[a:b], 1].tolist(), sums[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
+
+
+MOST_AT_ONCE = 256
+
+
+def _learn(known: list[tuple[bytes, bytes]], n_merges: int):
+    """The next merges, found by all tasks of a barrier stage together; the first task returns them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx = BarrierTaskContext.get()
+        rank = {p: i for i, p in enumerate(known)}
+        symbols = _Symbols()
+        for a, b in known:
+            symbols.add(a + b)
+        shard = _Shard(symbols, ((encode_word(w.encode(), rank), n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        totals, merges, width = _Totals(symbols), [], 4
+        totals.add(*_gathered(ctx, [shard.counts()])[0])
+        while len(merges) < n_merges:
+            asked = totals.leading(min(width, n_merges - len(merges)))
+            if not asked:
+                break
+            steps = [shard.merge(key) for key in asked]
+            taken = 0
+            for key, change in zip(asked, _gathered(ctx, [changes for changes, _ in steps])):
+                if totals.leading(1) != [key]:
+                    break  # a merge before it made or raised another pair
+                merges.append(symbols.pair(key))
+                totals.add(*change)
+                taken += 1
+            shard.undo([how for _, how in steps[taken:]])
+            width = min(2 * taken, MOST_AT_ONCE) if taken == len(asked) else taken + 1
+        if ctx.partitionId() == 0 and merges:
+            left, right = zip(*merges)
+            yield pa.record_batch([pa.array(range(len(merges)), pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["rank", "a", "b"])
+
+    return run
+
+
+def learn_merges_distributed(counted: DataFrame, n_merges: int, tasks: int, at_once: int = 4096) -> list[tuple[bytes, bytes]]:
+    """The merges of ``learn_merges`` for a table ``(pretoken, n)``, in order.
+
+    Each task of a barrier stage keeps its share of the pre-tokens with an index from pairs to
+    the words that hold them, and the counts of all pairs. In a round all tasks merge the
+    leading pairs, one after the other, in the words that hold them, and exchange only the
+    counts that this changes; merges whose turn did not come, since an earlier one made a more
+    frequent pair, are undone. A stage learns ``at_once`` merges; the next one starts from the
+    merges known so far, so a lost executor costs a stage's work at most.
+
+    ``tasks`` must be slots that the cluster has at a time. A task's memory is its share of
+    the distinct pre-tokens and the distinct pairs; the driver holds the merges."""
     merges: list[tuple[bytes, bytes]] = []
-    made = {bytes([b]) for b in range(256)}
-    pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.get("parts", i - 1).alias("a"), F.get("parts", i).alias("b")))
-    k = 0
     while len(merges) < n_merges:
-        weight = words.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
-        rows = weight.orderBy(F.desc("n"), F.desc("p.a"), F.desc("p.b")).limit(candidates).collect()
-        if not rows:
+        more = min(at_once, n_merges - len(merges))
+        dealt = counted.select("pretoken", "n").where(F.octet_length("pretoken") > 1).repartition(tasks)
+        found = dealt.mapInArrow(_learn(merges, more), "rank int, a binary, b binary", barrier=True).collect()
+        merges += [(bytes(r.a), bytes(r.b)) for r in sorted(found)]
+        if len(found) < more:
             break
-        top = [(r.n, bytes(r.p.a), bytes(r.p.b)) for r in rows]
-        batch = _independent(top, top[-1][0] if len(top) == candidates else 0, made)[: n_merges - len(merges)]
-        merges += batch
-        words = scratch.save(apply(words, batch), f"words-{k + 1}")
-        scratch.drop(f"words-{k}")
-        k += 1
-    scratch.drop(f"words-{k}")
     return merges
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), min_count: int = 1, text_col: str = "text", max_pretokens: int = 2_000_000):
-    """Vocabulary and merges. Pre-tokens are counted in Spark; up to ``max_pretokens`` distinct
-    ones are merged on the driver, more in distributed rounds, with the same result."""
-    scratch = Scratch(docs.sparkSession, "bpe")
+def train_bpe(docs: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), min_count: int = 1, text_col: str = "text", tasks: int | None = None):
+    """Vocabulary and merges: pre-tokens are counted, then merged by ``tasks`` tasks together
+    (unset: as many as the session has cores, 64 at most)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "bpe")
     counted = scratch.save(pretoken_counts(docs, text_col).where(F.col("n") >= min_count), "counts")
-    n_merges = max(0, vocab_size - 256 - len(specials))
-    if counted.count() <= max_pretokens:
-        rows = counted.toPandas()
-        merges = learn_merges(dict(zip(rows["pretoken"], rows["n"])), n_merges)
-    else:
-        merges = learn_merges_distributed(counted, n_merges, scratch)
+    merges = learn_merges_distributed(counted, max(0, vocab_size - 256 - len(specials)), tasks or min(spark.sparkContext.defaultParallelism, 64))
     scratch.drop("counts")
     vocab = [bytes([b]) for b in range(256)] + [a + b for a, b in merges] + [s.encode() for s in dict.fromkeys(specials)]
     return dict(enumerate(vocab)), merges

@@ -488,7 +488,7 @@ def word_counts_top(spark, sf):
 def bpe_merges(spark, sf):
     from millrace.operators.bpe import train_bpe
 
-    _, merges = train_bpe(table(spark, sf, "documents"), 320)
+    _, merges = train_bpe(table(spark, sf, "documents"), 10_256)
     return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(merges)], "rank int, left_hex string, right_hex string")
 
 

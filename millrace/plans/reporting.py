@@ -292,13 +292,12 @@ def budget_search(spark, sf):
     return R.within_budget(o, "start", "n_chars", 100_000, "doc_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-g AS (SELECT conv_id, turn, n, i, 0::BIGINT AS run, n::BIGINT AS used FROM e WHERE i = 1
-UNION ALL SELECT e.conv_id, e.turn, e.n, e.i, CASE WHEN g.used + e.n > 900 THEN g.run + 1 ELSE g.run END, CASE WHEN g.used + e.n > 900 THEN e.n ELSE g.used + e.n END FROM g JOIN e ON e.conv_id = g.conv_id AND e.i = g.i + 1)
-SELECT conv_id, turn, run FROM g""")
+@query("""WITH RECURSIVE e AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+g AS (SELECT doc_id, n, i, 0::BIGINT AS run, n::BIGINT AS used FROM e WHERE i = 1
+UNION ALL SELECT e.doc_id, e.n, e.i, CASE WHEN g.used + e.n > 16384 THEN g.run + 1 ELSE g.run END, CASE WHEN g.used + e.n > 16384 THEN e.n ELSE g.used + e.n END FROM g JOIN e ON e.i = g.i + 1)
+SELECT doc_id, run FROM g""")
 def ordered_runs(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return Q.greedy_packs(c, "conv_id", "turn", "n", 900).withColumnRenamed("pack", "run")
+    return Q.ordered_runs(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16384).select("doc_id", F.col("pack").alias("run"))
 
 
 _WIDTHS = lambda t: f"list_transform(string_split({t}, ' '), lambda w: length(w)::INT)"

@@ -134,40 +134,58 @@ def test_bpe(spark):
     assert bpe._merge((b"a", b"a", b"a"), (b"a", b"a")) == (b"aa", b"a")
 
 
-def test_bpe_rounds_equal_single_merges(spark, sf_dir):
-    """Distributed rounds against the driver's loop: real texts, ties, runs of a byte, other scripts."""
+def test_bpe_tasks_together_equal_one_loop(spark, sf_dir):
+    """Barrier stages against the single loop: real texts, ties, runs of a byte, other scripts, several stages."""
     small = docs(spark, ["aaaa aaa aa abab baba aabb bbaa cccccc", "xyz xyz yzx zxy xyzxyz", "\u00e9t\u00e9 \u00e9t\u00e9 \u65e5\u672c\u8a9e", "", None])
-    for d, size in ((small, 256 + 60), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 256 + 40), (small.limit(0), 300)):
-        assert bpe.train_bpe(d, size, max_pretokens=0) == bpe.train_bpe(d, size)
-    words = {"abc": 5, "bcab": 4, "abbc": 4, "aab": 3, "cabc": 3}
-    scratch = Scratch(spark, "bpe-test")
-    counted = spark.createDataFrame(list(words.items()), "pretoken string, n long")
-    for candidates in (1, 2, 3, 4096):
-        assert bpe.learn_merges_distributed(counted, 20, scratch, candidates) == bpe.learn_merges(words, 20)
+    for d, n in ((small, 60), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 1500), (small.limit(0), 40)):
+        counted = bpe.pretoken_counts(d).toPandas()
+        want = bpe.learn_merges(dict(zip(counted["pretoken"], counted["n"])), n)
+        assert bpe.train_bpe(d, 256 + n)[1] == want
+    df = spark.createDataFrame(counted_words := [("abc", 5), ("bcab", 4), ("abbc", 4), ("aab", 3), ("cabc", 3), ("a", 9)], "pretoken string, n long")
+    for tasks, at_once in ((1, 1), (3, 2), (8, 100)):
+        assert bpe.learn_merges_distributed(df, 20, tasks, at_once) == bpe.learn_merges(dict(counted_words), 20)
 
 
-def test_bpe_batches_on_random_words():
-    """The batch rule alone, over many small random tables, against one merge at a time."""
+def test_bpe_tasks_on_random_words(monkeypatch):
+    """The tasks' loop alone, in threads that exchange as a barrier stage does, over many small random tables."""
     import random
+    import threading
 
+    import pyarrow as pa
+
+    class Context:
+        def __init__(self, i, barrier, told):
+            self.i, self.barrier, self.told = i, barrier, told
+
+        def partitionId(self):
+            return self.i
+
+        def allGather(self, message):
+            self.told[self.i] = message
+            self.barrier.wait(10)
+            got = list(self.told)
+            self.barrier.wait(10)
+            return got
+
+    here = threading.local()
+    monkeypatch.setattr(bpe, "BarrierTaskContext", type("Fake", (), {"get": staticmethod(lambda: here.ctx)}))
     rng = random.Random(7)
     for _ in range(300):
         words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(rng.randint(1, 12))}
-        want, got, made = bpe.learn_merges(words, 40), [], {bytes([b]) for b in range(256)}
-        held, keep = [([bytes([c]) for c in w.encode()], n) for w, n in words.items()], rng.choice((1, 2, 3, 5, 1000))
-        while True:
-            weight = Counter()
-            for parts, n in held:
-                for p in zip(parts, parts[1:]):
-                    weight[p] += n
-            top = sorted(((n, a, b) for (a, b), n in weight.items()), reverse=True)[:keep]
-            if not top:
-                break
-            batch = bpe._independent(top, top[-1][0] if len(top) == keep else 0, made)
-            got += batch
-            for pair in batch:
-                held = [(list(bpe._merge(tuple(parts), pair)), n) for parts, n in held]
-        assert got[:40] == want
+        shares = [list(words.items())[i::3] for i in range(3)]
+        barrier, told, out, half = threading.Barrier(3), [""] * 3, [], rng.randint(0, 20)
+        known = bpe.learn_merges(words, half)
+
+        def task(i):
+            here.ctx = Context(i, barrier, told)
+            own = pa.record_batch([pa.array([w for w, _ in shares[i]], pa.string()), pa.array([n for _, n in shares[i]], pa.int64())], ["pretoken", "n"])
+            for b in bpe._learn(known, 40 - half)(iter([own])):
+                out.extend(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+
+        threads = [threading.Thread(target=task, args=(i,)) for i in range(3)]
+        [t.start() for t in threads]
+        [t.join(20) for t in threads]
+        assert known + out == bpe.learn_merges(words, 40)
 
 
 @pytest.mark.parametrize("a, b, same", [("\\frac{1}{2}", "1/2", True), ("0.5", "1/2", True), ("$1,000$", "1000", True), ("3", "4", False), ("x=5", "5", True), ("", "1", False)])
