@@ -1,100 +1,12 @@
-"""Answer normalisation and rule rewards."""
+"""Whether a text repeats itself: common prefixes of neighbouring suffixes."""
 
 from __future__ import annotations
 
-import re
-from fractions import Fraction
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def last_boxed(text: str | None) -> str | None:
-    """Content of the last \\boxed{...} or \\fbox{...} whose braces balance."""
-    if not text:
-        return None
-    at = max(text.rfind("\\boxed{"), text.rfind("\\fbox{"))
-    if at < 0:
-        return None
-    depth, begin = 0, text.index("{", at)
-    for i in range(begin, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            return text[begin + 1 : i]
-    return None
-
-
-_DROPPED = ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "\\$", "$", "\\%", "%", "^{\\circ}", "^\\circ")
-
-
-def normalise_answer(text: str | None) -> str | None:
-    """One spelling of an answer: no spaces, units, signs of markup; plain fractions; no leading zero lost."""
-    if text is None:
-        return None
-    s = text.strip().rstrip(".")
-    s = re.sub(r"\\text\s*\{([^{}]*)\}", r"\1", s)
-    s = re.sub(r"\\(?:mbox|mathrm|mathbf)\s*\{([^{}]*)\}", r"\1", s)
-    for d in _DROPPED:
-        s = s.replace(d, "")
-    s = s.replace("dfrac", "frac").replace("tfrac", "frac")
-    s = re.sub(r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(\1)/(\2)", s)
-    s = re.sub(r"\\frac\s*(\d)\s*(\d)", r"(\1)/(\2)", s)
-    s = re.sub(r"\(([-+]?\d+)\)/\((\d+)\)", r"\1/\2", s)
-    s = re.sub(r"\\sqrt\s*(\w)", r"\\sqrt{\1}", s)
-    if s.count("=") == 1 and len(s.split("=")[0].strip()) <= 2:
-        s = s.split("=")[1]
-    s = re.sub(r"(?<=\d),(?=\d{3}\b)", "", s)
-    s = re.sub(r"\s+", "", s).lower()
-    s = re.sub(r"(^|[^\d])\.(?=\d)", r"\g<1>0.", s)
-    return re.sub(r"^([-+]?\d+)\.0+$", r"\1", s)
-
-
-def as_number(text: str | None) -> Fraction | None:
-    try:
-        return Fraction(text) if text and re.fullmatch(r"[-+]?\d+(?:\.\d+)?(?:/\d+)?", text) and not ("." in text and "/" in text) else None
-    except (ValueError, ZeroDivisionError):
-        return None
-
-
-def answers_equal(given: str | None, truth: str | None) -> bool:
-    """Equal after normalising, or equal as numbers. Without a computer algebra system,
-    other symbolic equalities are not found."""
-    a, b = normalise_answer(given), normalise_answer(truth)
-    if a is None or b is None or not a:
-        return False
-    if a == b:
-        return True
-    x, y = as_number(a), as_number(b)
-    if x is None or y is None:
-        return False
-    if y.denominator == 1 and x.denominator == 1:
-        return x == y
-    return abs(x - y) <= abs(y) * Fraction(1, 10_000)
-
-
-def format_reward(response: str | None, truth: str | list[str] | None) -> tuple[float, float, float]:
-    """(reward, format, answer): the answer counts only in '</think> <answer>...</answer>'."""
-    if not response or "</think> <answer>" not in response or "</answer>" not in response:
-        return 0.0, 0.0, 0.0
-    body = response.split("<answer>")[-1].replace("</answer>", "")
-    inner = last_boxed(body) if "\\boxed" in body else body
-    truths = truth if isinstance(truth, list) else [truth]
-    right = float(any(answers_equal(inner, t) for t in truths))
-    return right, 1.0, right
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("reward", "format_reward", "answer_reward")]))
-def reward_struct(response: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    rows = [format_reward(a, b) for a, b in zip(response, truth)]
-    return pd.DataFrame(rows, columns=["reward", "format_reward", "answer_reward"])
-
-
-@F.pandas_udf(T.StringType())
-def normalised(text: pd.Series) -> pd.Series:
-    return text.map(normalise_answer)
-
-
 def common_prefix_repetition(text: str) -> float:
     """2 * sum of neighbouring suffixes' common prefixes / (n (n + 1)); 0 for one character or none."""
     n = len(text)

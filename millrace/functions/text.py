@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +93,45 @@ def lines(text: Column) -> Column:
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE_PIECE = rf"[^{_BREAKS}]*+(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]++"
+
+
+def line_pieces(text: Column) -> Column:
+    """Lines with their terminators: joined again, they are the text."""
+    return F.regexp_extract_all(text, F.lit(LINE_PIECE), F.lit(0))
+
+
+def line_key(piece: Column) -> Column:
+    """What makes a line equal to another: all but its final carriage returns and line feeds."""
+    return F.rtrim(piece, F.lit("\r\n"))
+
+
+@cache
+def _unaccented() -> tuple[str, str]:
+    """Characters whose canonical decomposition is one character and marks, with that character; then the marks, to be dropped."""
+    bare = {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if unicodedata.category(c) not in ("Cs", "Mn", "Cn"):
+            kept = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(kept) == 1 and kept[0] != c:
+                bare[c] = kept[0]
+    marks = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Mn")
+    return "".join(bare) + marks, "".join(bare.values())
+
+
+FOLDED_WORD = r"[^\p{P}\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def folded_words(text: Column) -> Column:
+    """Words of a text in lower case without accents; punctuation and white space part them.
+
+    Decomposition is a map over single characters, so it stays in the JVM: characters that
+    decompose into several letters (Hangul syllables) stay composed."""
+    low = F.lower(text)
+    return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_unaccented())).otherwise(low), F.lit(FOLDED_WORD), F.lit(0))
+
+
 def gopher_features(text: Column) -> Column:
     """Struct n_words, mean_length, ellipsis_ratio, alphabetic_ratio."""
     per_word = let(

@@ -74,25 +74,29 @@ def ablation(docs: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -
     )
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(id_col), F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-
-
 def line_frequency(docs: DataFrame) -> DataFrame:
-    return document_lines(docs).groupBy("line").agg(F.count("*").alias("n"))
+    """``(line, n)``: lines without their line feeds and carriage returns, over all texts."""
+    pieces = docs.select(F.explode(T.line_pieces(F.coalesce("text", F.lit("")))).alias("piece"))
+    return pieces.groupBy(T.line_key(F.col("piece")).alias("line")).agg(F.count("*").alias("n"))
 
 
 def exact_line_dedup(docs: DataFrame) -> DataFrame:
-    """Every document with only the lines that occur once in the whole corpus.
-
-    Counting happens on 128-bit keys with partial sums, so a line that is in every
-    document costs a row a task; documents left without lines stay, with empty text."""
-    keyed = document_lines(docs).withColumn("key", F.md5("line"))
-    once = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
-    kept = keyed.join(once, "key", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    return docs.select("doc_id").join(kept, "doc_id", "left").select(
-        "doc_id", F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).alias("n_kept"),
-        F.coalesce(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("")).alias("text"),
+    """``(doc_id, n_kept, text)``: every document with only the lines that occur once in the whole corpus.
+
+    Lines end at any break that str.splitlines knows and keep it; they are equal if they are
+    so without their carriage returns and line feeds. Counting happens on 128-bit keys with
+    partial sums, and the only owner of a line comes out of the same sums, so lines move
+    once, as keys. A document left without lines stays, with empty text; rows that repeat an
+    id are told apart by their texts."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.md5("text"))
+    keyed = own.select(F.struct("doc_id", "mark").alias("owner"), F.posexplode(T.line_pieces(F.col("text"))).alias("line_no", "piece"))
+    sums = keyed.groupBy(F.md5(T.line_key(F.col("piece"))).alias("key")).agg(F.count("*").alias("n"), F.first("owner").alias("owner"), F.first("line_no").alias("line_no"))
+    once = sums.where("n = 1").groupBy("owner").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
+    once = once.select(F.col("owner.doc_id").alias("_doc"), F.col("owner.mark").alias("_mark"), "kept")
+    met = own.join(once, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+    text = T.let(T.line_pieces(F.col("text")), lambda ps: F.array_join(F.transform("kept", lambda i: F.get(ps, i)), ""))
+    return met.select(
+        "doc_id", F.when(F.col("kept").isNull(), 0).otherwise(F.size("kept")).alias("n_kept"), F.when(F.col("kept").isNull(), "").otherwise(text).alias("text")
     )
 
 
@@ -101,14 +105,21 @@ def exact_document_dedup(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
 
 
-def shingles(docs: DataFrame, n: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, shingle)``: distinct hashed n-grams of lower-case words; a text with fewer
-    words has the whole sequence as its one shingle."""
-    ws = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.md5(F.array_join(F.slice(w, i, n), " ")))
-    grams = T.let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(cut(w))).otherwise(F.array().cast("array<string>")))
-    key = F.conv(F.substring("g", 1, 15), 16, 10).cast("long")
-    return docs.select(id_col, F.explode(grams).alias("g")).select(id_col, key.alias("shingle"))
+def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", folded: bool = True) -> DataFrame:
+    """``(doc_id, grams)``: sorted distinct hashed n-grams of words in lower case - without accents, parted by
+    punctuation and white space, or else runs of letters and digits. A text with fewer words has
+    the whole sequence as its one shingle, a text without words none."""
+    text = F.coalesce("text", F.lit(""))
+    ws = T.folded_words(text) if folded else F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    key = lambda g: F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("long")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: key(F.array_join(F.slice(w, i, n), " ")))
+    grams = T.let(ws, lambda w: F.when(F.size(w) > 0, F.array_sort(F.array_distinct(cut(w)))).otherwise(F.array().cast("array<bigint>")))
+    return docs.select(id_col, grams.alias("grams"))
+
+
+def shingles(docs: DataFrame, n: int = 5, id_col: str = "doc_id", folded: bool = True) -> DataFrame:
+    """``(doc_id, shingle)``: a row for each member of ``shingle_sets``."""
+    return shingle_sets(docs, n, id_col, folded).select(id_col, F.explode("grams").alias("shingle"))
 
 
 PRIME = (1 << 31) - 1
@@ -159,14 +170,12 @@ def cross_candidates(buckets: DataFrame, roots: DataFrame, sizes: DataFrame, thr
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def jaccard(pairs: DataFrame, sh: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs with their exact similarity, where it reaches the threshold."""
-    sizes = sh.groupBy("doc_id").agg(F.count("*").alias("n"))
-    side = lambda x: sh.select(F.col("doc_id").alias(x), "shingle")
-    both = pairs.join(side("a"), "a").join(side("b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("both"))
-    n = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
-    ratio = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    return both.join(n("a"), "a").join(n("b"), "b").select("a", "b", ratio.alias("similarity")).where(F.col("similarity") >= threshold)
+def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of ids with the exact similarity of their ``sets`` (doc_id, grams), where it reaches the threshold."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("g_a", "g_b")))
+    ratio = F.col("both") / (F.size("g_a") + F.size("g_b") - F.col("both"))
+    return both.select("a", "b", ratio.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def minhash_dedup(docs: DataFrame, n: int = 5, hashes: int = 20, bands: int = 10, threshold: float = 0.8) -> DataFrame:
@@ -175,21 +184,24 @@ def minhash_dedup(docs: DataFrame, n: int = 5, hashes: int = 20, bands: int = 10
     A star round tries each bucket's members with its least id; then all pairs of a bucket
     that lie in different components are tried, so every link of some bucket is followed.
     Texts with equal shingle sets are taken together first; texts without words all count
-    as equal to each other."""
-    sh = shingles(docs, n)
-    whole = sh.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("shingle")), ",")).alias("set"))
-    named = docs.select("doc_id").join(whole, "doc_id", "left").withColumn("set", F.coalesce("set", F.lit("")))
-    same = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    as equal to each other. Shingles are cut and stored once, a sorted array a document; a
+    pair is tried by the intersection of its two arrays."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    reps = scratch.save(sh.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "shingles")
-    sizes = reps.groupBy("doc_id").agg(F.count("*").alias("n"))
-    buckets = scratch.save(lsh_buckets(minhash_signatures(reps, hashes), hashes, bands), "buckets")
-    stars = scratch.save(star_candidates(buckets), "stars")
+    cut = shingle_sets(docs, n).withColumn("set", F.when(F.size("grams") > 0, F.md5(F.array_join("grams", ","))).otherwise(""))
+    named = scratch.save(cut, "sets")
+    same = scratch.save(named.groupBy("set").agg(F.min("doc_id").alias("rep")), "same")
+    reps = scratch.save(named.where("size(grams) > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "grams"), "reps")
+    sizes = reps.select("doc_id", F.size("grams").alias("n"))
+    signed = minhash_signatures(reps.select("doc_id", F.explode("grams").alias("shingle")), hashes)
+    buckets = scratch.save(lsh_buckets(signed, hashes, bands), "buckets")
+    small = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    alike = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    stars = scratch.save(star_candidates(buckets).join(small("a"), "a").join(small("b"), "b").where(alike).select("a", "b"), "stars")
     links = scratch.save(jaccard(stars, reps, threshold), "links")
     first = scratch.save(connected_components(links), "first")
     more = jaccard(cross_candidates(buckets, first, sizes, threshold).join(stars, ["a", "b"], "left_anti"), reps, threshold)
     roots = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    out = named.join(same, "set").join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    out = named.select("doc_id", "set").join(same, "set").join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     return out.select("doc_id", "root", (F.col("doc_id") == F.col("root")).alias("kept"))
 
 
@@ -197,7 +209,7 @@ def decontaminate(benchmark: DataFrame, docs: DataFrame, n: int = 13) -> DataFra
     """``(item_id, n_grams, n_hits)``: distinct n-word grams of each benchmark item, and those
     that are in some document. Corpus grams are joined as keys, and only those that the
     benchmark has leave the map side's filter."""
-    grams = lambda d, i: shingles(d, n, i)
+    grams = lambda d, i: shingles(d, n, i, folded=False)
     scratch = Scratch(docs.sparkSession, "contamination")
     asked = scratch.save(grams(benchmark, "item_id"), "asked")
     keys = scratch.save(asked.select("shingle").distinct(), "keys")

@@ -126,27 +126,47 @@ def ablation_grid(spark, sf):
     return C.ablation(table(spark, sf, "documents"))
 
 
-_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), f AS (SELECT line, count(*) AS n FROM l GROUP BY 1)"
+_CUT = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-@query(f"WITH {_LINES} SELECT md5(line) AS line_md5, n FROM f ORDER BY n DESC, line_md5 LIMIT 20")
+def _sql_lines(source: str) -> str:
+    """Lines with their terminators ``piece``, their keys ``line``, and the keys' counts."""
+    cut = rf"regexp_extract_all(text, '[^{_CUT[1:]}*(\r\n|{_CUT})|[^{_CUT[1:]}+')"
+    return f"""p AS (SELECT doc_id, {cut} AS ps FROM {source}), l AS (SELECT doc_id, piece, i, rtrim(piece, chr(13) || chr(10)) AS line
+FROM (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM p)), f AS (SELECT line, count(*) AS n FROM l GROUP BY 1),
+k AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS t, count(*) AS n FROM l JOIN f USING (line) WHERE f.n = 1 GROUP BY 1)"""
+
+
+_BREAKS = "[chr(11), chr(12), chr(133), chr(13) || chr(10), chr(8232), chr(28), chr(13)]"
+
+
+@query(f"WITH {_sql_lines('documents')} SELECT md5(line) AS line_md5, n FROM f ORDER BY n DESC, line_md5 LIMIT 20")
 def line_frequency_top(spark, sf):
     return C.line_frequency(table(spark, sf, "documents")).select(F.md5("line").alias("line_md5"), "n").orderBy(F.desc("n"), "line_md5").limit(20)
 
 
-@query(f"""WITH {_LINES}, k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM l JOIN f USING (line) WHERE f.n = 1 GROUP BY 1)
-SELECT doc_id, coalesce(n, 0)::INT AS n_kept, md5(coalesce(t, '')) AS text_md5 FROM documents LEFT JOIN k USING (doc_id)""")
+@query(f"WITH {_sql_lines('documents')} SELECT doc_id, coalesce(n, 0)::INT AS n_kept, md5(coalesce(t, '')) AS text_md5 FROM documents LEFT JOIN k USING (doc_id)")
 def exact_line_dedup(spark, sf):
     return C.exact_line_dedup(table(spark, sf, "documents")).select("doc_id", "n_kept", F.md5("text").alias("text_md5"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, replace(text, '. ', '.' || {_BREAKS}[1 + doc_id % 7]) AS text FROM documents), {_sql_lines('d')}
+SELECT doc_id, coalesce(n, 0)::INT AS n_kept, md5(coalesce(t, '')) AS text_md5 FROM d LEFT JOIN k USING (doc_id)""")
+def line_dedup_of_all_breaks(spark, sf):
+    """Sentences as lines, a document's ended by one of seven breaks."""
+    breaks = F.get(F.array(*map(F.lit, ("\x0b", "\x0c", "\x85", "\r\n", "\u2028", "\x1c", "\r"))), (F.col("doc_id") % 7).cast("int"))
+    d = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit(". "), F.concat(F.lit("."), breaks)))
+    return C.exact_line_dedup(d).select("doc_id", "n_kept", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT min(doc_id) AS doc_id, md5(coalesce(text, '')) AS text_md5, count(*) AS n_copies FROM documents GROUP BY text_md5")
 def exact_doc_dedup(spark, sf):
     return C.exact_document_dedup(table(spark, sf, "documents"))
 
 
-def _sql_shingles(source: str, key: str, n: int, name: str = "sh") -> str:
-    return rf"""{name}w AS (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM {source}),
+def _sql_shingles(source: str, key: str, n: int, name: str = "sh", folded: bool = True) -> str:
+    words = r"strip_accents(lower(coalesce(text, ''))), '[^\p{P}\s\x1c-\x1f\x{85}\p{Z}]+'" if folded else r"lower(coalesce(text, '')), '[\p{L}\p{N}]+'"
+    return rf"""{name}w AS (SELECT {key}, regexp_extract_all({words}) AS ws FROM {source}),
 {name} AS (SELECT DISTINCT {key}, ('0x' || substr(md5(array_to_string(ws[i:i + {n - 1}], ' ')), 1, 15))::BIGINT AS shingle FROM {name}w, unnest(range(1, greatest(len(ws) - {n - 2}, 2))) u(i) WHERE len(ws) > 0)"""
 
 
@@ -185,7 +205,7 @@ def near_dup_rate(spark, sf):
     return found.crossJoin(d.agg(F.count("*").alias("n"))).select("n_duplicates", "n", r6(F.col("n_duplicates") / F.col("n")).alias("rate"))
 
 
-@query(f"""WITH {_sql_shingles('documents', 'doc_id', 13, 'd')}, {_sql_shingles('benchmark', 'item_id', 13, 'b')}
+@query(f"""WITH {_sql_shingles('documents', 'doc_id', 13, 'd', False)}, {_sql_shingles('benchmark', 'item_id', 13, 'b', False)}
 SELECT item_id, count(*) AS n_grams, count(*) FILTER (shingle IN (SELECT shingle FROM d)) AS n_hits FROM b GROUP BY 1""")
 def decontaminate_13gram(spark, sf):
     return C.decontaminate(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
@@ -505,13 +525,13 @@ def importance_resample(spark, sf):
     return A.importance_resample(A.log_ratio_weights(d, aim), 100).select("doc_id", r6("logw").alias("logw"))
 
 
-@query()
+@query("""SELECT conv_id, turn, (turn = 2)::INT::DOUBLE AS reward, 1.0::DOUBLE AS format_reward, (turn = 2)::INT::DOUBLE AS answer_reward FROM conversations WHERE role = 'assistant'""")
 def rule_rewards(spark, sf):
-    from millrace.functions.graders import reward_struct
+    from millrace.functions.answers import format_rewards
 
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     text = F.concat(F.lit("x</think> <answer>"), (F.col("turn") * 2).cast("string"), F.lit("</answer>"))
-    return c.select("conv_id", "turn", reward_struct(text, (F.col("turn") + 2).cast("string")).alias("r")).select("conv_id", "turn", "r.*")
+    return c.select("conv_id", "turn", format_rewards(text, (F.col("turn") + 2).cast("string")).alias("r")).select("conv_id", "turn", "r.*")
 
 
 def _drained(spark, name: str, stream: DataFrame, mode: str = "append") -> DataFrame:

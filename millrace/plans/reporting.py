@@ -371,18 +371,61 @@ def guarded_rewards(spark, sf):
     return e.select("event_id", answers.guarded_reward(F.col("r"), F.lit("42"), F.trim).alias("x")).select("event_id", "x.*")
 
 
-@query("""SELECT event_id, (CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END)::DOUBLE AS format_reward, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS answer_reward, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS reward FROM events WHERE event_id % 10 = 0""")
+# what is answered about an order's customer number c, what is true, and whether that is right
+_ANSWERS = (
+    (r"'\\frac{' || c || '}{7}'", "c || '/7'", 1), (r"'\\dfrac{' || 2 * c || '}{14}'", "c || '/7'", 0), ("t", "c", 1), ("c || '.0'", "c", 1), ("c || '.5'", "(2 * c + 1) || '/2'", 1),
+    (r"'\\left(' || c || ', ' || (c + 1) || '\\right)'", "'(' || c || ',' || (c + 1) || ')'", 1), ("'[' || c || ',' || (c + 1) || ')'", "'(' || c || ',' || (c + 1) || ')'", 0),
+    (r"c || '\\text{ cm}'", "c", 1), ("c || ' 3/4'", "(4 * c + 3) || '/4'", 1), ("(4 * c) || '/4'", "c", 0), ("'x = ' || c", "c", 1), ("c + 1", "c", 0), (r"'\\$' || t || '\\%'", "c", 1),
+    (r"c || '^{\\circ}'", r"'\\boxed{' || c || '}'", 1), ("c || '.0001'", "c || '.0002'", 0), ("c || ' miles'", "(c + 1) || ' miles'", 0), (r"c || '\\frac12'", "c || '.5'", 1),
+)
+_PAIRS = lambda q: "CASE o_orderkey % 17 " + " ".join(f"WHEN {i} THEN {q(a)}" for i, a in enumerate(_ANSWERS)) + " END"
+_RIGHT = _PAIRS(lambda a: str(a[2]))
+
+
+def _answered(spark, sf):
+    """Orders with a given and a true answer in seventeen forms over all customer numbers."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"), F.format_number("o_custkey", 0).alias("t"))
+    text = lambda k: F.expr(_PAIRS(lambda a: f"CAST({a[k]} AS STRING)").replace("2 * c", "2 * bigint(c)").replace("4 * c", "4 * bigint(c)").replace("c + 1", "bigint(c) + 1"))
+    return o.select("o_orderkey", text(0).alias("given"), text(1).alias("truth"))
+
+
+@query(f"""SELECT o_orderkey, (o_orderkey % 5 <> 0)::INT::DOUBLE AS format_reward, ({_RIGHT} * (o_orderkey % 5 <> 0)::INT)::DOUBLE AS answer_reward, ({_RIGHT} * (o_orderkey % 5 <> 0)::INT)::DOUBLE AS reward FROM orders""")
 def boxed_rewards(spark, sf):
-    says = F.array(*map(F.lit, (r"so \boxed{\frac12}", r"so \boxed{2/4}", "one half")))
-    e = table(spark, sf, "events").where("event_id % 10 = 0")
-    return e.select("event_id", answers.boxed_rewards(F.get(says, (F.col("event_id") % 3).cast("int")), F.lit("1/2")).alias("x")).select("event_id", "x.format_reward", "x.answer_reward", "x.reward")
+    says = F.when(F.col("o_orderkey") % 5 == 0, F.col("given")).otherwise(F.concat(F.lit("so \\boxed{0} or \\boxed{"), "given", F.lit("}.")))
+    return _answered(spark, sf).select("o_orderkey", answers.boxed_rewards(says, F.col("truth")).alias("x")).select("o_orderkey", "x.format_reward", "x.answer_reward", "x.reward")
+
+
+@query(f"""SELECT o_orderkey, (o_orderkey % 4 <> 0)::INT::DOUBLE AS format_reward, ({_RIGHT} * (o_orderkey % 4 <> 0)::INT)::DOUBLE AS answer_reward, ({_RIGHT} * (o_orderkey % 4 <> 0)::INT)::DOUBLE AS reward FROM orders""")
+def format_rewards(spark, sf):
+    boxed = F.concat(F.lit("</think> <answer>thus \\boxed{"), "given", F.lit("}</answer>"))
+    plain = F.concat(F.lit("a<answer></think> <answer>"), "given", F.lit("</answer>"))
+    says = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("<answer>"), "given", F.lit("</answer>"))).when(F.col("o_orderkey") % 4 == 1, boxed).otherwise(plain)
+    return _answered(spark, sf).select("o_orderkey", answers.format_rewards(says, F.col("truth")).alias("x")).select("o_orderkey", "x.format_reward", "x.answer_reward", "x.reward")
+
+
+_QUANTITIES = r"""CASE o_orderkey % 5 WHEN 0 THEN 'an order of \$' || o_custkey || ' dollars' WHEN 1 THEN 'so $' || o_custkey || ',000$ units' WHEN 2 THEN '\frac' || o_custkey || '\sqrt' || o_custkey
+WHEN 3 THEN '\text{' || o_orderpriority || '}\boxed{' || o_custkey || '}' ELSE o_custkey || ' \mathrm{th}, \text{and}' || o_orderstatus END"""
+
+
+def _sql_replaced(text: str) -> str:
+    for old, new in (*answers.REPLACED, *((x, "") for x in answers.REMOVED)):
+        text = "replace({}, '{}', '{}')".format(text, old.replace("'", "''"), new)
+    return text
+
+
+@query(rf"""WITH a AS (SELECT o_orderkey, {_sql_replaced(f"({_QUANTITIES})")} AS s FROM orders),
+b AS (SELECT o_orderkey, regexp_replace(regexp_replace(CASE WHEN s LIKE '%$%$%' THEN split_part(s, '$', 2) ELSE s END, '\\text\{{(.*?)\}}', '\1', 'g'), '\\boxed\{{(.*)\}}', '\1', 'g') AS s FROM a),
+c AS (SELECT o_orderkey, replace(regexp_replace(regexp_replace(s, 'frac([^{{])(.)', 'frac{{\1}}{{\2}}', 'g'), 'sqrt([^{{])', 'sqrt{{\1}}', 'g'), '$', '') AS s FROM b)
+SELECT o_orderkey, CASE WHEN regexp_full_match(replace(s, ',', ''), '[0-9]+') THEN replace(s, ',', '') ELSE s END AS final FROM c""")
+def final_spellings(spark, sf):
+    text = F.expr(_QUANTITIES.replace("\\", "\\\\"))
+    return table(spark, sf, "orders").select("o_orderkey", answers.spellings(text)["final"].alias("final"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, abs(l_extendedprice - round(l_extendedprice, -1)) <= 1e-4 * greatest(abs(l_extendedprice), abs(round(l_extendedprice, -1))) AS close FROM lineitem WHERE l_orderkey % 50 = 0""")
+@query("""SELECT l_orderkey, l_linenumber, abs(l_extendedprice - round(l_extendedprice, -1)) <= 1e-4 * greatest(abs(l_extendedprice), abs(round(l_extendedprice, -1))) AS close FROM lineitem""")
 def close_numbers(spark, sf):
-    x = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
-    a, b = F.col("l_extendedprice"), F.round("l_extendedprice", -1)
-    return x.select("l_orderkey", "l_linenumber", (F.abs(a - b) <= 1e-4 * F.greatest(F.abs(a), F.abs(b))).alias("close"))
+    x = table(spark, sf, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", answers.close_numbers(F.col("l_extendedprice"), F.round("l_extendedprice", -1)).alias("close"))
 
 
 @query("""WITH p AS (SELECT l_quantity AS x, avg(l_extendedprice) + 5000 AS y FROM lineitem GROUP BY 1), f AS (SELECT f::DOUBLE AS f FROM range(0, 6000, 500) r(f)),

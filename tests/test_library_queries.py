@@ -72,12 +72,6 @@ def test_importance_weights(spark, sf_dir):
         assert r.logw == pytest.approx(sum(ratio[bucket[w]] for w in re.split(r"[ \t\n\x0b\f\r]+", docs[r.doc_id])), abs=1e-4)
 
 
-def test_rule_rewards(spark, sf_dir):
-    for r in QUERIES["rule_rewards"](spark, sf_dir).collect():
-        right = float(2 * r.turn == r.turn + 2)
-        assert (r.reward, r.format_reward, r.answer_reward) == (right, 1.0, right)
-
-
 def test_html_text(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["html_text"](spark, sf_dir).collect():
@@ -104,5 +98,5 @@ def test_bradley_terry_is_a_fixed_point(spark, sf_dir):
 
 
 def test_nothing_is_left_out():
-    own = {"bpe_merges", "elo_ratings", "importance_resample", "rule_rewards", "html_text", "joint_law_fit", "robust_power_law", "bradley_terry"}
+    own = {"bpe_merges", "elo_ratings", "importance_resample", "html_text", "joint_law_fit", "robust_power_law", "bradley_terry"}
     assert set(QUERIES) - set(ORACLE_SQL) == own

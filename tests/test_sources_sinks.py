@@ -143,13 +143,18 @@ def test_tokenizer_artifacts_and_specials(spark):
 
 def test_answers():
     same = [("\\frac{1}{2}", "0.5"), ("\\dfrac12", "1/2"), ("x=5", "5"), ("\\sqrt3", "\\sqrt{3}"), ("10\\%", "10"), ("1,234", "1234"), ("(1, 2)", "(1,2)"),
-            ("7 3/4", "7+3/4"), ("5 \\text{ cm}", "5"), ("\\text{yes}", "yes"), ("3.0", "3"), ("2+1/2", "5/2+0")]
-    other = [("2/4", "1/2"), ("[1,2)", "(1,2)"), ("(1,2,3)", "(1,2)"), ("4.2", "4"), ("", "4"), ("x", "y"), (None, "1"), ("1/0", "2/0")]
+            ("7 3/4", "7+3/4"), ("5 \\text{ cm}", "5"), ("\\text{yes}", "Yes"), ("3.0", "3"), ("2+1/2", "5/2+0"), ("\\left(1,\\frac{2}{3}\\right]", "(1,2/3]"), ("90^{\\circ}", "90"),
+            ("\\$1,234.50", "1234.5"), ("7\\frac34", "7 3/4"), ("12 cm^2", "12"), ("1 or 2", "1,2"), ("\\frac{x+1}{2}", "(x+1)/2"), ("2\\pi", "2 \\pi"), ("0.25", "1/4"),
+            ("5 miles per hour", "5"), ("4", "so \\boxed{4}"), ("\\sqrt[3]{2}", "\\sqrt[3]2"), (".5", "0.5"), ("-\\tfrac{1}{2}", "-0.5")]
+    other = [("2/4", "1/2"), ("[1,2)", "(1,2)"), ("(1,2,3)", "(1,2)"), ("4.2", "4"), ("", "4"), ("x", "y"), (None, "1"), ("1/0", "2/0"), ("4/2", "2"), ("3.14159", "3.1416"),
+             ("2*5", "10"), ("(2,1)", "(1,2)"), ("a", "b"), ("4", None), ("\\sqrt2", "\\sqrt3")]
     assert [x for x in same if not W.grade(*x)] == [] and [x for x in other if W.grade(*x)] == []
     assert W.final_spelling("an answer of \\$100,000 dollars") == "answerof100,000" and W.final_spelling("$100,000$") == "100000" and W.final_spelling("\\frac12") == "\\frac{1}{2}"
-    assert W.expression_spelling("5 million") == "5*10^6" and W.expression_spelling("12 cm^2") == "12" and W.expression_spelling("3.0") == "3"
+    assert W.spelling("5 million") == "5*10^6" and W.spelling("12 cm^2") == "12" and W.spelling("3.0") == "3" and W.spelling("{") == "" and W.spelling("\\frac") == "/"
     assert W.boxed_reward("so \\boxed{4}", ["3", "4"]) == (1.0, 1.0, 1.0) and W.boxed_reward("4", "4") == (0.0, 0.0, 0.0) and W.boxed_reward("\\boxed{5}", "4") == (0.0, 1.0, 0.0)
-    assert W.close_numbers(10000.0, 10000.9) and not W.close_numbers(1.0, 1.001) and W.same_value("4.0", "4") and not W.same_value("4", "5")
+    assert W.format_reward("x</think> <answer>\\boxed{4}</answer>", "4") == (1.0, 1.0, 1.0) and W.format_reward("4", "4") == (0.0, 0.0, 0.0)
+    assert W.format_reward("x</think> <answer>2/4</answer>", "1/2") == (0.0, 1.0, 0.0) and W.format_reward("</think> <answer>\\boxed{4</answer>", "4") == (0.0, 1.0, 0.0)
+    assert W.last_boxed("so \\boxed{a{b}c}") == "a{b}c" and W.last_boxed("\\boxed{a") is None and W.last_boxed("\\boxed{1} \\fbox{2}") == "2"
     assert W.value_of("2*(3+4)^2/7") == 14 and W.value_of("1/0") is None and W.value_of("9^99") is None
 
 
