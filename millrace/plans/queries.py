@@ -224,9 +224,21 @@ def length_pivot(spark, sf):
 
 @query("SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS q{int(q * 100)}" for q in (0.0, 0.25, 0.5, 0.75, 1.0)) + " FROM documents GROUP BY 1")
 def length_quantiles(spark, sf):
-    qs = (0.0, 0.25, 0.5, 0.75, 1.0)
-    p = table(spark, sf, "documents").groupBy("lang").agg(F.percentile("n_chars", list(qs)).alias("p"))
-    return p.select("lang", *[r6(F.col("p")[i]).alias(f"q{int(q * 100)}") for i, q in enumerate(qs)])
+    from millrace.operators.quantiles import exact_quantiles
+
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    found = exact_quantiles(table(spark, sf, "documents"), "n_chars", qs, ["lang"])
+    return found.groupBy("lang").agg(*[r6(F.max(F.when(F.col("prob") == q, F.col("value")))).alias(f"q{int(q * 100)}") for q in qs])
+
+
+@query("SELECT event_type, user_id % 50 AS part, round(quantile_cont(value, 0.01), 6) AS low, round(quantile_cont(value, 0.995), 6) AS high FROM events GROUP BY 1, 2")
+def value_quantiles(spark, sf):
+    from millrace.operators.quantiles import exact_quantiles
+
+    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 50).alias("part"), "value")
+    found = exact_quantiles(e, "value", [0.01, 0.995], ["event_type", "part"])
+    at = lambda q: r6(F.max(F.when(F.col("prob") == q, F.col("value"))))
+    return found.groupBy("event_type", "part").agg(at(0.01).alias("low"), at(0.995).alias("high"))
 
 
 @query("SELECT least(floor(value / (100.0::DOUBLE / 20)), 19)::INT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1")
@@ -406,9 +418,11 @@ def doremi_step(spark, sf):
 
 @query("""WITH q AS (SELECT quantile_cont(n_chars, 0.2) AS lo, quantile_cont(n_chars, 0.9) AS hi FROM documents) SELECT doc_id FROM documents, q WHERE n_chars BETWEEN lo AND hi""")
 def middle_band(spark, sf):
+    from millrace.operators.quantiles import exact_quantiles
+
     d = table(spark, sf, "documents")
-    q = d.agg(F.percentile("n_chars", [0.2, 0.9]).alias("q"))
-    return d.crossJoin(F.broadcast(q)).where(F.col("n_chars").between(F.col("q")[0], F.col("q")[1])).select("doc_id")
+    lo, hi = (r.value for r in exact_quantiles(d, "n_chars", [0.2, 0.9]).orderBy("prob").collect())
+    return d.where(F.col("n_chars").between(lo, hi)).select("doc_id")
 
 
 @query("""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding[1]::DOUBLE AS x FROM embeddings), n AS (SELECT count(*) AS n FROM v),
@@ -430,6 +444,14 @@ def semantic_dups(spark, sf):
     return C.semantic_pairs(e, "vec_id", "label", "embedding", 0.35).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
+@query()
+def semantic_cells(spark, sf):
+    from millrace.operators.semantic import bounded_cells, semantic_links
+
+    cells = bounded_cells(table(spark, sf, "embeddings"), "vec_id", "embedding", cells=16, leaf=512)
+    return semantic_links(cells, 0.35).withColumnRenamed("id", "vec_id")
+
+
 # --- sequences ------------------------------------------------------------------------
 @query("SELECT doc_id, n_chars, (coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM documents")
 def prefix_offsets(spark, sf):

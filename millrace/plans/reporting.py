@@ -62,12 +62,17 @@ def registry_faults(spark, sf):
     return R.registry_faults(s, "id", {"url_too_long": F.length("url") <= 45, "no_text": F.col("n") >= 500}, ("id", "url"))
 
 
-@query("""WITH t AS (SELECT n_name AS name, length(n_name) AS n FROM nation), s AS (SELECT name, n, substr(name, i) AS suffix FROM t, range(1, 200) r(i) WHERE i <= n),
+@query("""WITH t AS (SELECT DISTINCT p_name AS name, length(p_name) AS n FROM part), s AS (SELECT name, n, substr(name, i) AS suffix FROM t, range(1, 200) r(i) WHERE i <= n),
 o AS (SELECT name, n, suffix, lag(suffix) OVER (PARTITION BY name ORDER BY suffix) AS before FROM s),
 l AS (SELECT name, n, coalesce(list_max(list_filter(range(1, 200), lambda k: k <= least(length(suffix), length(before)) AND substr(suffix, 1, k) = substr(before, 1, k))), 0) AS lcp FROM o)
 SELECT name, round(CASE WHEN n <= 1 THEN 0 ELSE 2.0 * sum(lcp) / (n * (n + 1)) END, 6)::DOUBLE AS score FROM l GROUP BY name, n""")
 def repetition_scores(spark, sf):
-    return table(spark, sf, "nation").select(F.col("n_name").alias("name"), r6(graders.repetition("n_name")).alias("score"))
+    return table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().select("name", r6(graders.repetition("name")).alias("score"))
+
+
+@query()
+def repetition_of_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", r6(graders.repetition("text")).alias("score"), graders.is_repetitive("text").alias("repetitive"))
 
 
 # --- joins --------------------------------------------------------------------------------------
