@@ -196,6 +196,9 @@ def _drawn(shapes: DataFrame, above: DataFrame, prior_rows: float) -> DataFrame:
     return shapes.join(up, "above").selectExpr("grp", "above", "n", *[f"{own} * {x} + (1 - {own}) * up_{x} as {x}" for x in names])
 
 
+RESULTS = {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"}
+
+
 def quality_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     prior_rows: float = 50.0, cutoff: float = 33.4, keep: tuple[str, ...] = (),
@@ -209,13 +212,16 @@ def quality_verdicts(
     covariance of a group of n rows count n / (n + ``prior_rows``), the rest is its
     language's, which is drawn towards the table's alike. Null tags form groups of their
     own, apart from empty ones. Repeated rows and null ids are judged as they come; an empty
-    table gives an empty result. ``keep`` names columns to carry along.
+    table gives an empty result. ``keep`` names columns to carry along, which may not be
+    called as a result's.
     """
+    if clash := RESULTS & set(keep) - {id_col}:
+        raise ValueError(f"results have columns {sorted(clash)} already")
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
     groups = F.array(F.lit("[]"), F.to_json(F.array(lang)), F.to_json(F.array(lang, source)))
-    carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), groups.alias("_g"), *[F.col(c) for c in keep if c != id_col])
+    carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), groups.alias("_g"), F.struct(F.lit(0), *keep).alias("_row"))
     base = text_statistics(carried, "_t").drop("_t").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     base = scratch.save(base.select("*", *[x.alias(d) for x, d in zip(_vector(), DIMS)]), "statistics")
     # a row counts in its own group, in its language and in the table
@@ -230,5 +236,5 @@ def quality_verdicts(
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(True))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
-        F.when(~F.col("base_failed"), F.col("_d2")).alias("distance"), *[c for c in keep if c != id_col],
+        F.when(~F.col("base_failed"), F.col("_d2")).alias("distance"), *[F.col("_row")[c].alias(c) for c in keep if c != id_col],
     )

@@ -3,9 +3,8 @@
 Strong secrets (assignments, access identifiers, long hex strings) are reported
 wherever they stand. Weak parts - bare key-like strings and endpoints - are only
 reported when complementary parts stand in the same scope: the parts of a text are
-joined with the intervals of its scopes. In the report a scope is a line and its two
-neighbours, as its SQL has it; redaction links over a block of ``BLOCK_LINES`` lines either
-way, blank ones counted. Everything is a row's own array expression: no shuffle, no Python,
+joined with the intervals of its scopes: ``BLOCK_LINES`` lines either way, blank ones
+counted, as long as a section of a credentials file. Everything is a row's own array expression: no shuffle, no Python,
 and linear work in the text.
 """
 
@@ -91,7 +90,7 @@ def _line_parts(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), located)
 
 
-def linked_spans(parts: Column, line_ends: Column, scope_lines: int = 1) -> Column:
+def linked_spans(parts: Column, line_ends: Column, scope_lines: int = BLOCK_LINES) -> Column:
     """Spans of the weak kinds whose complements stand in the same scope.
 
     A bare key counts where an access identifier or an endpoint stands at most
@@ -128,7 +127,7 @@ def _written(spans: Column) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", scope_lines: int = 1) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", scope_lines: int = BLOCK_LINES) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``, arrays of (s, k, e) sorted by start, then kind.
 
     Parts are linked over ``scope_lines`` lines either way. Null and empty texts have no
@@ -160,8 +159,9 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope_lines: int = BLOCK_LINES) -> DataFrame:
     """``docs`` with each secret span of ``text_col`` replaced by ``mark``.
 
-    Weak parts are linked over ``scope_lines`` lines either way, wider than in the report.
-    Overlapping spans are replaced together, once. A null text stays null.
+    Weak parts are linked over ``scope_lines`` lines either way. Overlapping spans are
+    replaced together, once. A null text stays null; all other columns stay as they are,
+    whatever their names.
     """
 
     def cut(text: Column, spans: Column) -> Column:
@@ -178,8 +178,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         ends = F.zip_with(spans, running_max(F.transform(spans, lambda x: x["e"])), lambda x, e: F.struct(x["s"].alias("s"), e.alias("e")))
         return F.when(F.size(spans) == 0, text).otherwise(let(ends, masked))
 
-    scanned = scan_secrets(docs, text_col, scope_lines)
-    return scanned.withColumn(text_col, cut(F.col(text_col), F.col("all_spans"))).drop("base_spans", "all_spans")
+    scanned = scan_secrets(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t")), "_t", scope_lines)
+    return scanned.select(*[cut(F.col("_t"), F.col("all_spans")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _sql_spans(name: str, text: str, pattern: str, keep: str, group: int = 0, key: str = "rid") -> str:
@@ -206,9 +206,9 @@ parts AS (SELECT rid, 0 AS k, s, e FROM assign UNION ALL SELECT rid, 1, s, e FRO
     UNION ALL SELECT rid, 3, s, e FROM keys UNION ALL SELECT rid, 4, s, e FROM ends),
 lined AS (SELECT p.*, length(substr(src.t, 1, s)) - length(replace(substr(src.t, 1, s), chr(10), '')) AS ln FROM parts p JOIN src USING (rid)),
 shown AS (SELECT rid, k, s, e FROM lined w WHERE k < 3
-    OR k = 3 AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= 1 AND c.k IN (1, 4))
-    OR k = 4 AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= 1 AND c.k = 1)
-             AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= 1 AND c.k IN (0, 3))),
+    OR k = 3 AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= {BLOCK_LINES} AND c.k IN (1, 4))
+    OR k = 4 AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= {BLOCK_LINES} AND c.k = 1)
+             AND EXISTS (SELECT 1 FROM lined c WHERE c.rid = w.rid AND abs(c.ln - w.ln) <= {BLOCK_LINES} AND c.k IN (0, 3))),
 told AS (SELECT rid, string_agg(n || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
     string_agg(n || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
     count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c

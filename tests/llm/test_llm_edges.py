@@ -132,7 +132,7 @@ def test_secrets(spark):
     texts = [f"id AKIA{'A1' * 8}\nkey {key}", f"{key}\n\n\nAKIA{'A1' * 8}", "password=token: abcdefgh", "token: 'abc' API_KEY=\"zzzzzz\""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in secret_report(d).collect()}
-    assert got[0].spans == "access:3:23,bare_key:28:68" and got[1].spans == "access:43:63" and got[2].spans == "" and got[3].n_assign == 1
+    assert got[0].spans == "access:3:23,bare_key:28:68" and got[1].spans == "bare_key:0:40,access:43:63" and got[2].spans == "" and got[3].n_assign == 1
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert [r.text for r in redact_secrets(d).orderBy("doc_id").collect()][0] == "id [SECRET]\nkey [SECRET]"
 
@@ -148,6 +148,18 @@ def test_redaction_links_over_a_block(spark):
     assert got[0] == "[default]\naws_access_key_id = [SECRET]\nregion = eu\noutput = json\n\naws_secret_access_key = [SECRET]\nend"
     assert got[1] == "[SECRET]\n\n[SECRET]" and got[2] == "url [SECRET]\n\n\n\nid [SECRET]\n\n\n[SECRET]"
     assert got[3] == key + "\n" * 21 + "[SECRET]" and got[4] == texts[4]
+    spans = [r.spans for r in secret_report(d).orderBy("doc_id").collect()]
+    assert spans[0] == "access:30:50,bare_key:102:142" and spans[3] == "access:61:81" and spans[4] == ""
+
+
+def test_columns_named_like_inner_ones(spark):
+    d = spark.createDataFrame([(1, "password=abcdefgh", 5, 6, 7, 8)], "doc_id long, text string, all_spans int, base_spans int, _t int, x0 int")
+    assert [tuple(r) for r in redact_secrets(d).collect()] == [(1, "[SECRET]", 5, 6, 7, 8)]
+    d = d.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_words": F.lit(3)})
+    got = quality_verdicts(d, keep=("doc_id", "x0", "text", "_t")).first()
+    assert (got.x0, got.text, got._t, got.n_words) == (8, "password=abcdefgh", 7, 1)
+    with pytest.raises(ValueError):
+        quality_verdicts(d, keep=("n_words",))
 
 
 def test_warc_checks(spark):
