@@ -452,6 +452,36 @@ def token_file_totals(spark, sf):
     return sinks.encode_metrics(made, 1.0).select("docs", "tokens", "text_bytes", "least", "most", r6("bytes_per_token").alias("bytes_per_token")).crossJoin(held)
 
 
+@query("""WITH t AS (SELECT doc_id, list_concat(list_transform(string_split(text, ' '), lambda w: least(length(w), 60000)), [50256]) AS ids FROM documents),
+x AS (SELECT doc_id, unnest(ids) AS token, unnest(range(len(ids))) AS i FROM t), p AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM x)
+SELECT pos // 1000 AS "window", sum(token)::BIGINT AS total, count(*) AS n, min(token ORDER BY pos) FILTER (pos % 1000 = 0)::INT AS first FROM p GROUP BY 1""")
+def token_windows(spark, sf):
+    """Token files written from all documents, read again by position; every other piece in a read of its own."""
+    from millrace.sources.splits import read_tokens
+
+    d = table(spark, sf, "documents").withColumn("ids", F.transform(F.split("text", " ", -1), lambda w: F.least(F.length(w), F.lit(60_000))))
+    scratch = Scratch(spark, "tokenfiles")
+    made = scratch.save(sinks.write_token_files(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), scratch.path("files"), 50256), "made")
+    n = made.agg(F.sum("tokens")).first()[0] or 0
+    cuts = [n * k // 20 for k in range(21)]
+    pieces = [read_tokens(spark, scratch.path("files"), list(zip(cuts, cuts[1:]))[k::2], split_tokens=1 << 20) for k in range(2)]
+    own = pieces[0].unionByName(pieces[1]).withColumn("window", F.floor(F.col("pos") / 1000))
+    first = F.max(F.when(F.col("pos") % 1000 == 0, F.col("token")))
+    return own.groupBy("window").agg(F.sum("token").alias("total"), F.count("*").alias("n"), first.alias("first"))
+
+
+@query("SELECT url, sha256(coalesce(html, '')) AS digest, count(*) AS n FROM pages GROUP BY 1, 2")
+def archive_splits(spark, sf):
+    """Pages written to compressed archives, whose records are read again in ranges of 64 KB."""
+    from millrace.sources.splits import read_archives
+
+    p = table(spark, sf, "pages").select(F.lit("response").alias("rec_type"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    scratch = Scratch(spark, "archives")
+    scratch.save(sinks.write_archives(p, scratch.path("files")), "made")
+    read = read_archives(spark, scratch.path("files"), split_bytes=1 << 16)
+    return read.groupBy(F.col("headers")["warc-target-uri"].alias("url"), F.sha2("payload", 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT n_name AS name, octet_length(encode(n_name)) AS n_bytes, sha256(n_name) AS sha256 FROM nation")
 def file_per_input(spark, sf):
     from millrace.sources.web import file_manifest

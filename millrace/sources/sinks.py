@@ -60,19 +60,25 @@ def write_token_files(docs: DataFrame, folder: str, eos: int, ids_col: str = "id
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        chunks, n, text_bytes = [], 0, 0
-        for part in parts:
-            for ids, size in part.itertuples(index=False):
-                a = np.append(np.asarray([] if ids is None else ids, dtype=np.int64), eos)
-                if a.min() < 0 or a.max() > 0xFFFF:
-                    raise ValueError("a token id does not fit 16 bits")
-                chunks.append(a.astype("<u2"))
-                n, text_bytes = n + 1, text_bytes + size
-        if chunks:
-            all_ = np.concatenate(chunks)
-            name = f"tokens-{TaskContext.get().partitionId():05d}.bin"
-            _store(uri, name, all_.tobytes())
-            yield pd.DataFrame([(name, n, len(all_), 2 * len(all_), text_bytes, int(all_.min()), int(all_.max()))], columns=["name", "docs", "tokens", "bytes", "text_bytes", "least", "most"])
+        name = f"tokens-{TaskContext.get().partitionId():05d}.bin"
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        n, total, text_bytes, least, most, out = 0, 0, 0, 0xFFFF, 0, None
+        try:
+            for part in parts:  # a batch is written before the next is read
+                for ids, size in part.itertuples(index=False):
+                    a = np.append(np.asarray([] if ids is None else ids, dtype=np.int64), eos)
+                    least, most = min(least, int(a.min())), max(most, int(a.max()))
+                    if a.min() < 0 or most > 0xFFFF:
+                        raise ValueError("a token id does not fit 16 bits")
+                    out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
+                    out.write(a.astype("<u2").tobytes())
+                    n, total, text_bytes = n + 1, total + len(a), text_bytes + size
+        finally:
+            if out is not None:
+                out.close()
+        if n:
+            yield pd.DataFrame([(name, n, total, 2 * total, text_bytes, least, most)], columns=["name", "docs", "tokens", "bytes", "text_bytes", "least", "most"])
 
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     return docs.select(ids_col, size.alias("_n")).mapInPandas(run, "name string, docs long, tokens long, bytes long, text_bytes long, least long, most long")
@@ -132,6 +138,35 @@ def load_tokenizer(spark: SparkSession, folder: str) -> tuple[dict[int, bytes],
     return {r.id: bytes.fromhex(r.hex) for r in vocab}, [(bytes.fromhex(r.left_hex), bytes.fromhex(r.right_hex)) for r in merges]
 
 
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """Rows ``(rec_type, url, payload)`` as compressed archives, one a partition and a member a record, each written as it
+    comes. ``(name, records, bytes)``."""
+    uri = folder_uri(records.sparkSession, folder)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        name, n, size, out = f"part-{TaskContext.get().partitionId():05d}.warc.gz", 0, 0, None
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        try:
+            for part in parts:
+                for kind, url, payload in part.itertuples(index=False):
+                    body = bytes(payload or b"")
+                    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                    out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
+                    frame = gzip.compress(head + body + b"\r\n\r\n", mtime=0)
+                    out.write(frame)
+                    n, size = n + 1, size + len(frame)
+        finally:
+            if out is not None:
+                out.close()
+        if n:
+            yield pd.DataFrame([(name, n, size)], columns=["name", "records", "bytes"])
+
+    return records.select("rec_type", "url", "payload").mapInPandas(run, "name string, records long, bytes long")
+
+
 def rewrite_archives(spark: SparkSession, path: str, folder: str, keep, glob: str = "*.warc*.gz") -> DataFrame:
     """Each archive below ``path`` again in ``folder``, without the conversion records that
     ``keep(text)`` turns down; all other records go over as they are. ``(name, records, kept)``."""

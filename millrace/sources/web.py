@@ -21,7 +21,10 @@ BATCH_BYTES = 16 << 20
 
 def raw_records(data: bytes) -> Iterator[tuple[str, bytes, bytes]]:
     """``(type, whole record, payload)`` of a WARC file, plain or gzip, decompressed as it is read."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    yield from _raw_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+
+
+def _raw_records(f: io.BufferedIOBase) -> Iterator[tuple[str, bytes, bytes]]:
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -39,7 +42,16 @@ def raw_records(data: bytes) -> Iterator[tuple[str, bytes, bytes]]:
 
 def iter_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
     """Records of a WARC file as (type, headers, payload)."""
-    for kind, raw, payload in raw_records(data):
+    yield from _parsed(raw_records(data))
+
+
+def records_of(f: io.BufferedIOBase) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """``iter_records`` of an open file, one record at a time."""
+    yield from _parsed(_raw_records(f))
+
+
+def _parsed(records: Iterator[tuple[str, bytes, bytes]]) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    for kind, raw, payload in records:
         lines = raw[: len(raw) - len(payload) - 4].decode("utf-8", "replace").split("\n")[1:]
         heads = {n.strip().lower(): v.strip() for n, c, v in (x.partition(":") for x in lines) if c}
         yield kind, heads, payload
