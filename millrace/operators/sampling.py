@@ -6,6 +6,8 @@ repeats its own; no step sorts everything in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,13 +20,18 @@ DIGEST_SPAN = 1 << 48
 POISSON = tuple(sum(1 / f for f in fs) / 2.718281828459045 for fs in ([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800][: n + 1] for n in range(11)))
 
 
-def permuted(df: DataFrame, key: str, seed: int = 0, parts: int = 64) -> DataFrame:
+PART_ROWS = 1 << 19
+
+
+def permuted(df: DataFrame, key: str, seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
     """``df`` with ``position``, its place from 0 in a seeded permutation; ties of the digest go by key.
 
-    Digests are even, so ranges of them are the buckets whose counts give the places."""
+    Digests are even, so equal ranges of them, of about ``part_rows`` rows each, are the buckets whose counts give the
+    places; a bucket is one task's sort, and the counts are a row each."""
+    parts = max(1, math.ceil(df.count() / part_rows))
     own = df.withColumn("_d", hashed(F.col(key).cast("string"), F.lit(seed))).withColumn("_b", F.floor(F.col("_d") / (DIGEST_SPAN // parts)))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("_b").agg(F.count("*").alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))  # ``parts`` rows
+    starts = own.groupBy("_b").agg(F.count("*").alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key)) - 1
     return own.join(F.broadcast(starts), "_b").withColumn("position", (F.col("_s") + place).cast("long")).drop("_d", "_b", "_s")
 

@@ -172,13 +172,17 @@ def least_coverage(spark, sf):
     return R.least_coverage(table(spark, sf, "customer"), "c_nationkey")
 
 
-@query("""SELECT round(max(abs(l_extendedprice - l_quantity * 1500)), 4) AS max_absolute, count(*) AS n,
-    round(sum((abs(l_extendedprice - l_quantity * 1500) / l_extendedprice <= 0.5)::INT) / count(*)::DOUBLE, 6) AS share_within_half FROM lineitem""")
+@query("""WITH e AS (SELECT abs(l_extendedprice - l_quantity * 1500) AS a, abs(l_extendedprice - l_quantity * 1500) / l_extendedprice AS r FROM lineitem)
+SELECT round(max(a), 4) AS max_absolute, round(quantile_cont(a, 0.99), 4) AS p99_absolute, round(quantile_cont(r, 0.99), 6) AS p99_relative, count(*) AS n, round(sum((r <= 0.5)::INT) / count(*)::DOUBLE, 6) AS share_within_half FROM e""")
 def worst_errors(spark, sf):
+    from millrace.operators.quantiles import exact_quantiles
+
     x = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("x"))
     off = F.abs(F.col("y") - F.col("x"))
     share = x.agg(F.count("*").alias("n"), r6(F.count_if(off / F.col("y") <= 0.5) / F.count("*")).alias("share_within_half"))
-    return R.relative_errors(x, "x", "y").select(F.round("max_absolute", 4).alias("max_absolute")).crossJoin(share)
+    p99 = lambda e, name, d: exact_quantiles(x.select(e.alias("e")), "e", [0.99]).select(F.round("value", d).alias(name))
+    worst = R.relative_errors(x, "x", "y").select(F.round("max_absolute", 4).alias("max_absolute"))
+    return worst.crossJoin(share).crossJoin(p99(off, "p99_absolute", 4)).crossJoin(p99(off / F.col("y"), "p99_relative", 6))  # a row each
 
 
 @query("SELECT event_type, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std FROM events GROUP BY 1")
@@ -283,10 +287,33 @@ def jittered_exponents(spark, sf):
     return S.jittered_exponents(o, "x", "o_totalprice", "o_orderkey", 6, 0.1).select("round", r6("exponent").alias("exponent"))
 
 
-@query(f"""WITH p AS (SELECT c AS chunk, s AS sequence, c * 64 + row_number() OVER (PARTITION BY c ORDER BY {_h("c || '-' || s")}, s) - 1 AS i FROM range(20) a(c), range(64) b(s))
-SELECT i, chunk, sequence::INT AS sequence FROM p WHERE i BETWEEN 300 AND 699""")
+_TOKENS = """t AS (SELECT doc_id, list_concat(list_transform(string_split(text, ' '), lambda w: least(length(w), 60000)), [50256]) AS ids FROM documents),
+x AS (SELECT doc_id, unnest(ids) AS token, unnest(range(len(ids))) AS i FROM t), tokens AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM x)"""
+
+
+def _token_files(spark, sf):
+    """The folder of token files written from all documents in the order of their ids, and the number of tokens."""
+    d = table(spark, sf, "documents").withColumn("ids", F.transform(F.split("text", " ", -1), lambda w: F.least(F.length(w), F.lit(60_000))))
+    scratch = Scratch(spark, "tokenfiles")
+    made = scratch.save(sinks.write_token_files(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), scratch.path("files"), 50256), "made")
+    return scratch.path("files"), made.agg(F.sum("tokens")).first()[0] or 0
+
+
+@query(f"""WITH {_TOKENS}, n AS (SELECT count(*) // 2048 AS chunks FROM tokens),
+p AS (SELECT chunk, s AS sequence, chunk * 16 + row_number() OVER (PARTITION BY chunk ORDER BY {_h("chunk || '-' || s")}, s) - 1 AS i FROM n, LATERAL (SELECT unnest(range(chunks)) AS chunk), range(16) b(s)),
+q AS (SELECT p.* FROM p, n WHERE i BETWEEN chunks * 16 // 4 AND chunks * 16 // 4 + chunks * 16 // 2 - 1)
+SELECT i, chunk, sequence::INT AS sequence, sum(token)::BIGINT AS total FROM q JOIN tokens ON pos // 128 = chunk * 16 + sequence GROUP BY ALL""")
 def permuted_reads(spark, sf):
-    return S.permuted_reads(spark.range(20).withColumnRenamed("id", "chunk"), 64, 300, 400)
+    """The middle half of all sequences of 128 tokens, permuted within chunks of 16, with their tokens read from the files."""
+    from millrace.sources.splits import read_tokens
+
+    folder, n = _token_files(spark, sf)
+    chunks = n // 2048
+    reads = S.permuted_reads(spark.range(chunks).withColumnRenamed("id", "chunk"), 16, chunks * 16 // 4, chunks * 16 // 2)
+    # whole chunks are read: the sequences of a chunk lie together
+    span = [(chunks * 4 // 16 * 2048, -(-(chunks * 16 // 4 + chunks * 16 // 2) // 16) * 2048)]
+    tokens = read_tokens(spark, folder, span).groupBy(F.floor(F.col("pos") / 128).alias("at")).agg(F.sum("token").alias("total"))
+    return reads.join(tokens, F.col("chunk") * 16 + F.col("sequence") == F.col("at")).select("i", "chunk", "sequence", "total")
 
 
 # --- sequences -------------------------------------------------------------------------------------
@@ -441,6 +468,15 @@ def free_floor_fit(spark, sf):
     return R.free_floor_fit(p, "x", "y", [500.0 * i for i in range(12)]).select("floor", F.round("coefficient", 4).alias("coefficient"), r6("exponent").alias("exponent"))
 
 
+@query()
+def floor_law_fit(spark, sf):
+    """Mean price of a quantity's line items as a floor and a falling power of the quantity's inverse."""
+    from millrace.operators.scaling import floor_law_fit as fit
+
+    p = table(spark, sf, "lineitem").groupBy((F.lit(51.0) - F.col("l_quantity")).alias("x")).agg(F.avg("l_extendedprice").alias("y"))
+    return fit(p, "x", "y").select(F.round("floor", 2).alias("floor"), F.round("coefficient", 2).alias("coefficient"), r6("exponent").alias("exponent"))
+
+
 # --- sources and sinks ------------------------------------------------------------------------------
 @query("""WITH t AS (SELECT doc_id, list_concat(list_transform(string_split(text, ' '), lambda w: length(w)), [50256]) AS ids, octet_length(encode(text)) AS b FROM documents)
 SELECT count(*) AS docs, sum(len(ids))::BIGINT AS tokens, sum(b)::BIGINT AS text_bytes, min(list_min(ids))::BIGINT AS least, max(list_max(ids))::BIGINT AS most, round(sum(b) / sum(len(ids))::DOUBLE, 6) AS bytes_per_token, 2 * sum(len(ids))::BIGINT AS file_bytes FROM t""")
@@ -452,19 +488,14 @@ def token_file_totals(spark, sf):
     return sinks.encode_metrics(made, 1.0).select("docs", "tokens", "text_bytes", "least", "most", r6("bytes_per_token").alias("bytes_per_token")).crossJoin(held)
 
 
-@query("""WITH t AS (SELECT doc_id, list_concat(list_transform(string_split(text, ' '), lambda w: least(length(w), 60000)), [50256]) AS ids FROM documents),
-x AS (SELECT doc_id, unnest(ids) AS token, unnest(range(len(ids))) AS i FROM t), p AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM x)
-SELECT pos // 1000 AS "window", sum(token)::BIGINT AS total, count(*) AS n, min(token ORDER BY pos) FILTER (pos % 1000 = 0)::INT AS first FROM p GROUP BY 1""")
+@query(f"""WITH {_TOKENS} SELECT pos // 1000 AS "window", sum(token)::BIGINT AS total, count(*) AS n, min(token) FILTER (pos % 1000 = 0)::INT AS first FROM tokens GROUP BY 1""")
 def token_windows(spark, sf):
     """Token files written from all documents, read again by position; every other piece in a read of its own."""
     from millrace.sources.splits import read_tokens
 
-    d = table(spark, sf, "documents").withColumn("ids", F.transform(F.split("text", " ", -1), lambda w: F.least(F.length(w), F.lit(60_000))))
-    scratch = Scratch(spark, "tokenfiles")
-    made = scratch.save(sinks.write_token_files(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), scratch.path("files"), 50256), "made")
-    n = made.agg(F.sum("tokens")).first()[0] or 0
+    folder, n = _token_files(spark, sf)
     cuts = [n * k // 20 for k in range(21)]
-    pieces = [read_tokens(spark, scratch.path("files"), list(zip(cuts, cuts[1:]))[k::2], split_tokens=1 << 20) for k in range(2)]
+    pieces = [read_tokens(spark, folder, list(zip(cuts, cuts[1:]))[k::2], split_tokens=1 << 20) for k in range(2)]
     own = pieces[0].unionByName(pieces[1]).withColumn("window", F.floor(F.col("pos") / 1000))
     first = F.max(F.when(F.col("pos") % 1000 == 0, F.col("token")))
     return own.groupBy("window").agg(F.sum("token").alias("total"), F.count("*").alias("n"), first.alias("first"))

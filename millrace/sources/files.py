@@ -116,6 +116,19 @@ def safety_outcome(kind: str, label: Column) -> Column:
     return F.when(plain_label(label).isin(*POSITIVE[kind]), kind).otherwise(f"non-{kind}")
 
 
+# Names of the two sides of a quality model.
+QUALITY_SIDES = {"wiki": ("wiki", "high", "high-quality"), "cc": ("cc", "low", "low-quality")}
+
+
+def quality_side(label: Column) -> Column:
+    """``wiki`` or ``cc`` from a model's label or one of its aliases; any other label is an error, null stays null."""
+    plain = plain_label(label)
+    out = F.when(plain.isNull(), F.lit(None).cast("string"))
+    for side, names in QUALITY_SIDES.items():
+        out = out.when(plain.isin(*names), side)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown quality label: "), label)).cast("string"))
+
+
 def stable_hash(**columns: Column) -> Column:
     """SHA-256 of the named values as JSON, names sorted, so that the order they are given in does not matter."""
     return F.sha2(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

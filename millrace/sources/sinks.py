@@ -30,7 +30,9 @@ def _store(uri: str, name: str, data: bytes) -> None:
 
 
 def write_texts(docs: DataFrame, folder: str, name_col: str, text_col: str = "text") -> DataFrame:
-    """A file for each row, named by the last part of ``name_col``; empty texts are written too. ``(name, n_bytes)``."""
+    """A file for each row, named by the last part of ``name_col``; empty texts are written too. ``(name, n_bytes)``.
+
+    Two rows of one name are an error, found before anything is written."""
     uri = folder_uri(docs.sparkSession, folder)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,6 +45,9 @@ def write_texts(docs: DataFrame, folder: str, name_col: str, text_col: str = "te
             yield pd.DataFrame(out, columns=["name", "n_bytes"])
 
     named = docs.select(F.element_at(F.split(F.col(name_col).cast("string"), "/"), -1).alias("name"), F.col(text_col).alias("text"))
+    twice = named.groupBy("name").count().where("count > 1").orderBy("name").first()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} rows are to be written to {twice['name']}")
     return named.mapInPandas(run, "name string, n_bytes long")
 
 

@@ -78,29 +78,56 @@ def silent_runs(heartbeats: DataFrame, late: str = "0 seconds") -> DataFrame:
     return beats.groupBy("entity").applyInPandasWithState(run, "entity long, last_beat long, deadline long", "last_beat long, deadline long", "append", "EventTimeTimeout")
 
 
-def dispatch(ticks: DataFrame, pick: Callable[[SparkSession], DataFrame], start: Callable[[dict], None], checkpoint: str, every: str | None = None):
-    """A query that at each tick starts what ``pick`` chooses (``id`` and more; as many rows as slots are free).
-
-    An experiment whose start fails is skipped from then on; its error is in ``failed`` of the
-    query handle's ``log``. The choice is small by nature: free slots bound it."""
-    failed: dict[int, str] = {}
-    started: list[int] = []
-
-    def tick(batch: DataFrame, _: int) -> None:
-        chosen = pick(batch.sparkSession)
-        chosen = chosen.where(~F.col("id").isin(list(failed))) if failed else chosen
-        for row in chosen.collect():
-            if row["id"] in started:
-                continue
+LEDGER = "id long, key string, outcome string, error string"
+
+
+def dispatch(
+    ticks: DataFrame, pick: Callable[[SparkSession, DataFrame], DataFrame], start: Callable[[dict, str], None], ledger: str, checkpoint: str, every: str | None = None
+):
+    """A query that at each tick starts what ``pick`` chooses: rows with an ``id`` and more, as many as slots are free.
+
+    ``ledger`` is a folder of claims and outcomes, which ``pick`` gets as a table (``read_ledger``). A
+    tick first writes what it claims and only then starts it, each under a key that its id
+    decides; what came of it is written after each start. A tick that is repeated after a
+    loss does not choose again: it takes up its own claims and starts those without an
+    outcome, under the same key, by which ``start`` can tell a repetition from a second
+    start. Ids with a claim or an outcome, failed ones included, are not chosen again. The
+    choice is small by nature: free slots bound it."""
+
+    def tick(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        claims = f"{ledger}/claims/tick={number}"
+        known = read_ledger(spark, ledger)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{claims}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            chosen = pick(spark, known).join(known.select("id"), "id", "left_anti").dropDuplicates(["id"])
+            chosen.withColumn("key", F.concat(F.lit("start-"), F.col("id").cast("string"))).write.mode("overwrite").parquet(claims)
+        own = spark.read.parquet(claims)
+        done = known.where("outcome is not null").select("id")
+        for row in own.join(done, "id", "left_anti").orderBy("id").collect():
+            told = row.asDict()
+            key, outcome, error = told.pop("key"), "started", None
             try:
-                start(row.asDict())
-                started.append(row["id"])
+                start(told, key)
             except Exception as e:  # one experiment's failure must not stop the others
-                failed[row["id"]] = repr(e)
+                outcome, error = "failed", repr(e)
+            spark.createDataFrame([(row["id"], key, outcome, error)], LEDGER).write.mode("overwrite").parquet(f"{ledger}/outcomes/id={row['id']}-")
 
     writer = ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
-    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-    return query, started, failed
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """``(id, key, outcome, error)`` of all that was claimed; the outcome is null until there is one."""
+
+    def table(name: str, schema: str) -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{name}")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{ledger}/{name}")
+
+    outcomes = table("outcomes", LEDGER).drop("key")
+    return table("claims", "id long, key string").join(outcomes, "id", "left")
 
 
 def log_metrics(metrics: DataFrame, path: str, checkpoint: str):

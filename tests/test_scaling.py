@@ -67,3 +67,13 @@ def test_checks(spark):
     assert [r.m for r in d.collect()] == [["end"], ["start", "end"]]
     texts = spark.createDataFrame([(1, "[a](x.md) [b](http://z) [c](#q) [d](y.md#p)"), (2, None)], "i long, t string")
     assert [tuple(r) for r in K.broken_links(texts, spark.createDataFrame([("x.md",)], "path string"), "i", "t").collect()] == [(1, "y.md")]
+
+
+def test_floor_law(spark):
+    from millrace.operators.scaling import floor_law_fit
+
+    for floor, c, e in ((1.7, 400.0, 0.34), (0.0, 12.0, 0.5)):
+        rows = [(10.0**k, floor + c * 10.0 ** (-e * k)) for k in (2, 2.5, 3, 3.5, 4, 5, 6, 7)] + [(None, 1.0), (5.0, None), (0.0, 3.0), (-1.0, 3.0)]
+        got = floor_law_fit(spark.createDataFrame(rows, "x double, y double"), "x", "y", seed=1).first()
+        assert abs(got.floor - floor) < 1e-6 and abs(got.coefficient / c - 1) < 1e-5 and abs(got.exponent - e) < 1e-6
+    assert floor_law_fit(spark.createDataFrame([], "x double, y double"), "x", "y").count() == 0

@@ -179,20 +179,27 @@ def test_agreement_against_all_pairs(spark):
 def test_dispatch_and_metrics(spark, tmp_path):
     spark.range(3).write.parquet(f"file://{tmp_path}/ticks/a")
     ticks = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/ticks/*")
-    pick = lambda s: s.range(4).withColumnRenamed("id", "id")
-    ran = []
+    ledger, ran = f"file://{tmp_path}/ledger", []
 
-    def start(row):
+    def start(row, key):
         if row["id"] == 2:
             raise RuntimeError("no slot")
-        ran.append(row["id"])
-
-    query, started, failed = L.dispatch(ticks, pick, start, f"file://{tmp_path}/cp")
-    query.awaitTermination()
-    assert sorted(started) == sorted(ran) == [0, 1, 3] and list(failed) == [2]
+        ran.append((row["id"], row["gpu"], key))
+
+    # what a driver leaves that is lost between a choice and its second start
+    claimed = spark.range(4).selectExpr("id", "'a' AS gpu", "concat('start-', id) AS key")
+    claimed.write.parquet(f"{ledger}/claims/tick=0")
+    spark.createDataFrame([(0, "start-0", "started", None)], L.LEDGER).write.parquet(f"{ledger}/outcomes/id=0-")
+    L.dispatch(ticks, lambda s, known: s.range(4, 9).withColumn("gpu", F.lit("b")), start, ledger, f"file://{tmp_path}/cp").awaitTermination()
+    assert ran == [(1, "a", "start-1"), (3, "a", "start-3")]  # the claims of the lost tick, none twice, none new
+    spark.range(1).write.parquet(f"file://{tmp_path}/ticks/b")
+    L.dispatch(ticks, lambda s, known: s.range(2, 6).withColumn("gpu", F.lit("b")), start, ledger, f"file://{tmp_path}/cp").awaitTermination()
+    assert [x[0] for x in ran] == [1, 3, 4, 5]
+    told = {r.id: (r.outcome, r.error) for r in L.read_ledger(spark, ledger).collect()}
+    assert told[2][0] == "failed" and "no slot" in told[2][1] and [k for k in told if told[k][0] == "started"] and len(told) == 6
     for _ in range(2):  # the second run has nothing new to say
         L.log_metrics(ticks.selectExpr("id as step", "id * 0.5 as loss"), f"file://{tmp_path}/log", f"file://{tmp_path}/cp2").awaitTermination()
-    assert sorted(r.step for r in spark.read.schema("step long, loss double").json(f"file://{tmp_path}/log").collect()) == [0, 1, 2]
+    assert sorted(r.step for r in spark.read.schema("step long, loss double").json(f"file://{tmp_path}/log").collect()) == [0, 0, 1, 2]
     assert "created_at" in L.arrived(ticks).columns
 
 
@@ -211,3 +218,24 @@ def test_reads_beyond_the_data(spark):
         permuted_reads(chunks, 4, 1, 8)
     with pytest.raises(ValueError):
         window_starts(5, 5, chunks)
+
+
+def test_equal_names_are_not_overwritten(spark, tmp_path):
+    d = spark.createDataFrame([("a/x.txt", "1"), ("b/x.txt", "2")], "path string, text string")
+    with pytest.raises(ValueError, match="2 rows are to be written to x.txt"):
+        sinks.write_texts(d, f"file://{tmp_path}/o", "path")
+
+
+def test_quality_sides(spark):
+    d = spark.createDataFrame([("__label__Wiki",), ("HIGH_quality",), ("low",), ("cc",), (None,)], "l string")
+    assert [r.s for r in d.select(files.quality_side(F.col("l")).alias("s")).collect()] == ["wiki", "wiki", "cc", "cc", None]
+    with pytest.raises(Exception, match="unknown quality label: other"):
+        spark.createDataFrame([("other",)], "l string").select(files.quality_side(F.col("l"))).collect()
+
+
+def test_permutation_in_few_and_many_parts(spark):
+    from millrace.operators.sampling import permuted
+
+    d = spark.range(500)
+    few, many = ({r.id: r.position for r in permuted(d, "id", 3, n).collect()} for n in (1000, 7))
+    assert few == many and sorted(few.values()) == list(range(500)) and permuted(d.limit(0), "id").count() == 0
