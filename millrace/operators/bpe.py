@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import base64
 import heapq
+import secrets
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
@@ -201,18 +202,50 @@ class _Shard:
             self.symbols.cut(size)
 
 
-def _gathered(ctx, steps: list[dict[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """For each step the changes of all tasks, summed."""
-    own = np.array([(i, k, d) for i, step in enumerate(steps) for k, d in step.items()], dtype=np.int64).reshape(-1, 3)
-    told = ctx.allGather(base64.b64encode(own.tobytes()).decode())
-    every = np.concatenate([np.frombuffer(base64.b64decode(x), dtype=np.int64).reshape(-1, 3) for x in told])
-    every = every[np.lexsort((every[:, 1], every[:, 0]))]
-    new = np.ones(len(every), dtype=bool)
-    new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
-    first = np.flatnonzero(new)
-    sums = np.add.reduceat(every[:, 2], first) if len(first) else first
-    cuts = np.searchsorted(every[first, 0], np.arange(len(steps) + 1))
-    return [(every[first[a:b], 1].tolist(), sums[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
+class _Exchange:
+    """Sums over the tasks of a barrier stage, by connections that they keep open.
+
+    The stage's own exchange waits about a second a time; it only tells where the first task
+    listens, and the key that a connection must know. If a task is lost, the others' connections break and the
+    stage is tried again as a whole."""
+
+    def __init__(self, ctx):
+        tasks, listener, told = ctx.getTaskInfos(), None, ""
+        self.first = ctx.partitionId() == 0
+        if self.first:
+            key = secrets.token_bytes(32)
+            listener = Listener(("0.0.0.0", 0), backlog=len(tasks), authkey=key)
+            told = f"{listener.address[1]} {key.hex()}"
+        port, key = ctx.allGather(told)[0].split()
+        if self.first:
+            self.others = [listener.accept() for _ in tasks[1:]]
+            listener.close()
+        else:
+            self.others = [Client((tasks[0].address.rsplit(":", 1)[0], int(port)), authkey=bytes.fromhex(key))]
+
+    def summed(self, steps: list[dict[int, int]]) -> list[tuple[list[int], list[int]]]:
+        """For each step the keys and the changes of all tasks, summed."""
+        own = np.array([(i, k, d) for i, step in enumerate(steps) for k, d in step.items()], dtype=np.int64).reshape(-1, 3)
+        if self.first:
+            every = np.concatenate([own, *[np.frombuffer(c.recv_bytes(), dtype=np.int64).reshape(-1, 3) for c in self.others]])
+            every = every[np.lexsort((every[:, 1], every[:, 0]))]
+            new = np.ones(len(every), dtype=bool)
+            new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
+            first = np.flatnonzero(new)
+            total = every[first]
+            if len(first):
+                total[:, 2] = np.add.reduceat(every[:, 2], first)
+            for c in self.others:
+                c.send_bytes(total.tobytes())
+        else:
+            self.others[0].send_bytes(own.tobytes())
+            total = np.frombuffer(self.others[0].recv_bytes(), dtype=np.int64).reshape(-1, 3)
+        cuts = np.searchsorted(total[:, 0], np.arange(len(steps) + 1))
+        return [(total[a:b, 1].tolist(), total[a:b, 2].tolist()) for a, b in zip(cuts, cuts[1:])]
+
+    def close(self) -> None:
+        for c in self.others:
+            c.close()
 
 
 MOST_AT_ONCE = 256
@@ -223,20 +256,21 @@ def _learn(known: list[tuple[bytes, bytes]], n_merges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = BarrierTaskContext.get()
+        exchange = _Exchange(ctx)
         rank = {p: i for i, p in enumerate(known)}
         symbols = _Symbols()
         for a, b in known:
             symbols.add(a + b)
         shard = _Shard(symbols, ((encode_word(w.encode(), rank), n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
         totals, merges, width = _Totals(symbols), [], 4
-        totals.add(*_gathered(ctx, [shard.counts()])[0])
+        totals.add(*exchange.summed([shard.counts()])[0])
         while len(merges) < n_merges:
             asked = totals.leading(min(width, n_merges - len(merges)))
             if not asked:
                 break
             steps = [shard.merge(key) for key in asked]
             taken = 0
-            for key, change in zip(asked, _gathered(ctx, [changes for changes, _ in steps])):
+            for key, change in zip(asked, exchange.summed([changes for changes, _ in steps])):
                 if totals.leading(1) != [key]:
                     break  # a merge before it made or raised another pair
                 merges.append(symbols.pair(key))
@@ -244,6 +278,7 @@ def _learn(known: list[tuple[bytes, bytes]], n_merges: int):
                 taken += 1
             shard.undo([how for _, how in steps[taken:]])
             width = min(2 * taken, MOST_AT_ONCE) if taken == len(asked) else taken + 1
+        exchange.close()
         if ctx.partitionId() == 0 and merges:
             left, right = zip(*merges)
             yield pa.record_batch([pa.array(range(len(merges)), pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["rank", "a", "b"])

@@ -183,6 +183,9 @@ def test_bpe_tasks_on_random_words(monkeypatch):
         def partitionId(self):
             return self.i
 
+        def getTaskInfos(self):
+            return [type("Info", (), {"address": "127.0.0.1:0"})] * 3
+
         def allGather(self, message):
             self.told[self.i] = message
             self.barrier.wait(10)
