@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.encodings import decoded_page
+
 RECORD_SCHEMA = "path string, rec_type string, headers map<string,string>, payload binary"
 
 
@@ -147,14 +149,11 @@ class _Text(HTMLParser):
 
 
 def extract_text(html: str | bytes | None) -> str | None:
-    """Visible text of a page; bytes are UTF-8 or else Latin-1; null if there is no page."""
+    """Visible text of a page, bytes as ``decoded_page`` reads them; null if there is no page."""
     if html is None:
         return None
     if isinstance(html, (bytes, bytearray)):
-        try:
-            html = bytes(html).decode("utf-8")
-        except UnicodeDecodeError:
-            html = bytes(html).decode("latin-1")
+        html = decoded_page(bytes(html))
     parser = _Text()
     try:
         parser.feed(html)

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from conftest import as_rows
 
+from millrace.operators.bpe import learn_merges
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -19,6 +20,47 @@ def test_query(name, spark, sf_dir, duck):
 # --- queries that SQL cannot express ------------------------------------------------------------
 
 
+def test_semantic_cells(spark, sf_dir):
+    """Links of each vector within its cell, by all its pairs."""
+    import numpy as np
+
+    v = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = {r.vec_id: r for r in QUERIES["semantic_cells"](spark, sf_dir).collect()}
+    assert got.keys() == v.keys() and max(r.cell_size for r in got.values()) <= 512
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items()}
+    for i, r in got.items():
+        near = [unit[i] @ unit[j] for j in v if j != i and got[j].cell == r.cell]
+        assert sum(c > 0.35 + 1e-9 for c in near) <= r.n_links <= sum(c > 0.35 - 1e-9 for c in near)
+
+
+def test_repetition_of_documents(spark, sf_dir):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = QUERIES["repetition_of_documents"](spark, sf_dir).collect()
+    assert len(got) == len(text) and all(r.repetitive == (r.score > 0.2) or abs(r.score - 0.2) < 1e-5 for r in got)
+    for r in got:
+        t = text[r.doc_id]
+        if len(t) <= 1500:
+            order, total = sorted(range(len(t)), key=lambda i: t[i:]), 0
+            for a, b in zip(order, order[1:]):
+                k = 0
+                while t[a + k : a + k + 1] == t[b + k : b + k + 1] != "":
+                    k += 1
+                total += k
+            assert abs(r.score - (2 * total / (len(t) * (len(t) + 1)) if len(t) > 1 else 0)) < 1e-6
+
+
+def test_floor_law_fit(spark, sf_dir):
+    """No better fit near by."""
+    import numpy as np
+
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("51.0 - l_quantity AS x", "l_extendedprice AS p").groupBy("x").avg("p").toPandas().to_numpy(dtype=float)
+    r = QUERIES["floor_law_fit"](spark, sf_dir).first()
+    sse = lambda f, c, e: float(((f + c * p[:, 0] ** -e - p[:, 1]) ** 2).sum())
+    best = sse(r.floor, r.coefficient, r.exponent)
+    rng = np.random.default_rng(1)
+    assert all(sse(max(0, r.floor + df), r.coefficient * (1 + dc), r.exponent * (1 + de)) >= best * (1 - 1e-6) for df, dc, de in rng.normal(size=(200, 3)) * [50, 0.02, 0.02])
+
+
 def test_bpe_merges(spark, sf_dir):
     """By recounting all pairs at every merge."""
     import regex
@@ -98,5 +140,6 @@ def test_bradley_terry_is_a_fixed_point(spark, sf_dir):
 
 
 def test_nothing_is_left_out():
-    own = {"bpe_merges", "elo_ratings", "importance_resample", "html_text", "joint_law_fit", "robust_power_law", "bradley_terry"}
+    own = {"bpe_merges", "elo_ratings", "importance_resample", "html_text", "joint_law_fit", "robust_power_law", "bradley_terry", "semantic_cells",
+           "repetition_of_documents", "floor_law_fit"}
     assert set(QUERIES) - set(ORACLE_SQL) == own
