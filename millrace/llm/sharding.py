@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.plans.scratch import Scratch
+from millrace.plans.scratch import Scratch, join_small
 
 KEY_SPAN = 1 << 62
 VALUE_BITS = 30
@@ -217,7 +217,7 @@ def shard_documents(
     order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
     # a shard has ``parts`` rows in ``starts``
     return (
-        dealt.join(F.broadcast(starts), ["shard", "part"])
+        join_small(dealt, scratch.save(starts, "starts"), ["shard", "part"], 200_000, "inner")
         .withColumn("slot", (F.col("start") + F.row_number().over(order) - 1).cast("long"))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     )

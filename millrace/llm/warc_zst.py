@@ -104,7 +104,7 @@ def _frame_end(data: memoryview, at: int) -> int:
 
 def read_frames(data: bytes) -> Iterator[bytes]:
     """The decoded records of an archive, none of an empty one; a ``WarcError`` where a frame breaks off."""
-    view, at, words = memoryview(data), 0, None
+    view, at, words, opener = memoryview(data), 0, b"", None
     while at < len(view):
         if at + 8 > len(view):
             raise WarcError(f"no frame at byte {at}")
@@ -118,8 +118,9 @@ def read_frames(data: bytes) -> Iterator[bytes]:
             at += 8 + size
         elif magic == FRAME_MAGIC:
             end = _frame_end(view, at)
+            opener = opener or zstandard.ZstdDecompressor(dict_data=_dictionary(words))  # one an archive
             try:
-                yield zstandard.ZstdDecompressor(dict_data=_dictionary(words or b"")).decompressobj().decompress(view[at:end])
+                yield opener.decompressobj().decompress(view[at:end])
             except zstandard.ZstdError as e:
                 raise WarcError(f"bad frame at byte {at}: {e}") from e
             at = end
