@@ -7,6 +7,7 @@ under a name that its task's input decides, so a task that runs twice writes the
 from __future__ import annotations
 
 import gzip
+import io
 import re
 from collections.abc import Iterator
 
@@ -173,24 +174,35 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 
 def rewrite_archives(spark: SparkSession, path: str, folder: str, keep, glob: str = "*.warc*.gz") -> DataFrame:
-    """Each archive below ``path`` again in ``folder``, without the conversion records that
-    ``keep(text)`` turns down; all other records go over as they are. ``(name, records, kept)``."""
+    """Each compressed archive below ``path`` again in ``folder``, without the conversion records that
+    ``keep(text)`` turns down; all other records go over as they are. ``(name, records, kept)``.
+
+    An archive is one task's, which reads and writes a record at a time. Two archives of one name are an error."""
+    from millrace.sources.splits import listed
     from millrace.sources.web import raw_records
 
-    uri = folder_uri(spark, folder)
+    uri, source = folder_uri(spark, folder), folder_uri(spark, path)
+    paths = [x for x, _, _ in listed(source, glob)]
+    names = [x.rsplit("/", 1)[-1] for x in paths]
+    if len(set(names)) < len(names):
+        raise ValueError("archives of one name would overwrite each other")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _ = pafs.FileSystem.from_uri(source)
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
         for part in parts:
-            out = []
-            for path_, content in part.itertuples(index=False):
-                name, frames, n = path_.rsplit("/", 1)[-1], [], 0
-                for kind, raw, payload in raw_records(bytes(content)):
-                    n += 1
-                    if kind != "conversion" or keep(payload.decode("utf-8", "replace")):
-                        frames.append(gzip.compress(raw, mtime=0))
-                _store(uri, name, b"".join(frames))
-                out.append((name, n, len(frames)))
-            yield pd.DataFrame(out, columns=["name", "records", "kept"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+            done = []
+            for path_ in part["path"]:
+                name, n, kept = path_.rsplit("/", 1)[-1], 0, 0
+                with own.open_input_file(path_) as f, fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    for kind, raw, payload in raw_records(io.BufferedReader(gzip.GzipFile(fileobj=f))):
+                        n += 1
+                        if kind != "conversion" or keep(payload.decode("utf-8", "replace")):
+                            out.write(gzip.compress(raw, mtime=0))
+                            kept += 1
+                done.append((name, n, kept))
+            yield pd.DataFrame(done, columns=["name", "records", "kept"])
+
+    files = spark.createDataFrame([(x,) for x in paths], "path string").repartition(max(1, len(paths)))
     return files.mapInPandas(run, "name string, records long, kept long")

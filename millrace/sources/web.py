@@ -21,12 +21,8 @@ RECORD_SCHEMA = "path string, rec_type string, headers map<string,string>, paylo
 BATCH_BYTES = 16 << 20
 
 
-def raw_records(data: bytes) -> Iterator[tuple[str, bytes, bytes]]:
-    """``(type, whole record, payload)`` of a WARC file, plain or gzip, decompressed as it is read."""
-    yield from _raw_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-
-
-def _raw_records(f: io.BufferedIOBase) -> Iterator[tuple[str, bytes, bytes]]:
+def raw_records(f: io.BufferedIOBase) -> Iterator[tuple[str, bytes, bytes]]:
+    """``(type, whole record, payload)`` of an open WARC file, one record at a time."""
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -43,13 +39,13 @@ def _raw_records(f: io.BufferedIOBase) -> Iterator[tuple[str, bytes, bytes]]:
 
 
 def iter_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """Records of a WARC file as (type, headers, payload)."""
-    yield from _parsed(raw_records(data))
+    """Records of a WARC file, plain or gzip, as (type, headers, payload), decompressed as it is read."""
+    yield from records_of(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
 
 
 def records_of(f: io.BufferedIOBase) -> Iterator[tuple[str, dict[str, str], bytes]]:
     """``iter_records`` of an open file, one record at a time."""
-    yield from _parsed(_raw_records(f))
+    yield from _parsed(raw_records(f))
 
 
 def _parsed(records: Iterator[tuple[str, bytes, bytes]]) -> Iterator[tuple[str, dict[str, str], bytes]]:
@@ -83,10 +79,10 @@ def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def stream_wet(spark: SparkSession, path: str, glob: str = "*.wet.gz") -> DataFrame:
-    """Texts of conversion records of the archives that arrive below ``path``, as a stream: url and text."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path).select("path", "content")
-    return _conversions(files.mapInPandas(_record_rows, RECORD_SCHEMA))
+    """Texts of conversion records of the compressed archives that arrive below ``path``, as a stream: url and text."""
+    from millrace.sources.splits import read_archives
+
+    return _conversions(read_archives(spark, path, glob, stream=True))
 
 
 def _conversions(records: DataFrame) -> DataFrame:
@@ -94,8 +90,10 @@ def _conversions(records: DataFrame) -> DataFrame:
 
 
 def read_wet(spark: SparkSession, path: str, glob: str = "*.wet.gz") -> DataFrame:
-    """Texts of conversion records: url and text, invalid UTF-8 replaced."""
-    return _conversions(read_warc(spark, path, glob))
+    """Texts of conversion records of compressed archives, read in byte ranges: url and text, invalid UTF-8 replaced."""
+    from millrace.sources.splits import read_archives
+
+    return _conversions(read_archives(spark, path, glob))
 
 
 @F.pandas_udf(T.StringType())
