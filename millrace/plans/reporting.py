@@ -100,16 +100,16 @@ def zipped_turns(spark, sf):
     return c.select("conv_id", F.explode(R.zipped(F.col("u"), F.col("a"))).alias("x")).select("conv_id", "x.i", F.col("x.left").alias("asked"), F.col("x.right").alias("answered"))
 
 
-@query("SELECT 'small' AS variant, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT 'large', c_name, c_mktsegment FROM customer WHERE c_custkey <= 100")
+@query("SELECT 'small' AS variant, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT 'large', c_name, c_mktsegment FROM customer")
 def concatenated_variants(spark, sf):
     a = table(spark, sf, "nation").select(F.col("n_name").alias("name")).withColumn("variant", F.lit("small"))
-    b = table(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).withColumn("variant", F.lit("large"))
+    b = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).withColumn("variant", F.lit("large"))
     return a.unionByName(b, allowMissingColumns=True).select("variant", "name", "segment")
 
 
-@query("SELECT event_id, list_sort(list_filter(['k', 'run_id'], lambda r: NOT list_contains(json_keys(props), r)))[1] AS missing FROM events WHERE event_id < 1000")
+@query("SELECT event_id, list_sort(list_filter(['k', 'run_id'], lambda r: NOT list_contains(json_keys(props), r)))[1] AS missing FROM events")
 def missing_keys(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 1000")
+    e = table(spark, sf, "events")
     return e.select("event_id", F.get(F.array_sort(F.array_except(F.array(F.lit("k"), F.lit("run_id")), F.json_object_keys("props"))), F.lit(0)).alias("missing"))
 
 
@@ -195,18 +195,18 @@ def utc_stamps(spark, sf):
     return table(spark, sf, "events").select("event_id", R.utc_stamp(F.col("ts")).alias("stamp"))
 
 
-@query("SELECT event_id, ts AS at, (props::JSON->>'$.k')::DOUBLE + value AS x FROM events WHERE event_id % 7 = 0")
+@query("SELECT event_id, ts AS at, (props::JSON->>'$.k')::DOUBLE + value AS x FROM events")
 def json_casts(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 7 = 0")
+    e = table(spark, sf, "events")
     e = e.select("event_id", F.to_json(F.struct(R.utc_stamp(F.col("ts")).alias("at"), "value", F.get_json_object("props", "$.k").alias("k"))).alias("j"))
     path = lambda p, t: F.get_json_object("j", p).cast(t)
     return e.select("event_id", path("$.at", "timestamp").cast("timestamp_ntz").alias("at"), (path("$.k", "double") + path("$.value", "double")).alias("x"))
 
 
-@query("""SELECT n_nationkey AS id, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","nothing":null,"region":' || n_regionkey || '}') AS digest FROM nation""")
+@query("""SELECT c_custkey AS id, sha256('{"key":' || c_custkey || ',"name":"' || c_name || '","nothing":null,"region":' || c_nationkey || '}') AS digest FROM customer""")
 def typed_hashes(spark, sf):
-    n = table(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").alias("id"), files.stable_hash(region=F.col("n_regionkey"), nothing=F.lit(None).cast("string"), name=F.col("n_name"), key=F.col("n_nationkey")).alias("digest"))
+    n = table(spark, sf, "customer")
+    return n.select(F.col("c_custkey").alias("id"), files.stable_hash(region=F.col("c_nationkey"), nothing=F.lit(None).cast("string"), name=F.col("c_name"), key=F.col("c_custkey")).alias("digest"))
 
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - list_max(embedding)::DOUBLE) AS s FROM embeddings), z AS (SELECT vec_id, s, ln(list_sum(list_transform(s, lambda x: exp(x)))) AS z FROM s)
@@ -513,35 +513,35 @@ def archive_splits(spark, sf):
     return read.groupBy(F.col("headers")["warc-target-uri"].alias("url"), F.sha2("payload", 256).alias("digest")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_name AS name, octet_length(encode(n_name)) AS n_bytes, sha256(n_name) AS sha256 FROM nation")
+@query("SELECT s_name AS name, octet_length(encode(s_name)) AS n_bytes, sha256(s_name) AS sha256 FROM supplier")
 def file_per_input(spark, sf):
     from millrace.sources.web import file_manifest
 
     scratch = Scratch(spark, "texts")
-    made = scratch.save(sinks.write_texts(table(spark, sf, "nation"), scratch.path("files"), "n_name", "n_name"), "made")
+    made = scratch.save(sinks.write_texts(table(spark, sf, "supplier"), scratch.path("files"), "s_name", "s_name"), "made")
     told = file_manifest(spark, scratch.path("files")).select(F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"\+", " ").alias("name"), "sha256")
     return made.join(told, "name").select("name", "n_bytes", "sha256")
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS region FROM customer")
 def json_round_trip(spark, sf):
     scratch = Scratch(spark, "json")
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    sinks.append_jsonl(n.where("id < 10"), scratch.path("log"))
-    sinks.append_jsonl(n.where("id >= 10"), scratch.path("log"))
-    return files.read_json(spark, scratch.path("log"), "id int, name string, region int")
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("region"))
+    sinks.append_jsonl(n.where("region < 10"), scratch.path("log"))
+    sinks.append_jsonl(n.where("region >= 10"), scratch.path("log"))
+    return files.read_json(spark, scratch.path("log"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in n.schema))
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation")
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer")
 def csv_round_trip(spark, sf):
     scratch = Scratch(spark, "csv")
-    sinks.write_csv_log(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("name")), scratch.path("log"))
+    sinks.write_csv_log(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("name")), scratch.path("log"))
     return files.read_strict_csv(spark, scratch.path("log"), ["id", "name"])
 
 
-@query("SELECT event_type AS label, CASE WHEN event_type IN ('click', 'view') THEN '1e+18' ELSE '6e+18' END AS budget, count(*) AS n, max(event_id) AS last_step, min(value) AS least FROM events WHERE event_id % 10 = 0 GROUP BY 1, 2")
+@query("SELECT event_type AS label, CASE WHEN event_type IN ('click', 'view') THEN '1e+18' ELSE '6e+18' END AS budget, count(*) AS n, max(event_id) AS last_step, min(value) AS least FROM events GROUP BY 1, 2")
 def discovered_runs(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 10 = 0").select("event_type", F.col("event_id").alias("step"), "value")
+    e = table(spark, sf, "events").select("event_type", F.col("event_id").alias("step"), "value")
     scratch = Scratch(spark, "runs")
     budget = F.when(F.col("event_type").isin("click", "view"), "1e+18").otherwise("6e+18")
     e.withColumn("run", F.concat(F.lit("c"), budget, F.lit("-"), "event_type")).write.partitionBy("run").json(scratch.path("all"))
@@ -549,11 +549,11 @@ def discovered_runs(spark, sf):
     return found.groupBy("label", F.replace("budget", F.lit("%2B"), F.lit("+")).alias("budget")).agg(F.count("*").alias("n"), F.max("step").alias("last_step"), F.min("value").alias("least"))
 
 
-@query(f"""SELECT row_number() OVER (ORDER BY {_h("url || '-' || 2")}, url) AS place, url FROM (SELECT DISTINCT url FROM pages WHERE ends_with(url, '1')) QUALIFY place <= 20""")
+@query(f"""SELECT row_number() OVER (ORDER BY {_h("url || '-' || 2")}, url) AS place, url FROM (SELECT DISTINCT url FROM pages)""")
 def shuffled_listing(spark, sf):
     names = table(spark, sf, "pages").select(F.col("url").alias("path")).distinct()
-    first = files.shuffled_listing(names, "1", 2).limit(20)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(files.hashed(F.col("path"), F.lit(2)), "path")).cast("long")).select("place", F.col("path").alias("url"))
+    listed = files.shuffled_listing(names, "", 2).select("path")
+    return S.permuted(listed, "path", 2).select((F.col("position") + 1).alias("place"), F.col("path").alias("url"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS names FROM pages""")
