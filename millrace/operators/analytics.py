@@ -130,16 +130,37 @@ def importance_resample(weights: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def elo(matches: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataFrame:
-    """Ratings after matches ``(at, a, b, score)`` in order. The update is sequential by
-    nature: it folds over one ordered stream, whose state is a rating a player."""
-    import pandas as pd
+    """``(player, rating)`` after matches ``(at, a, b, score)`` in the order of time, then names.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[str, float] = {}
-        for a, b, s in pdf.sort_values(["at", "a", "b"])[["a", "b", "score"]].itertuples(index=False):
-            x, y = rating.get(a, start), rating.get(b, start)
-            e = 1 / (1 + 10 ** ((y - x) / 400))
-            rating[a], rating[b] = x + k * (s - e), y - k * (s - e)
-        return pd.DataFrame({"player": list(rating), "rating": list(rating.values())})
+    Ratings depend only on matches among players who are linked by matches: each such
+    component of players is a stream of its own, read in order, of which a task holds a
+    batch and the players' ratings. Within a component the update is sequential by nature."""
+    import pandas as pd
 
-    return matches.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "player string, rating double")
+    from millrace.operators.components import connected_components
+
+    codes = F.xxhash64  # players are numbered by a hash for the components
+    links = matches.select(F.least(codes("a"), codes("b")).alias("a"), F.greatest(codes("a"), codes("b")).alias("b")).where("a <> b").distinct()
+    of = connected_components(links).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    told = matches.select("at", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score").cast("double").alias("score"), codes("a").alias("_n"))
+    told = told.join(of, "_n", "left").select(F.coalesce("_c", "_n").alias("part"), "at", "a", "b", "score")
+
+    def run(batches):
+        part, rating = None, {}
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"player": list(rating), "rating": list(rating.values())})
+
+        for pdf in batches:
+            for own, a, b, s in pdf[["part", "a", "b", "score"]].itertuples(index=False):
+                if own != part:
+                    if rating:
+                        yield done()
+                    part, rating = own, {}
+                x, y = rating.get(a, start), rating.get(b, start)
+                e = 1 / (1 + 10 ** ((y - x) / 400))
+                rating[a], rating[b] = x + k * (s - e), y - k * (s - e)
+        if rating:
+            yield done()
+
+    return told.repartition("part").sortWithinPartitions("part", "at", "a", "b").mapInPandas(run, "player string, rating double")

@@ -47,24 +47,29 @@ def preference_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_re
     return F.struct(loss.alias("loss"), (z > 0).alias("right"), good.alias("chosen_reward"), bad.alias("rejected_reward"))
 
 
-def bradley_terry(matches: DataFrame, rounds: int = 20) -> DataFrame:
-    """``(player, strength)``, strengths of mean 1, after ``rounds`` of minorise-maximise.
+def bradley_terry(matches: DataFrame, rounds: int = 500, tolerance: float = 1e-7) -> DataFrame:
+    """``(player, strength)``, strengths of mean 1, by minorise-maximise until none changes by more than ``tolerance`` of itself.
 
     ``matches`` are ``(a, b, score)`` with a's score from 0 to 1. They are summed to one
-    row a pair first, so a round costs by the pairs that met, not by the matches."""
+    row a pair first, so a round costs by the pairs that met, not by the matches. Strengths
+    that do not settle within ``rounds`` are an error: some players never won, or never lost, against the rest."""
     scratch = Scratch(matches.sparkSession, "strengths")
     both = matches.where("a <> b").select("a", "b", "score").unionByName(matches.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("score")).alias("score")))
     pairs = scratch.save(both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("score").alias("won")), "pairs")
-    now = pairs.select(F.col("a").alias("player")).distinct().withColumn("strength", F.lit(1.0))
+    now = pairs.select(F.col("a").alias("player")).distinct().withColumns({"strength": F.lit(1.0), "before": F.lit(1.0)})
     now = scratch.save(now, "round-0")
     for k in range(1, rounds + 1):
-        mine, other = now.select(F.col("player").alias("a"), F.col("strength").alias("p")), now.select(F.col("player").alias("b"), F.col("strength").alias("q"))
-        met = pairs.join(mine, "a").join(other, "b")
-        raw = met.groupBy(F.col("a").alias("player")).agg((F.sum("won") / F.sum(F.col("n") / (F.col("p") + F.col("q")))).alias("s"))
+        mine = now.select(F.col("player").alias("a"), F.col("strength").alias("p"))
+        other = now.select(F.col("player").alias("b"), F.col("strength").alias("q"))
+        raw = pairs.join(mine, "a").join(other, "b").groupBy(F.col("a").alias("player")).agg(
+            (F.sum("won") / F.sum(F.col("n") / (F.col("p") + F.col("q")))).alias("s"), F.first("p").alias("before")
+        )
         level = raw.agg(F.avg("s").alias("mean"))
-        now = scratch.save(raw.crossJoin(F.broadcast(level)).select("player", (F.col("s") / F.col("mean")).alias("strength")), f"round-{k}")
+        now = scratch.save(raw.crossJoin(F.broadcast(level)).select("player", (F.col("s") / F.col("mean")).alias("strength"), "before"), f"round-{k}")
         scratch.drop(f"round-{k - 1}")
-    return now
+        if now.where(F.abs(F.col("strength") - F.col("before")) > tolerance * F.col("before")).isEmpty():
+            return now.drop("before")
+    raise ArithmeticError(f"strengths have not settled after {rounds} rounds")
 
 
 def first_distinct_answers(samples: DataFrame, prompt: str, answer: str, order: str, top: int) -> DataFrame:

@@ -181,7 +181,7 @@ def preference_loss(spark, sf):
 @query()
 def bradley_terry(spark, sf):
     e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("a"), ((F.col("user_id") + F.col("event_id")) % 20).alias("b"), (F.col("value") > 50).cast("double").alias("score"))
-    return P.bradley_terry(e, rounds=10).withColumn("strength", r6("strength"))
+    return P.bradley_terry(e).withColumn("strength", r6("strength"))
 
 
 @query("""WITH s AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY o, event_type)::INT AS rank, event_type FROM s QUALIFY rank <= 2""")

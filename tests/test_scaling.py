@@ -77,3 +77,21 @@ def test_floor_law(spark):
         got = floor_law_fit(spark.createDataFrame(rows, "x double, y double"), "x", "y", seed=1).first()
         assert abs(got.floor - floor) < 1e-6 and abs(got.coefficient / c - 1) < 1e-5 and abs(got.exponent - e) < 1e-6
     assert floor_law_fit(spark.createDataFrame([], "x double, y double"), "x", "y").count() == 0
+
+
+def test_elo_of_several_components(spark):
+    import random
+
+    from millrace.operators.analytics import elo
+
+    rng = random.Random(2)
+    rows = [(at, *rng.sample([f"{g}{i}" for i in range(4)], 2), rng.choice([0.0, 0.5, 1.0])) for at in range(300) for g in [rng.choice("xyz")]]
+    rating = {}
+    for at, a, b, s in rows:
+        x, y = rating.get(a, 1000.0), rating.get(b, 1000.0)
+        e = 1 / (1 + 10 ** ((y - x) / 400))
+        rating[a], rating[b] = x + 32 * (s - e), y - 32 * (s - e)
+    df = spark.createDataFrame(rows, "at long, a string, b string, score double")
+    got = {r.player: r.rating for r in elo(df).collect()}
+    assert got.keys() == rating.keys() and all(abs(got[p] - rating[p]) < 1e-9 for p in got)
+    assert elo(df.limit(0)).count() == 0
