@@ -210,6 +210,63 @@ class TokenFiles(DataSource):
         return _Tokens(self.options)
 
 
+def next_delimiter(f, start: int, size: int, delimiter: bytes, after: bool) -> int:
+    """Where the first delimiter at ``start`` or later begins, or ends if ``after``; the file's end if there is none."""
+    at, lap = start, len(delimiter) - 1
+    while at < size:
+        f.seek(at)
+        data = f.read(READ_BYTES + lap)
+        place = data.find(delimiter)
+        if place >= 0:
+            return at + place + (len(delimiter) if after else 0)
+        at += READ_BYTES
+    return size
+
+
+class _Chunks(DataSourceReader):
+    def __init__(self, options: dict):
+        self.uri, self.glob, self.size = options["uri"], options.get("glob", "*"), int(options["chunkbytes"])
+        self.delimiter, self.after = bytes.fromhex(options["delimiter"]), options.get("after", "false") == "true"
+
+    def partitions(self) -> list[Range]:
+        found = [Range(path, lo, min(lo + self.size, size), size) for path, size, _ in listed(self.uri, self.glob) for lo in range(0, size, self.size)]
+        return found or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        size = partition.first
+        fs, _ = pafs.FileSystem.from_uri(self.uri)
+        with fs.open_input_file(partition.path) as f:
+            cut = lambda at: at if at in (0, size) else next_delimiter(f, at, size, self.delimiter, self.after)
+            start, end = cut(partition.start), cut(partition.end)
+            if start < end:
+                f.seek(start)
+                yield partition.path, start, end, f.read(end - start)
+
+
+class DelimitedChunks(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "delimited_chunks"
+
+    def schema(self) -> str:
+        return "path string, start long, end long, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Chunks(self.options)
+
+
+def delimited_chunks(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>", chunk_bytes: int = 64 << 20, after: bool = False, glob: str = "*") -> DataFrame:
+    """``(path, start, end, content)``: files cut near every ``chunk_bytes``, each cut moved on to the next delimiter.
+
+    A chunk begins with a delimiter, or after one; cuts that meet make one chunk, and all chunks of a file are the file. A task
+    holds one chunk: ``chunk_bytes`` and at most a document more."""
+    spark.dataSource.register(DelimitedChunks)
+    options = {"uri": folder_uri(spark, path), "glob": glob, "chunkBytes": str(chunk_bytes), "delimiter": delimiter.encode().hex(), "after": str(after).lower()}
+    return spark.read.format("delimited_chunks").options(**options).load()
+
+
 def read_archives(spark: SparkSession, path: str, glob: str = "*.gz", split_bytes: int = 64 << 20, stream: bool = False) -> DataFrame:
     """``(path, offset, rec_type, headers, payload)`` of the records of compressed archives, as a table or a stream of
     arriving files; ``offset`` is where a record's member begins.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from millrace.sources import sinks
-from millrace.sources.splits import Range, members, read_archives, read_tokens
+from millrace.sources.splits import Range, delimited_chunks, members, read_archives, read_tokens
 from millrace.streaming.events import drain
 
 
@@ -71,3 +71,21 @@ def test_token_ranges(spark, tmp_path):
     assert get(split_tokens=333) == list(enumerate(whole))
     assert get(ranges=[(10, 20), (4000, 4001)]) == [(i, whole[i]) for i in (*range(10, 20), 4000)]
     assert get(ranges=[]) == [] and get(ranges=[(99_999, 100_000)]) == []
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_chunks_at_delimiters(spark, tmp_path, after):
+    rng = random.Random(5)
+    os.makedirs(tmp_path / "d")
+    files = {n: "<|e|>".join("é" * rng.randint(0, 60) for _ in range(40)).encode() for n in ("a", "b")} | {"none": b"x" * 500, "empty": b""}
+    for n, data in files.items():
+        (tmp_path / "d" / n).write_bytes(data)
+    for size in (7, 300, 10_000):
+        got = {}
+        for r in delimited_chunks(spark, f"file://{tmp_path}/d", "<|e|>", size, after).collect():
+            got.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.start, r.end, bytes(r.content)))
+        for n, data in files.items():
+            own = sorted(got.get(n, []))
+            assert b"".join(x for _, _, x in own) == data and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+            assert all(data[: b].endswith(b"<|e|>") if after else x.startswith(b"<|e|>") for b, _, x in own[1:])
+            assert size != 300 or n != "a" or 1 < len(own) <= -(-len(data) // 300)
