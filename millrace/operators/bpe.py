@@ -145,59 +145,91 @@ class _Totals:
         return [top[3] for top in out]
 
 
+NO_CHANGE = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their values."""
+    if not len(keys):
+        return NO_CHANGE
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(values, first)
+
+
 class _Shard:
-    """One task's words, as lists of symbol numbers, with the words of each pair."""
-
-    def __init__(self, symbols: _Symbols, words: Iterator[tuple[list[bytes], int]]):
-        self.symbols, self.words, self.n = symbols, [], []
-        self.where: dict[int, list[int]] = defaultdict(list)
-        for parts, n in words:
-            own = [symbols.add(x) for x in parts]
-            for a, b in zip(own, own[1:]):
-                self.where[a << 32 | b].append(len(self.words))
-            self.words.append(own)
-            self.n.append(n)
-
-    def counts(self) -> dict[int, int]:
-        out: dict[int, int] = defaultdict(int)
-        for own, n in zip(self.words, self.n):
-            for a, b in zip(own, own[1:]):
-                out[a << 32 | b] += n
-        return out
-
-    def merge(self, key: int) -> tuple[dict[int, int], tuple]:
-        """Merge a pair in the words that hold it: what that changes in the counts, and what undoes it."""
+    """One task's words as one flat array of symbol numbers with links, and the places of each pair.
+
+    A separator stands before each word and after the last. A merge keeps the left place of
+    each occurrence and takes the right one out of the links; a pair's list of places may hold some
+    that have changed since, which a look at the symbols tells."""
+
+    def __init__(self, symbols: _Symbols, words: list[bytes], counts: list[int]):
+        self.symbols = symbols
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(lens + 1)
+        size = int(ends[-1]) + 1 if len(ends) else 1
+        inner = np.ones(size, dtype=bool)
+        inner[np.append(0, ends)] = False
+        self.sym = np.full(size, -1, dtype=np.int64)
+        self.sym[inner] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.weight = np.append(0, np.repeat(np.asarray(counts, dtype=np.int64), lens + 1)) if len(ends) else np.zeros(1, np.int64)
+        self.next, self.prev = np.arange(1, size + 1), np.arange(-1, size - 1)
+        at = np.flatnonzero(inner[:-1] & inner[1:])
+        self.keys = self._pairs(at, at + 1)
+        self.where: dict[int, list[np.ndarray]] = defaultdict(list)
+        self._index(self.keys, at)
+        self.first = _sums(self.keys, self.weight[at])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.sym[left] << 32 | self.sym[right]
+
+    def _index(self, keys: np.ndarray, at: np.ndarray) -> None:
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for key, places in zip(keys[np.append(0, cuts)].tolist(), np.split(at, cuts)):
+                self.where[key].append(places)
+
+    def merge(self, key: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple]:
+        """Merge a pair wherever it stands: what that changes in the counts, and what undoes it."""
         size = len(self.symbols.text)
         a, b = key >> 32, key & 0xFFFFFFFF
         made = self.symbols.add(self.symbols.text[a] + self.symbols.text[b])
-        changes: dict[int, int] = defaultdict(int)
-        held, before = self.where.pop(key, []), []
-        for at in set(held):
-            own, n, out, i = self.words[at], self.n[at], [], 0
-            end = len(own) - 1
-            while i <= end:
-                if i < end and own[i] == a and own[i + 1] == b:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(own[i])
-                    i += 1
-            if len(out) == len(own):
-                continue  # an entry left by a merge that was undone or that took the pair apart
-            for x, y in zip(own, own[1:]):
-                changes[x << 32 | y] -= n
-            for x, y in zip(out, out[1:]):
-                changes[x << 32 | y] += n
-                if x == made or y == made:
-                    self.where[x << 32 | y].append(at)
-            before.append((at, own))
-            self.words[at] = out
-        return {k: d for k, d in changes.items() if d}, (key, held, before, size)
+        held = self.where.pop(key, [])
+        at = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        at = at[self.sym[at] == a]
+        at = at[self.sym[self.next[at]] == b]
+        if a == b and len(at):  # of a run, every other pair from its left end
+            begins = np.append(True, at[1:] != self.next[at[:-1]])
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+        if not len(at):
+            return NO_CHANGE, (key, held, at, at, at, a, b, size)
+        before, right = self.prev[at], self.next[at]
+        after = self.next[right]
+        w = self.weight[at]
+        merged = np.zeros(len(at) + 1, dtype=bool)
+        merged[:-1] = at[np.minimum(np.searchsorted(at, after), len(at) - 1)] == after  # what follows is an occurrence itself
+        lone = ~merged[:-1] & (self.sym[after] >= 0)
+        led = self.sym[before] >= 0
+        old = [np.full(len(at), key), self._pairs(before, at)[led], self._pairs(right, after)[lone]]
+        self.sym[at], self.sym[right] = made, -2
+        self.next[at], self.prev[after] = after, at
+        before = self.prev[at]
+        left, following = self._pairs(before, at)[led], self._pairs(at, after)[lone]
+        self._index(np.concatenate([left, following]), np.concatenate([before[led], at[lone]]))
+        weights = [w, w[led], w[lone]]
+        changes = _sums(np.concatenate([*old, left, following]), np.concatenate([*(-x for x in weights), w[led], w[lone]]))
+        real = changes[1] != 0
+        return (changes[0][real], changes[1][real]), (key, held, at, right, after, a, b, size)
 
     def undo(self, steps: list[tuple]) -> None:
-        for key, held, before, size in reversed(steps):
-            for at, own in before:
-                self.words[at] = own
+        for key, held, at, right, after, a, b, size in reversed(steps):
+            self.sym[at], self.sym[right] = a, b
+            self.next[at], self.prev[after] = right, right
             self.where[key] = held + self.where.get(key, [])
             self.symbols.cut(size)
 
@@ -223,9 +255,9 @@ class _Exchange:
         else:
             self.others = [Client((tasks[0].address.rsplit(":", 1)[0], int(port)), authkey=bytes.fromhex(key))]
 
-    def summed(self, steps: list[dict[int, int]]) -> list[tuple[list[int], list[int]]]:
+    def summed(self, steps: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[list[int], list[int]]]:
         """For each step the keys and the changes of all tasks, summed."""
-        own = np.array([(i, k, d) for i, step in enumerate(steps) for k, d in step.items()], dtype=np.int64).reshape(-1, 3)
+        own = np.concatenate([np.stack([np.full(len(k), i), k, d], axis=1) for i, (k, d) in enumerate(steps)])
         if self.first:
             every = np.concatenate([own, *[np.frombuffer(c.recv_bytes(), dtype=np.int64).reshape(-1, 3) for c in self.others]])
             every = every[np.lexsort((every[:, 1], every[:, 0]))]
@@ -257,13 +289,15 @@ def _learn(known: list[tuple[bytes, bytes]], n_merges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = BarrierTaskContext.get()
         exchange = _Exchange(ctx)
-        rank = {p: i for i, p in enumerate(known)}
-        symbols = _Symbols()
-        for a, b in known:
-            symbols.add(a + b)
-        shard = _Shard(symbols, ((encode_word(w.encode(), rank), n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        symbols, rows = _Symbols(), [(w.encode(), n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        shard = _Shard(symbols, [w for w, _ in rows], [n for _, n in rows])
         totals, merges, width = _Totals(symbols), [], 4
-        totals.add(*exchange.summed([shard.counts()])[0])
+        totals.add(*exchange.summed([shard.first])[0])
+        # merges known already are made again, a few hundred an exchange; their counts are not asked for
+        for k in range(0, len(known), MOST_AT_ONCE):
+            steps = [shard.merge(symbols.number[a] << 32 | symbols.number[b]) for a, b in known[k : k + MOST_AT_ONCE]]
+            for change in exchange.summed([changes for changes, _ in steps]):
+                totals.add(*change)
         while len(merges) < n_merges:
             asked = totals.leading(min(width, n_merges - len(merges)))
             if not asked:
