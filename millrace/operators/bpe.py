@@ -320,7 +320,7 @@ def _learn(known: list[tuple[bytes, bytes]], n_merges: int):
     return run
 
 
-def learn_merges_distributed(counted: DataFrame, n_merges: int, tasks: int, at_once: int = 4096) -> list[tuple[bytes, bytes]]:
+def learn_merges_distributed(counted: DataFrame, n_merges: int, tasks: int, at_once: int = 16_384) -> list[tuple[bytes, bytes]]:
     """The merges of ``learn_merges`` for a table ``(pretoken, n)``, in order.
 
     Each task of a barrier stage keeps its share of the pre-tokens with an index from pairs to
