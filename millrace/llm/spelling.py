@@ -164,16 +164,17 @@ def heavy_edges(edges: DataFrame) -> DataFrame:
 def one_edit_pairs(words: DataFrame) -> DataFrame:
     """``(word, n, near, near_n)`` both ways, each pair of the distinct ``words`` (word, n) that one inserted, deleted or replaced code point parts."""
     edges = words.mapInArrow(_edges, EDGE)
-    light = edges.join(heavy_edges(edges.select("node", "char")), "node").where(F.col("char") != F.col("heavy"))
+    light = edges.join(heavy_edges(edges.select("node", "char")).hint("merge"), "node").where(F.col("char") != F.col("heavy"))
     errata = light.mapInArrow(_errata, "key long, joker boolean, whole long")
+    # words as files are a tenth of what they are as rows, so a join by their size would broadcast what the driver cannot hold
     named = words.select("word", "n").mapInArrow(_named, "word string, n long, whole long")
-    met = errata.where("not joker").join(named.select(F.col("whole").alias("key")), "key").select("whole", F.col("key").alias("other"))
+    met = errata.where("not joker").join(named.select(F.col("whole").alias("key")).hint("merge"), "key").select("whole", F.col("key").alias("other"))
     # a joker stands for at most as many words as there are characters
     groups = errata.where("joker").groupBy("key").agg(F.collect_set("whole").alias("g")).where(F.size("g") > 1)
     side = groups.select("g", F.explode("g").alias("whole"))
     among = side.select("whole", F.explode(F.filter("g", lambda x: x > F.col("whole"))).alias("other"))
     pairs = met.unionByName(among).select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b")).distinct()  # some meet at several nodes
-    pairs = pairs.join(named.withColumnRenamed("whole", "a"), "a").join(named.select(F.col("whole").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n")), "b")
+    pairs = pairs.join(named.withColumnRenamed("whole", "a").hint("merge"), "a").join(named.select(F.col("whole").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "b")
     sure = pairs.where((F.levenshtein("word", "near", 1) == 1) & ((F.col("a") < F.col("b")) | (F.col("word") < F.col("near"))))
     turned = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return sure.select(F.explode(F.array(F.struct("word", "n", "near", "near_n"), turned)).alias("p")).select("p.*")
@@ -187,7 +188,7 @@ def follow_forms(forms: DataFrame, scratch: Scratch) -> DataFrame:
     roots, k = scratch.save(forms.withColumnRenamed("form", "root"), "roots-0"), 0
     while True:
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = roots.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = roots.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         k += 1
         step = scratch.save(step, f"roots-{k}")
         moved = not step.where("moved").isEmpty()
@@ -214,7 +215,7 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = scratch.save(count_words(docs, id_col, text_col), "words")
     pairs = one_edit_pairs(words)
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
-    chosen = words.join(best, "word", "left")
+    chosen = words.join(best.hint("merge"), "word", "left")
     takes = -F.col("best.m") >= 2 * F.col("n")
     chosen = scratch.save(
         chosen.select(
@@ -224,7 +225,7 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "chosen",
     )
     roots = follow_forms(chosen.where("form is not null").select("word", "form"), scratch)
-    done = chosen.join(roots, "word", "left")
+    done = chosen.join(roots.hint("merge"), "word", "left")
     return done.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
