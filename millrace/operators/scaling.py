@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.scratch import Scratch
+
 FLOPS_PER_TOKEN = 6.0  # a parameter's operations for each token of training
 
 
@@ -62,8 +64,10 @@ def floor_law_fit(points: DataFrame, x: str, y: str, starts: int = 10, rounds: i
     back with more damping. x is scaled by its geometric mean; the floor stays at 0 or more, the
     exponent within 0.001 and 10. It ends when no start moves any more; the best one counts.
 
+    The points are stored once, so that a round reads them and not what they were made from.
     Rows with a null, or with x not above 0, take no part; without rows the result is empty."""
     own = points.select(F.log(F.col(x).cast("double")).alias("u"), F.col(y).cast("double").alias("y")).where("u is not null and y is not null and u > double('-inf')")
+    own = Scratch(points.sparkSession, "floorlaw").save(own, "points")
     seen = own.agg(F.avg("u").alias("u"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("n")).first()
     names = "floor double, coefficient double, exponent double, sse double, rounds int"
     if not seen["n"]:
