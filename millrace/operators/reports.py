@@ -11,10 +11,15 @@ from millrace.functions.text import let
 def baseline_against_strongest(df: DataFrame, key: str, variant: str, value: str, baseline: str) -> DataFrame:
     """``(key, value_baseline, value_strongest, strongest, ratio)``: the baseline's value beside the
     largest of all variants (ties to the first name), for keys that have both."""
-    base = df.where(F.col(variant) == baseline).select(key, F.col(value).alias(f"{value}_baseline"))
-    top = df.groupBy(key).agg(F.max(value).alias(f"{value}_strongest"))
-    named = df.join(top, key).where(F.col(value) == F.col(f"{value}_strongest")).groupBy(key, f"{value}_strongest").agg(F.min(variant).alias("strongest"))
-    return base.join(named, key).withColumn("ratio", F.col(f"{value}_strongest") / F.col(f"{value}_baseline"))
+    v = F.col(value)
+    first = F.struct(~F.isnan(v.cast("double")), -v, F.col(variant).isNull(), variant)
+    # one aggregation: values that are made twice, say sums of doubles, need not be equal
+    each = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.collect_list(F.when(F.col(variant) == baseline, F.struct(v.alias("v")))).alias("base"),
+        F.max(v).alias(f"{value}_strongest"), F.min_by(variant, F.when(v.isNotNull(), first)).alias("strongest"),
+    )
+    got = each.where(F.col(f"{value}_strongest").isNotNull()).select(key, F.explode("base.v").alias(f"{value}_baseline"), f"{value}_strongest", "strongest")
+    return got.withColumn("ratio", F.col(f"{value}_strongest") / F.col(f"{value}_baseline"))
 
 
 def speedups(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
