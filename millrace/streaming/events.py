@@ -32,20 +32,25 @@ def distinct_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """An entity's rows of one batch by time and id. Spark hands them over in parts, cut where an
+    Arrow batch ends, and rows of a later part may come before those of an earlier one."""
+    return pd.concat(list(parts), ignore_index=True).sort_values(["at", "id"])
+
+
 def state_machine(events: DataFrame) -> DataFrame:
     """Events ``(id, entity, at, state)`` with the state before and whether the step is
     legal; an illegal step is reported and leaves the state as it was. State is one word an entity."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = held.get[0] if held.exists else "new"
-        for part in parts:
-            rows = []
-            for r in part.sort_values(["at", "id"]).itertuples(index=False):
-                legal = (state, r.state) in STEPS
-                rows.append((r.id, key[0], r.state, state, legal))
-                state = r.state if legal else state
-            yield pd.DataFrame(rows, columns=["id", "entity", "state", "before", "legal"])
+        rows = []
+        for r in in_order(parts).itertuples(index=False):
+            legal = (state, r.state) in STEPS
+            rows.append((r.id, key[0], r.state, state, legal))
+            state = r.state if legal else state
         held.update((state,))
+        yield pd.DataFrame(rows, columns=["id", "entity", "state", "before", "legal"])
 
     return events.groupBy("entity").applyInPandasWithState(run, "id long, entity long, state string, before string, legal boolean", "state string", "append", "NoTimeout")
 

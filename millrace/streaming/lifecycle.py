@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.streaming.events import in_order
+
 STEPS = {("new", "queued"), ("queued", "running"), ("running", "completed"), ("running", "failed")}
 ENDED = ("completed", "failed")
 
@@ -34,19 +36,18 @@ def run_lifecycle(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state, own = held.get if held.exists else ("new", "")
-        for part in parts:
-            out = []
-            for r in part.sort_values(["at", "id"]).itertuples(index=False):
-                if r.kind == "val_loss":
-                    ok, after = state == "running" and r.run_id == own, state
-                else:
-                    ok = (state, r.kind) in STEPS and (r.kind not in ENDED or r.run_id == own)
-                    after = r.kind if ok else state
-                out.append((r.id, key[0], r.kind, state, bool(ok)))
-                own = r.run_id if ok and r.kind == "running" else own
-                state = after
-            yield pd.DataFrame(out, columns=["id", "entity", "kind", "before", "accepted"])
+        out = []
+        for r in in_order(parts).itertuples(index=False):
+            if r.kind == "val_loss":
+                ok, after = state == "running" and r.run_id == own, state
+            else:
+                ok = (state, r.kind) in STEPS and (r.kind not in ENDED or r.run_id == own)
+                after = r.kind if ok else state
+            out.append((r.id, key[0], r.kind, state, bool(ok)))
+            own = r.run_id if ok and r.kind == "running" else own
+            state = after
         held.update((state, own or ""))
+        yield pd.DataFrame(out, columns=["id", "entity", "kind", "before", "accepted"])
 
     return events.groupBy("entity").applyInPandasWithState(run, "id long, entity long, kind string, before string, accepted boolean", "state string, run_id string", "append", "NoTimeout")
 
