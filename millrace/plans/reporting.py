@@ -10,7 +10,7 @@ from millrace.functions import text as T
 from millrace.operators import reports as R
 from millrace.operators import sampling as S
 from millrace.operators import sequences as Q
-from millrace.plans.queries import _ALL, _GOPHER, _MASKED, query, r6, table
+from millrace.plans.queries import _ALL, _GOPHER, _MASKED, masked, query, r6, table
 from millrace.plans.scratch import Scratch
 from millrace.sources import files, sinks
 
@@ -24,7 +24,7 @@ def _h(x: str) -> str:
 @query(f"""WITH {_MASKED}, {_GOPHER} SELECT coalesce(CASE WHEN NOT n_words BETWEEN 50 AND 100000 THEN 'word_count' WHEN NOT coalesce(mean_length BETWEEN 3 AND 10, false) THEN 'mean_word_length'
     WHEN coalesce(dots, 0) > 0.3 THEN 'ellipsis_lines' WHEN NOT coalesce(alpha >= 0.8, false) THEN 'alphabetic_words' END, 'passed') AS reason, lang, count(*) AS n FROM g3 GROUP BY 1, 2""")
 def gopher_reasons(spark, sf):
-    d = T.with_masks(table(spark, sf, "documents")).withColumn("r", F.coalesce(T.gopher_reason(T.gopher_features(F.col("masked"))), F.lit("passed")))
+    d = masked(spark, sf).withColumn("r", F.coalesce(T.gopher_reason(T.gopher_features(F.col("masked"))), F.lit("passed")))
     return d.groupBy(F.col("r").alias("reason"), "lang").agg(F.count("*").alias("n"))
 
 
@@ -42,7 +42,7 @@ def english_filter(spark, sf):
 @query(f"""{_ALL}, f AS (SELECT CASE WHEN length(t) < 200 THEN 'too_short' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN NOT wiki THEN 'quality' ELSE 'retained' END AS stage FROM s2)
 SELECT stage, count(*) AS n, round(count(*) / (SELECT count(*) FROM f)::DOUBLE, 6) AS share FROM f GROUP BY 1""")
 def retention_funnel(spark, sf):
-    d = T.with_masks(table(spark, sf, "documents"))
+    d = masked(spark, sf)
     wiki = T.quality_label(T.quality_logit(T.quality_features(F.col("masked"))))["label"] == "wiki"
     tests = {"too_short": F.length("text") >= 200, "language": F.col("lang").isin("en", "de"), "quality": wiki}
     return R.funnel(d, tests).select("stage", "n", r6("share").alias("share"))
@@ -123,7 +123,7 @@ def ordered_distinct(spark, sf):
 @query(f"""WITH {_MASKED}, {_GOPHER}, x AS (SELECT g3.*, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS en, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS a FROM g3)
 SELECT CASE WHEN a = 0 THEN '其他' WHEN en >= a - en THEN 'en' ELSE '其他' END AS label, count(*) AS n, count(*) FILTER (gopher) AS n_passed, sum(n_emails)::BIGINT AS n_emails FROM x GROUP BY 1""")
 def language_passes(spark, sf):
-    d = T.with_masks(table(spark, sf, "documents"))
+    d = masked(spark, sf)
     d = d.select(T.letter_language(F.col("text"))["label"].alias("label"), T.gopher_pass(T.gopher_features(F.col("masked"))).alias("ok"), "n_emails")
     return d.groupBy("label").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_passed"), F.sum("n_emails").cast("long").alias("n_emails"))
 
