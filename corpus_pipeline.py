@@ -22,11 +22,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: those whose cosine with its prototype reaches the floor
-    that its learned rows of like length give (``fit_floors``).
+    that the labelled rows of like length give (``fit_floors``). Prototypes and floors are
+    learned from all labelled rows that are not held out.
 
     The predicted language replaces a missing label, and any other label that it
     contradicts on 64 characters or more; fewer decide nothing against a label."""
-    profiles = fit_profiles(docs)
+    profiles = fit_profiles(docs, rows_per_language=None)
     found = predict_languages(docs.select(*COLUMNS), profiles).where(F.col("lang_pred") != UNKNOWN)
     if not profiles:
         return found.select(*COLUMNS)

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._shingles import U64, mix
-from millrace.plans.scratch import join_small
+from millrace.operators.quantiles import exact_quantiles
+from millrace.plans.scratch import Scratch, join_small
 
 DIMENSION = 512
 CHUNK_CHARS = 1 << 20
@@ -121,11 +122,13 @@ def _in_fit(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2
 
 
-def _learned_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> DataFrame:
-    """``(i, t, lang)`` of the rows that ``fit_profiles`` learns from."""
+def _learned_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int | None) -> DataFrame:
+    """``(i, t, lang)`` of the rows that ``fit_profiles`` learns from; all labelled ones not held out if ``rows_per_language`` is None."""
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("i").isNotNull() & _in_fit("i")
     )
+    if rows_per_language is None:
+        return labelled
     sizes = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
     return join_small(labelled, sizes, ["lang"], 10_000, "inner").where(
         F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < F.col("share") * 1_000_000
@@ -133,9 +136,9 @@ def _learned_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ro
 
 
 def fit_profiles(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 4000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int | None = 4000
 ) -> dict[str, np.ndarray]:
-    """Unit prototypes by language, from about ``rows_per_language`` labelled rows each.
+    """Unit prototypes by language, from about ``rows_per_language`` labelled rows each, or all (None).
 
     Rows are chosen by a hash of the id; with null text, label or id they take no part,
     nor do rows whose id's CRC-32 is 2 modulo 4, which are held out. What comes to the
@@ -189,20 +192,21 @@ def length_class(text: Column) -> Column:
 
 
 def fit_floors(
-    docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 4000
+    docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, list[float]]:
     """Least cosine of a text in each learned language, by ``length_class``.
 
-    It is the ``FLOOR_QUANTILE`` of the learned rows of that language and length. Fewer
+    It is the ``FLOOR_QUANTILE`` of all labelled rows of that language and length that are
+    not held out and are predicted as labelled, an exact one over their stored scores. Fewer
     than ``LEARNED_ROWS`` of them fit no bound, and that of the next shorter class holds,
     which is lower, as short texts have lower cosines. From 64 characters on it is at
     least what an unrelated vector reaches by chance.
     """
-    learned = predict_languages(_learned_rows(docs, id_col, text_col, lang_col, rows_per_language), profiles, "t").where(F.col("lang") == F.col("lang_pred"))
-    fitted = (
-        learned.groupBy("lang", length_class(F.col("t")).alias("k")).agg(F.count("*").alias("n"), F.percentile("score", F.lit(FLOOR_QUANTILE)).alias("floor"))
-        .where(F.col("n") >= LEARNED_ROWS)
-    )
+    learned = predict_languages(_learned_rows(docs, id_col, text_col, lang_col, None), profiles, "t").where(F.col("lang") == F.col("lang_pred"))
+    scratch = Scratch(docs.sparkSession, "floors")
+    scores = scratch.save(learned.select("lang", length_class(F.col("t")).alias("k"), "score"), "scores")
+    enough = scores.groupBy("lang", "k").agg(F.count("*").alias("n")).where(F.col("n") >= LEARNED_ROWS)
+    fitted = exact_quantiles(scores, "score", [FLOOR_QUANTILE], ["lang", "k"]).join(enough, ["lang", "k"]).select("lang", "k", F.col("value").alias("floor"))
     own = {(r.lang, r.k): r.floor for r in fitted.collect()}  # at most LENGTH_CLASSES a language
     out = {}
     for lang in profiles:
