@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shingles import U64, mix
+from millrace.operators.hashed_sets import U64, mix
 
 KMER = 8
 PICKED = 2

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shingles import U64, mix
+from millrace.operators.hashed_sets import U64, mix
 from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.scratch import Scratch, join_small
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shingles import U64, mix
+from millrace.operators.hashed_sets import U64, mix
 from millrace.plans.scratch import Scratch
 
 RUN = "[A-Za-zÀ-ÿ]"

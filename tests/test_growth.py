@@ -62,3 +62,16 @@ def test_strongest_of_values_made_anew(spark):
     assert len(got) == 20 and all(r.strongest == "v2" for r in got)
     ties = spark.createDataFrame([("a", "w", 2.0), ("a", "v", 2.0), ("a", "b", 1.0), ("a", "n", None), ("c", "b", None)], "k string, v string, x double")
     assert [tuple(r) for r in R.baseline_against_strongest(ties, "k", "v", "x", "b").collect()] == [("a", 1.0, 2.0, "v", 2.0)]
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs at exactly 0.8, of which affine bands lost many."""
+    from millrace.operators.curation import minhash_dedup
+
+    lost = [385, 529, 596, 660, 919, 1111, 1375, 1681, 2107, 2185]
+    near = [" ".join([f"w{t}x{j}" for j in range(12)] + [end]) for t in lost for end in (f"w{t}x12", f"v{t}")]
+    below = [" ".join([f"u{t}x{j}" for j in range(11)] + ends) for t in lost for ends in (["a", "b"], ["c", "d"])]
+    rows = [(i, t) for i, t in enumerate([*near, *below, "", None, " . "])]
+    got = {r.doc_id: (r.root, r.kept) for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: i - i % 2 if i < 20 else 40 if i >= 40 else i for i in range(43)}
+    assert got == {i: (r, i == r) for i, r in want.items()}
