@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.functions.text import let
+from millrace.plans.scratch import Scratch
 
 def baseline_against_strongest(df: DataFrame, key: str, variant: str, value: str, baseline: str) -> DataFrame:
     """``(key, value_baseline, value_strongest, strongest, ratio)``: the baseline's value beside the
@@ -167,11 +171,30 @@ def free_floor_fit(points: DataFrame, x: str, y: str, floors: list[float]) -> Da
     return one.select(F.explode(F.array(*[f"f{i}" for i in range(len(floors))])).alias("x")).select("x.*").where("fits").drop("fits").orderBy("sse", "floor").limit(1)
 
 
-def agreement_duplicates(signatures: DataFrame, hashes: int, bands: int, threshold: float, id_col: str = "doc_id") -> DataFrame:
-    """Ids whose signature agrees in ``threshold`` of its places with that of a lesser id which shares a band.
+MOST_SUBSETS = 64
 
-    Equal signatures are one node, whose later ids all count. Between nodes, only the earliest
-    id of each is compared, in blocks of a band's bucket."""
+
+def agreement_duplicates(signatures: DataFrame, hashes: int, bands: int, threshold: float, id_col: str = "doc_id") -> DataFrame:
+    """Ids whose signature agrees in ``threshold`` of its places with that of a lesser id which shares a band; one signature an id.
+
+    Two signatures agree in so many places exactly if they are equal on some set of so many; where
+    the other places are fewer than bands, a band is then shared. So an id is no duplicate if it is
+    the least of its group on every such set of places, which takes a row a set and no pairs."""
+    need = max(0, math.ceil(threshold * hashes))
+    if hashes - need >= bands or math.comb(hashes, need) > MOST_SUBSETS:
+        return _agreement_by_bands(signatures, hashes, bands, threshold, id_col)
+    scratch = Scratch(signatures.sparkSession, "agreement")
+    own = scratch.save(signatures.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[f"h{i}" for i in range(hashes)]), "signatures")
+    places = list(itertools.combinations(range(hashes), need))
+    keys = F.array(*[F.struct(F.lit(k).alias("places"), *[F.col(f"h{i}").alias(f"v{j}") for j, i in enumerate(at)]) for k, at in enumerate(places)])
+    least = own.select("id", F.explode(keys).alias("key")).select("id", "key.*").groupBy("places", *[f"v{j}" for j in range(need)]).agg(F.min("id").alias("id"))
+    heads = least.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(places))
+    return own.select("id").join(heads.select("id"), "id", "left_anti")
+
+
+def _agreement_by_bands(signatures: DataFrame, hashes: int, bands: int, threshold: float, id_col: str) -> DataFrame:
+    """The same for any bands: equal signatures are one node, whose later ids all count. Between nodes, only the
+    earliest id of each is compared, in blocks of a band's bucket."""
     from millrace.operators.curation import BUCKET_BLOCK
 
     sig = F.array(*[f"h{i}" for i in range(hashes)])

@@ -75,3 +75,22 @@ def test_links_at_the_threshold(spark):
     got = {r.doc_id: (r.root, r.kept) for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i: i - i % 2 if i < 20 else 40 if i >= 40 else i for i in range(43)}
     assert got == {i: (r, i == r) for i, r in want.items()}
+
+
+def test_agreement_makes_no_pairs(spark):
+    """40,000 signatures that share a band, as texts with a common passage do, and no more."""
+    sigs = spark.range(40_000).selectExpr("id as doc_id", "7L as h0", "7L as h1", *[f"id * 8 + {i} as h{i}" for i in range(2, 8)])
+    near = spark.createDataFrame([(-1, 7, 7, 2, 3, 4, 5, 900, 901), (50_000, 1, 2, 3, 4, 5, 6, 7, 8), (50_001, 1, 2, 9, 4, 5, 9, 7, 8)], sigs.schema)
+    whole = sigs.union(near)
+    assert sorted(r.id for r in R.agreement_duplicates(whole, 8, 4, 0.75).collect()) == [0, 50_001]
+    plan = R.agreement_duplicates(whole, 8, 4, 0.75)._jdf.queryExecution().executedPlan().toString()
+    assert "v0" in plan and plan.count("Join") == 1  # no join of a band with itself
+
+
+def test_signatures_of_texts_are_those_of_shingles(spark):
+    from millrace.operators import curation as C
+
+    texts = ["one two three four five six", "One, TWO; trois", "", None, "...", "a", "\u00c9l\u00e1n \u65e5\u672c vital a b c d e f", "x " * 9000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, C.minhash_signatures(C.shingles(d, 5), 8).collect()))
+    assert sorted(map(tuple, C.text_signatures(d, 5, 8).collect())) == want and len(want) == 5
