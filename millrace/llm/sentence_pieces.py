@@ -17,15 +17,17 @@ apart at these places and the parts are solved, and remembered, alone.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
@@ -118,7 +120,6 @@ class PieceTransducer:
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.fallback = len(bytes_) == 256
         self.bytes = [bytes_[b] for b in range(256)] if self.fallback else []
-        self.no_piece = frozenset([*self.bytes, self.unknown])
         self.cost = [-p.score for p in model.pieces]
         self.unknown_cost = UNKNOWN_PENALTY - min(self.rank.values(), default=0.0)
         self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)  # inputs cannot be cut then
@@ -127,12 +128,14 @@ class PieceTransducer:
         self.spelled = [named.get(p.type, p.piece.replace(SPACE, " ")).encode() for p in model.pieces]
         for b, i in bytes_.items():
             self.spelled[i] = bytes([b])
-        self.trie: dict = {}
+        self.trie: dict = {}  # by character: the next node, and the piece that ends there
         for piece, i in self.ids.items():
-            node = self.trie
+            node, step = self.trie, None
             for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = i
+                step = node.setdefault(ch, [{}, -1, ()])
+                node = step[0]
+            if step:
+                step[1:] = i, (i,)
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -178,8 +181,8 @@ class PieceTransducer:
         least: list[float] = [0.0, *[float("inf")] * n]
         last: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
         for at in range(n):
-            for end, ids in self._arcs(unit, at):
-                weight = least[at] + (self.unknown_cost if ids[0] in self.no_piece else self.cost[ids[0]])
+            for end, piece, ids in self._arcs(unit, at):
+                weight = least[at] + (self.unknown_cost if piece < 0 else self.cost[piece])
                 if weight < least[end]:
                     least[end], last[end] = weight, (at, ids)
         path: list[tuple[int, ...]] = []
@@ -191,19 +194,24 @@ class PieceTransducer:
     def _weightless(self, unit: str) -> list[int] | None:
         n = len(unit)
         dead: set[tuple[int, int]] = set()
+        follows, arcs_at = self.follows, self._arcs
         # an entry: position, piece before (-1: none, bytes or unknown), arcs still to try
-        stack = [(0, -1, self._arcs(unit, 0))]
+        stack = [(0, -1, arcs_at(unit, 0))]
         out: list[tuple[int, ...]] = []
         while stack:
             at, before, arcs = stack[-1]
             if at == n:
                 return [i for step in out for i in step]
-            for end, ids in arcs:
-                after = -1 if ids[0] in self.no_piece else ids[0]
-                if (end, after) in dead or (before >= 0 and after >= 0 and not self._may_follow(before, after)):
+            while arcs:
+                end, after, ids = arcs.pop()
+                if dead and (end, after) in dead:
                     continue
-                stack.append((end, after, self._arcs(unit, end)))
+                if before >= 0 and after >= 0:
+                    may = follows.get(before << 20 | after)
+                    if not (self._may_follow(before, after) if may is None else may):
+                        continue
                 out.append(ids)
+                stack.append((end, after, arcs_at(unit, end) if end < n else arcs))
                 break
             else:
                 dead.add((at, before))
@@ -212,16 +220,20 @@ class PieceTransducer:
                     out.pop()
         return None
 
-    def _arcs(self, unit: str, at: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """Arcs of the lattice that leave a position, the longest piece first."""
+    def _arcs(self, unit: str, at: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """Arcs of the lattice that leave a position - end, piece (-1: none), ids -, the longest piece last."""
         found, node, i = [], self.trie, at
-        while i < len(unit) and (node := node.get(unit[i])) is not None:
+        for ch in unit[at:]:
+            step = node.get(ch)
+            if step is None:
+                break
             i += 1
-            if "" in node:
-                found.append((i, (node[""],)))
-        if at < len(unit) and unit[at] not in self.ids:
-            found.insert(0, (at + 1, tuple(self.bytes[b] for b in unit[at].encode("utf-8", "replace")) if self.fallback else (self.unknown,)))
-        return iter(found[::-1])
+            node, piece, ids = step
+            if piece >= 0:
+                found.append((i, piece, ids))
+        if at < len(unit) and (not found or found[0][0] != at + 1):  # the character has no piece
+            found.insert(0, (at + 1, -1, tuple(self.bytes[b] for b in unit[at].encode("utf-8", "replace")) if self.fallback else (self.unknown,)))
+        return found
 
     def unit_ids(self, unit: str) -> bytes:
         """Ids of a unit that the younger generation of remembered units lacks."""
@@ -230,7 +242,7 @@ class PieceTransducer:
             path = self.shortest_path(unit)
             if path is None:
                 raise ValueError("the lattice has no path of weight 0")
-            ids = np.array(path, dtype=np.int32).tobytes()
+            ids = array("i", path).tobytes()
         if len(unit) <= 64:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known, self.old = {}, self.known
@@ -276,6 +288,18 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer.load(path)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector of cycles: encoding makes none, but many short-lived objects that it would look through."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, BATCH_ROWS):
@@ -331,8 +355,21 @@ def piece_report(docs: DataFrame, model_path: str) -> DataFrame:
     blank, counts as one. A null text has null ids, no pieces, and comes back as empty;
     repeated rows and null ids are answered as they come; an empty table gives an empty result.
     """
-    coded = encode_pieces(docs.select("doc_id", "text"), model_path)
-    back = decode_pieces(coded, model_path)
-    same = F.coalesce(F.col("decoded"), F.lit("")) == F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long")
-    return back.select("doc_id", "ids", n.alias("n_pieces"), same.alias("round_trip"))
+    own = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(model_path)
+        for b in _small(batches):
+            rows, same = [], []
+            with _uncollected():
+                for t in b.column(1).to_pylist():
+                    ids = machine.encode(t) if t else b""
+                    rows.append(ids)
+                    same.append(machine.decode(np.frombuffer(ids, np.int32).tolist()) == (t or "").replace(SPACE, " "))
+            n = np.array([len(x) // 4 for x in rows], dtype=np.int64)
+            ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)), mask=b.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
+
+    found = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *found]))

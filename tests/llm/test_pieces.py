@@ -61,3 +61,16 @@ def test_refusals():
     with pytest.raises(ValueError):
         PieceTransducer(model)
     assert SPACE == "▁"
+
+
+def test_the_report_is_one_pass(spark):
+    from public_tokenizers import path
+
+    from millrace.llm.sentence_pieces import piece_report
+
+    d = spark.createDataFrame([(1, "a▁b  c \U0001f600 naïve"), (2, ""), (3, None), (None, "x")], "doc_id long, text string")
+    got = piece_report(d, path("piece_bpe_32k.model"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[3].ids is None and (rows[3].n_pieces, rows[3].round_trip, rows[2].ids, rows[2].round_trip) == (0, True, [], True)
+    assert all(r.n_pieces == len(r.ids or []) for r in rows.values()) and rows[1].round_trip and len(rows) == 4
