@@ -94,3 +94,33 @@ def test_signatures_of_texts_are_those_of_shingles(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(map(tuple, C.minhash_signatures(C.shingles(d, 5), 8).collect()))
     assert sorted(map(tuple, C.text_signatures(d, 5, 8).collect())) == want and len(want) == 5
+
+
+def test_a_shard_of_words_takes_few_bytes_a_place(spark):
+    """Peak memory of the words, their places and 300 merges with some undone; numbers as texts have them."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from millrace.operators import bpe
+
+    rng = random.Random(1)
+    words = {f" {rng.randrange(10**9)}x{rng.choice('abcdef') * rng.randrange(1, 5)}": rng.randrange(1, 9) for _ in range(60_000)}
+    texts = [w.encode() for w in words]
+    raw, lens = np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts)))
+    counts = np.array(list(words.values()))
+    tracemalloc.start()
+    symbols = bpe._Symbols()
+    shard, totals, got = bpe._Shard(symbols, raw, lens, counts, 1000), bpe._Totals(symbols), []
+    totals.add(*shard.first)
+    for _ in range(300):
+        key, *others = totals.leading(3)
+        got.append(symbols.pair(key))
+        change, _ = shard.merge(key)
+        shard.undo([shard.merge(k)[1] for k in others])
+        totals.add(*change)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == bpe.learn_merges(words, 300)
+    assert peak < 60 * len(raw)
