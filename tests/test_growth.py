@@ -77,6 +77,90 @@ def test_links_at_the_threshold(spark):
     assert got == {i: (r, i == r) for i, r in want.items()}
 
 
+def _linked_texts():
+    """Texts that share a passage, some above the threshold and some below, with copies and repeated ids."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda name, n: [f"{name}x{j}" for j in range(n)]
+    texts = [" ".join(words("p", 60) + words(f"t{i}", rng.choice([2, 6, 12, 20, 60]))) for i in range(60)]
+    texts += [x + " one more" for x in texts[:30]] + texts[:10] + [" ".join(words(f"u{i}", 40)) for i in range(300)]
+    return [(i if i < 90 else i - 5, t) for i, t in enumerate(texts)]
+
+
+def _roots(rows, k=5):
+    """Brute force: the least id of each distinct text's group; ids may repeat."""
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        s = frozenset(" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1)))
+        sets.setdefault(s, []).append(i)
+    nodes, parent = list(sets), {s: s for s in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in enumerate(nodes):
+        for y in nodes[:a]:
+            both = len(x & y)
+            if 5 * both >= 4 * (len(x) + len(y) - both):
+                parent[find(x)] = find(y)
+    least = {}
+    for s, ids in sets.items():
+        least[find(s)] = min([least.get(find(s), 10**9), *ids])
+    return sorted((i, least[find(s)]) for s, ids in sets.items() for i in ids)
+
+
+def test_lists_of_many_blocks_and_texts_too_many_to_tell(spark, monkeypatch):
+    """Blocks that travel in groups, and sets asked for that are shuffled, give the same links."""
+    from millrace.operators import set_links
+    from millrace.operators.curation import minhash_dedup
+
+    rows = _linked_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, group, asked in ((1024, 8, 1_000_000), (4, 3, 0), (7, 1, 0)):
+        for name, value in (("BLOCK", block), ("GROUP", group), ("ASKED", asked)):
+            monkeypatch.setattr(set_links, name, value)
+        assert sorted((r.doc_id, r.root) for r in minhash_dedup(docs).collect()) == _roots(rows)
+
+
+def test_links_keep_no_shuffle_and_move_no_text(spark, monkeypatch):
+    """The driver need not collect garbage for the shuffle files to go; texts meet the ids asked for
+    where they are read, also if these are too many for Spark's own broadcast."""
+    from pathlib import Path
+
+    from millrace.operators.curation import minhash_dedup
+    from millrace.plans.scratch import Scratch
+
+    plans, save = {}, Scratch.save
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    def shuffled():
+        tops = [Path(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return sum(p.stat().st_size for top in tops for p in top.rglob("shuffle_*.data"))
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    words = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    docs = spark.createDataFrame([(i, words(f"t{i // 2}", 60) + f" tail{i % 2}") for i in range(4000)], "doc_id long, text string")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark._jvm.System.gc()
+    try:
+        before = shuffled()
+        found = minhash_dedup(docs)
+        left = shuffled() - before
+        assert found.where("kept").count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert left < 400_000  # the signatures alone are 1.9 MB, moved three times
+    assert "BroadcastHashJoin" in plans["first-sets"] and "SortMergeJoin" not in plans["first-sets"]
+
+
 def test_agreement_makes_no_pairs(spark):
     """40,000 signatures that share a band, as texts with a common passage do, and no more."""
     sigs = spark.range(40_000).selectExpr("id as doc_id", "7L as h0", "7L as h1", *[f"id * 8 + {i} as h{i}" for i in range(2, 8)])
